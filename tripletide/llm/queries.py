@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import canonical, components, mixture, quality, survivor, tokenize
+from . import canonical, components, mixture, neighbours, quality, survivor, tokenize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found(table(spark, d, "entities", "entity_id", "embedding"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "entities"), table(spark, d, "source_profiles", "source_id", "reliability_score")).select("fingerprint", "field_name", "entity_id")
 
@@ -49,7 +53,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_currency, p4_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_currency, p4_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
