@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import canonical, components, mixture, neighbours, quality, survivor, tokenize
+from . import canonical, components, mixture, neighbours, quality, survivor, tokenize, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.found(*canonical.tables(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.found(table(spark, d, "entities", "entity_id", "entity_name", "entity_type", "aliases"), table(spark, d, "entity_variants", "variant_id", "variant_name", "entity_type"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.found(table(spark, d, "conflict_sets", "conflict_type", "conflicting_items"))
 
@@ -53,7 +57,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_currency, p4_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_currency, p4_found, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
