@@ -106,9 +106,17 @@ def _given(plain: str, folded: str) -> tuple[str | None, bool]:
     return max(a, b, key=lambda g: (g[0] is not None, g[1]))
 
 
+_HIDDEN = re.compile(r"[\u0000-\u0008\u000e-\u001f\u007f\u00ad\u200b-\u200f\u2028-\u202e\u2060\ufeff]")
+
+
+def clean(s: str) -> str:
+    """Compatible characters as one, without invisible ones."""
+    return s if s.isascii() and s.isprintable() else _HIDDEN.sub("", unicodedata.normalize("NFKC", s))
+
+
 def words(name: str) -> list[tuple[str, str]]:
     """(plain, folded) words of a name, what follows a comma first; a name written as one word is cut at its inner capital."""
-    s = "".join(c for c in unicodedata.normalize("NFKC", name) if unicodedata.category(c) not in ("Cf", "Cc"))
+    s = clean(name)
     if not re.search(r"[\s\-,.]", s.strip(" \"'.")):
         s = _SPLIT.sub(" ", s)
     before, _, after = s.partition(",")
@@ -143,6 +151,87 @@ def read(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
     return "P", w[at][1], g or p
 
 
+#: Words that places, events, documents and concepts are named with.
+THING_WORDS = {
+    fold(w)
+    for w in (
+        "bad sankt neu city landkreis am see bei von über weltausstellung festival konferenz vertrag schlacht expedition hochwasser "
+        "protokoll handschrift bericht chronik almanach band teil satz protocol ansatz effekt theorie verfahren"
+    ).split()
+}
+_THING_TYPES = _Words([(fold(w), "X") for w in "ort location lage ereignis event dokument document konzept concept".split()])
+_DIGITS = re.compile(r"\d+")
+
+
+@lru_cache(20_000)
+def _hint(kind: str) -> str:
+    """P, O, X or empty for a type as people write it."""
+    for part in re.split(r"[/(\s]", kind):
+        f = fold(part)
+        if f[:4] == "pers" or near(f, "person"):
+            return "P"
+        if f[:3] == "org" or near(f[:12], "organisation") or near(f[:12], "organization"):
+            return "O"
+        if _THING_TYPES.find(f)[0]:
+            return "X"
+    return ""
+
+
+def read_any(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
+    """`read` for things of any type: places, events, documents and concepts give (X, folded text, numbers)."""
+    if not name:
+        return None
+    h = _hint(kind or "")
+    if not h:
+        w = words(name)
+        thing = any(x in THING_WORDS for _, x in w) or any(c.isdigit() for c in name)
+        if not thing and any(_org(x) and len(x) > 2 or x in _SHORT_ORG for _, x in w):
+            h = "O"
+        elif not thing and len(w) > 1 and any(len(x) == 1 or x in _TITLES or _given(p, x)[0] for p, x in w):
+            h = "P"
+        else:
+            h = "X"
+    if h != "X":
+        return read(name, "pers" if h == "P" else "org")
+    s = clean(name)
+    text = " ".join(f for x in re.findall(r"[^\W\d_]+", s) if (f := fold(x)))
+    return ("X", text, ".".join(_DIGITS.findall(s))) if text else None
+
+
+def within(a: str, b: str, k: int) -> bool:
+    """Edit distance at most ``k``, in a band of the table."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > k:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - k), min(len(b), i + k)
+        new = [k + 1] * (len(b) + 1)
+        new[0] = i
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        if min(new[lo - 1 : hi + 1]) > k:
+            return False
+        row = new
+    return row[len(b)] <= k
+
+
+def same(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
+    """Two readings that name one thing: cores a few edits apart, equal numbers, given names equal, misspelt or short for each other."""
+    if a == b:
+        return True
+    if a[0] != b[0]:
+        return False
+    n = min(len(a[1]), len(b[1]))
+    k = (0 if n < 5 else 1 if n < 8 else 2) if a[0] == "X" else (0 if n < 5 else 1 if n < 8 else 2 if n < 10 else 3)
+    if a[0] == "X":
+        return a[2] == b[2] and within(a[1], b[1], k)
+    g, h = a[2], b[2]
+    fits = g == h or (g[:1] == h[:1] and min(len(g), len(h)) == 1) or (min(len(g), len(h)) > 4 and within(g, h, 2))
+    return fits and within(a[1], b[1], k)
+
+
 def forms(kind: str, core: str, given: str) -> list[str]:
     """Keys of which two spellings of one name, two edits apart at most, share one: the first seven letters without one, or the last five."""
     lead = f"{kind}{given[:1]}"

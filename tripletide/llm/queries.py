@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import canonical, components, mixture, neighbours, quality, survivor, tokenize, variants
+from . import canonical, components, dedup, mixture, neighbours, quality, survivor, tokenize, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.found(table(spark, d, "entities", "entity_id", "embedding"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "triples", "seq", "batch_id", "subject_name", "subject_type", "predicate", "object_name", "object_type", "validation_status")
+    return dedup.found(t, *canonical.tables(spark, d)[1:])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.survivors(table(spark, d, "entities"), table(spark, d, "source_profiles", "source_id", "reliability_score")).select("fingerprint", "field_name", "entity_id")
 
@@ -57,7 +62,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_currency, p4_found, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_currency, p4_found, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
