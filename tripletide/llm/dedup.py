@@ -28,8 +28,12 @@ from .neighbours import Tree, unit
 NAME_DIM, REL_DIM = 48, 16
 DIM = 2 * NAME_DIM + REL_DIM
 NAME_WEIGHT, REL_WEIGHT = 0.42, 0.16
-#: Nodes per cell aimed at and per shard at most; links per node; entry points; similarity from which a meeting is reranked.
-CELL, SHARD, LINKS, RANDOM_LINKS, ENTRIES, LEAST = 4096, 4096, 12, 4, 64, 0.6
+#: Nodes per cell aimed at and per shard at most; nodes of a leaf in which a node's links are looked for; links per node; entry points.
+CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
+#: One node in so many is a place to enter a graph.
+UPPER = 4
+#: Similarity from which a meeting is reranked, and nodes that a walk keeps.
+LEAST, KEEP = 0.68, 48
 SAMPLE, PROBES = 32_768, 200
 
 _code: dict[str, int] = {}
@@ -82,14 +86,10 @@ class Graph:
 
     def __init__(self, x: np.ndarray, rng: np.random.Generator):
         self.x, n = x, len(x)
-        self.links = None
+        self.links, self.beam = None, None
         if n <= 4 * ENTRIES:  # a walk would see all of it
             return
-        near = np.empty((n, LINKS), np.int32)
-        for lo in range(0, n, 1024):
-            s = x[lo : lo + 1024] @ x.T
-            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
-            near[lo : lo + 1024] = np.argpartition(s, n - LINKS, axis=1)[:, n - LINKS :]
+        near = self._near(x, rng)
         # Links back: the first LINKS nodes that chose a node, so that none is out of reach.
         to, frm = near.ravel(), np.repeat(np.arange(n, dtype=np.int32), LINKS)
         order = np.argsort(to, kind="stable")
@@ -98,74 +98,113 @@ class Graph:
         back = rng.integers(0, n, (n, LINKS), dtype=np.int32)
         few = pos < LINKS
         back[to[few], pos[few]] = frm[few]
-        self.links = np.hstack([near, back, rng.integers(0, n, (n, RANDOM_LINKS), dtype=np.int32)])
-        self.entries = rng.choice(n, ENTRIES, replace=False)
+        links = np.sort(np.hstack([near, back, rng.integers(0, n, (n, RANDOM_LINKS), dtype=np.int32)]), axis=1)
+        links[:, 1:][links[:, 1:] == links[:, :-1]] = -1
+        self.links = np.where(links < 0, np.arange(n, dtype=np.int32)[:, None], links)  # a link to itself is seen already
+        self.entries = np.sort(rng.choice(n, max(ENTRIES, n // UPPER), replace=False)).astype(np.int32)
+        self.upper = np.ascontiguousarray(x[self.entries])
+
+    @staticmethod
+    def _near(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """LINKS similar nodes of each node: the most similar ones of all, in large shards of the three leaves next to it."""
+        n = len(x)
+        if n <= 4 * LEAF:
+            near = np.empty((n, LINKS), np.int32)
+            for lo in range(0, n, 1024):
+                s = x[lo : lo + 1024] @ x.T
+                s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -9
+                near[lo : lo + 1024] = np.argpartition(s, n - LINKS, axis=1)[:, n - LINKS :]
+            return near
+        tree = Tree(x, LEAF, int(rng.integers(1 << 30)))
+        way = tree.search(x, 3)
+        node, sim = np.zeros((n, 3 * LINKS), np.int32), np.full((n, 3 * LINKS), -9, np.float32)
+        order = np.argsort(way[:, 0], kind="stable")
+        starts = np.searchsorted(way[order, 0], np.arange(tree.n_leaves + 1))
+        for j in range(way.shape[1]):
+            at = np.argsort(way[:, j], kind="stable")
+            cut = np.searchsorted(way[at, j], np.arange(tree.n_leaves + 1))
+            for leaf in range(tree.n_leaves):
+                own, asks = order[starts[leaf] : starts[leaf + 1]], at[cut[leaf] : cut[leaf + 1]]
+                k = min(LINKS, len(own))
+                if not k:
+                    continue
+                for lo in range(0, len(asks), 2048):
+                    rows = asks[lo : lo + 2048]
+                    s = x[rows] @ x[own].T
+                    if j == 0:
+                        s[rows[:, None] == own[None, :]] = -9
+                    top = np.argpartition(s, len(own) - k, axis=1)[:, len(own) - k :]
+                    node[rows, j * LINKS : j * LINKS + k] = own[top]
+                    sim[rows, j * LINKS : j * LINKS + k] = np.take_along_axis(s, top, 1)
+        best = np.argpartition(sim, 2 * LINKS, axis=1)[:, 2 * LINKS :]
+        out = np.take_along_axis(node, best, 1)
+        return np.where(np.take_along_axis(sim, best, 1) > -9, out, rng.integers(0, n, out.shape, dtype=np.int32))
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, similarities), best first; -1 pads."""
-        k, n = min(beam, len(self.x)), len(self.x)
-        if self.links is None or beam >= n:
-            s = q @ self.x.T
-            top = np.argpartition(s, n - k, axis=1)[:, n - k :]
-            v = np.take_along_axis(s, top, 1)
-            o = np.argsort(-v, axis=1)
-            return np.take_along_axis(top, o, 1).astype(np.int32), np.take_along_axis(v, o, 1)
+        """(nodes, similarities) of up to KEEP nodes met for each query; -1 pads.
+
+        ``beam``: a walk goes on while one of the ``beam`` best nodes, or any of LEAST or more, is not yet opened.
+        """
+        k, n = min(KEEP, len(self.x)), len(self.x)
         node, sim = np.full((len(q), k), -1, np.int32), np.full((len(q), k), -9, np.float32)
-        for lo in range(0, len(q), 1024):
-            self._walk(q[lo : lo + 1024], node[lo : lo + 1024], sim[lo : lo + 1024])
+        for lo in range(0, len(q), 512):
+            part = q[lo : lo + 512]
+            if self.links is None or beam >= n:
+                s = part @ self.x.T
+                top = np.argpartition(s, n - k, axis=1)[:, n - k :]
+                node[lo : lo + 512], sim[lo : lo + 512] = top, np.take_along_axis(s, top, 1)
+            else:
+                self._walk(part, beam, node[lo : lo + 512], sim[lo : lo + 512])
         return node, sim
 
-    def _walk(self, q: np.ndarray, node: np.ndarray, sim: np.ndarray) -> None:
+    def _walk(self, q: np.ndarray, beam: int, node: np.ndarray, sim: np.ndarray) -> None:
         m, k = node.shape
         seen = np.zeros((m, len(self.x)), bool)
-        s = q @ self.x[self.entries].T
-        first = min(k, 4)
-        top = np.argpartition(s, ENTRIES - first, axis=1)[:, ENTRIES - first :]
+        s = q @ self.upper.T
+        first = min(k, max(8, beam))
+        top = np.argpartition(s, s.shape[1] - first, axis=1)[:, -first:]
         node[:, :first], sim[:, :first] = self.entries[top], np.take_along_axis(s, top, 1)
         np.put_along_axis(seen, self.entries[top], True, 1)
         open_ = np.zeros((m, k), bool)
         open_[:, :first] = True
-        live = np.arange(m)
+        # The walks that still go on, with their state side by side.
+        live, ls, ln, lo_, lq, lseen = np.arange(m), sim.copy(), node.copy(), open_, q, seen
         while len(live):
-            at = np.where(open_[live], sim[live], -9).argmax(1)
-            go = open_[live, at]
-            live, at = live[go], at[go]
-            if not len(live):
-                return
-            open_[live, at] = False
-            out = self.links[node[live, at]]
-            fresh = ~seen[live[:, None], out]
-            seen[live[:, None], out] = True
-            v = np.einsum("nld,nd->nl", self.x[out], q[live])
+            at = np.where(lo_, ls, -9).argmax(1)
+            row = np.arange(len(live))
+            best = ls[row, at]
+            go = lo_[row, at] & ((best >= LEAST) | ((ls > best[:, None]).sum(1) < beam))
+            if not go.all():
+                done = live[~go]
+                node[done], sim[done] = ln[~go], ls[~go]
+                live, ls, ln, lo_, lq, at = live[go], ls[go], ln[go], lo_[go], lq[go], at[go]
+                if not len(live):
+                    return
+                row = np.arange(len(live))
+            lo_[row, at] = False
+            out = self.links[ln[row, at]]
+            fresh = ~lseen[live[:, None], out]
+            lseen[live[:, None], out] = True
+            v = np.einsum("nld,nd->nl", self.x[out], lq)
             v[~fresh] = -9
-            # A node linked twice counts once: only its first place keeps the similarity.
-            order = np.argsort(out, axis=1, kind="stable")
-            srt = np.take_along_axis(out, order, 1)
-            twice = np.zeros(out.shape, bool)
-            np.put_along_axis(twice, order[:, 1:], srt[:, 1:] == srt[:, :-1], 1)
-            v[twice] = -9
-            all_s, all_n = np.hstack([sim[live], v]), np.hstack([node[live], out])
-            all_o = np.hstack([open_[live], np.ones(v.shape, bool)])
+            all_s, all_n, all_o = np.hstack([ls, v]), np.hstack([ln, out]), np.hstack([lo_, fresh])
             keep = np.argpartition(all_s, all_s.shape[1] - k, axis=1)[:, -k:]
-            sim[live], node[live] = np.take_along_axis(all_s, keep, 1), np.take_along_axis(all_n, keep, 1)
-            open_[live] = np.take_along_axis(all_o, keep, 1) & (sim[live] > -9)
-
-    def tuned(self, q: np.ndarray, recall: float, start: int = 8) -> int:
-        """Beam at which a walk finds the wanted part of what exhaustive search finds at LEAST or more among its eight best."""
-        if self.links is None or not len(q):
-            return start
-        s = q @ self.x.T
-        kth = np.partition(s, len(self.x) - 8, axis=1)[:, len(self.x) - 8]
-        want = s >= np.maximum(kth, LEAST)[:, None]
-        beam = start
-        while beam < len(self.x):
-            node, _ = self.search(q, beam)
-            got = np.zeros(want.shape, bool)
-            np.put_along_axis(got, np.maximum(node, 0), True, 1)
-            if (got & want).sum() >= recall * want.sum():
-                break
-            beam *= 2
-        return beam
+            flat = keep + row[:, None] * all_s.shape[1]
+            ls, ln, lo_ = all_s.ravel()[flat], all_n.ravel()[flat], all_o.ravel()[flat]
+
+    def tune(self, q: np.ndarray, recall: float, means) -> int:
+        """The beam, widened until walks find the wanted part of what exhaustive search finds: nodes of LEAST or more that ``means(i, node)`` the same."""
+        if self.beam is None:
+            self.beam = 8
+            if self.links is not None and len(q):
+                i, j = np.nonzero(q @ self.x.T >= LEAST)
+                want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if means(a, b)}
+                while self.beam < KEEP and want:
+                    node, _ = self.search(q, self.beam)
+                    if sum(b in node[a] for a, b in want) >= recall * len(want):
+                        break
+                    self.beam *= 2
+        return self.beam
 
 
 def facts(triples: DataFrame, configs: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -209,7 +248,7 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     """(node, first): for nodes (node, KEY, first_ok, first_batch, last_batch) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
@@ -250,6 +289,8 @@ def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
         home = t.column("home").to_numpy()
         node, last, first = (t.column(c).to_numpy() for c in ("node", "last_batch", "first_batch"))
         ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
+        relation = t.column("rel").to_numpy()
+        ok_or_last = np.where(np.isnan(ok), np.inf, ok)  # a match later than the node's own first row changes nothing
         rng = np.random.default_rng(int(key[0].as_py()) + 1)
         best: dict[int, float] = {}
         index = home & ~np.isnan(ok)  # rejected rows alone hold nothing
@@ -262,21 +303,29 @@ def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
                 graphs[lo, hi] = [(Graph(v[part], rng), part) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
             return graphs[lo, hi]
 
+        def means(a: int, c: int) -> bool:
+            f, g = keys[a], keys[c]
+            return f[3] == g[3] and same(f[:3], g[:3]) and same(f[4:], g[4:])
+
+        def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
+            for graph, rows in shards(*span):
+                some = q[:: max(1, len(q) // 256)][:256]
+                beam = graph.tune(v[some], recall, lambda a, b: means(some[a], rows[b]))  # noqa: B023
+                near, sim = graph.search(v[q], beam)
+                i, j = np.nonzero(sim >= LEAST)
+                a, c = q[i], rows[near[i, j]]
+                hit = (relation[a] == relation[c]) & (ok[c] <= ok_or_last[a])
+                for a, c in zip(a[hit].tolist(), c[hit].tolist()):
+                    if ok[c] < best.get(a, np.inf) and (a == c or means(a, c)):
+                        best[a] = ok[c]
+
+        meet_in((0, 0), np.flatnonzero(last > 0))
         for batch in np.unique(last[last > 0]):
-            q = np.flatnonzero(last == batch)
-            for lo, hi in [(0, 0), *visible(int(batch))]:
-                for graph, rows in shards(lo, hi):
-                    beam = graph.tuned(v[q[:: max(1, len(q) // 32)][:32]], recall)
-                    near, sim = graph.search(v[q], beam)
-                    i, j = np.nonzero(sim >= LEAST)
-                    for a, c in zip(q[i], rows[near[i, j]]):
-                        f = keys[a]
-                        g = keys[c]
-                        if f[3] == g[3] and ok[c] < best.get(a, np.inf) and (a == c or same(f[:3], g[:3]) and same(f[4:], g[4:])):
-                            best[a] = ok[c]
-            for span in [x for x in graphs if x[0] > 0 and x not in visible(int(batch) + 1)]:
-                if not any(span == y for later in range(int(batch) + 1, int(last.max()) + 1) for y in visible(later)):
-                    del graphs[span]
+            for span in visible(int(batch)):
+                meet_in(span, np.flatnonzero(last == batch))
+            later = {y for z in range(int(batch) + 1, int(last.max()) + 1) for y in visible(z)}
+            for span in [x for x in graphs if x[0] > 0 and x not in later]:
+                del graphs[span]  # merged into a larger shard
         return pa.table({"node": pa.array(node[list(best)], pa.int64()), "first": pa.array([int(x) for x in best.values()], pa.int64())})
 
     routed = nodes.select("node", "first_ok", "first_batch", "last_batch", *KEY).mapInArrow(
@@ -293,7 +342,8 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
     if not len(pick):
         return min(2, tree.n_leaves)
     q, own = x[pick], sample.column("node").to_numpy()[pick]
-    qk = [_keys(sample)[i] for i in pick]
+    keys_ = _keys(sample)
+    qk = [keys_[i] for i in pick]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..runtime import join_checked, materialize
 
 #: Bound of the sample that the tree is fitted on, rows aimed at per leaf, children of a node, leaves of a bucket, calibration queries.
-SAMPLE, LEAF_ROWS, BRANCH, BUCKET_LEAVES, PROBES = 65_536, 256, 16, 16, 256
-MAX_LEAVES = 4096
+SAMPLE, LEAF_ROWS, BRANCH, BUCKET_LEAVES, PROBES = 65_536, 1024, 16, 8, 256
+MAX_LEAVES = 8192
 
 
 def unit(x: np.ndarray) -> np.ndarray:
