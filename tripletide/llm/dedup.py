@@ -30,11 +30,11 @@ DIM = 2 * NAME_DIM + REL_DIM
 NAME_WEIGHT, REL_WEIGHT = 0.42, 0.16
 #: Nodes per cell aimed at and per shard at most; nodes of a leaf in which a node's links are looked for; links per node; entry points.
 CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
-#: One node in so many is a place to enter a graph.
-UPPER = 4
-#: Similarity from which a meeting is reranked, and nodes that a walk keeps.
-LEAST, KEEP = 0.68, 48
-SAMPLE, PROBES = 32_768, 200
+#: One node in so many is a place to enter a graph; shards up to WHOLE nodes need none and are compared whole.
+UPPER, WHOLE = 4, 2048
+#: Similarity from which a meeting is reranked, that of each name from which it is, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
+LEAST, EACH, NEAR, KEEP = 0.68, 0.45, 0.8, 32
+SAMPLE, PROBES = 32_768, 600
 
 _code: dict[str, int] = {}
 
@@ -87,7 +87,7 @@ class Graph:
     def __init__(self, x: np.ndarray, rng: np.random.Generator):
         self.x, n = x, len(x)
         self.links, self.beam = None, None
-        if n <= 4 * ENTRIES:  # a walk would see all of it
+        if n <= WHOLE:  # a walk would see much of it at a higher price
             return
         near = self._near(x, rng)
         # Links back: the first LINKS nodes that chose a node, so that none is out of reach.
@@ -108,7 +108,7 @@ class Graph:
     def _near(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """LINKS similar nodes of each node: the most similar ones of all, in large shards of the three leaves next to it."""
         n = len(x)
-        if n <= 4 * LEAF:
+        if n <= 2 * LEAF:
             near = np.empty((n, LINKS), np.int32)
             for lo in range(0, n, 1024):
                 s = x[lo : lo + 1024] @ x.T
@@ -143,7 +143,7 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of up to KEEP nodes met for each query; -1 pads.
 
-        ``beam``: a walk goes on while one of the ``beam`` best nodes, or any of LEAST or more, is not yet opened.
+        ``beam``: a walk goes on while one of the ``beam`` best nodes, or any of NEAR or more, is not yet opened.
         """
         k, n = min(KEEP, len(self.x)), len(self.x)
         node, sim = np.full((len(q), k), -1, np.int32), np.full((len(q), k), -9, np.float32)
@@ -173,7 +173,7 @@ class Graph:
             at = np.where(lo_, ls, -9).argmax(1)
             row = np.arange(len(live))
             best = ls[row, at]
-            go = lo_[row, at] & ((best >= LEAST) | ((ls > best[:, None]).sum(1) < beam))
+            go = lo_[row, at] & ((best >= NEAR) | ((ls > best[:, None]).sum(1) < beam))
             if not go.all():
                 done = live[~go]
                 node[done], sim[done] = ln[~go], ls[~go]
@@ -193,15 +193,16 @@ class Graph:
             ls, ln, lo_ = all_s.ravel()[flat], all_n.ravel()[flat], all_o.ravel()[flat]
 
     def tune(self, q: np.ndarray, recall: float, means) -> int:
-        """The beam, widened until walks find the wanted part of what exhaustive search finds: nodes of LEAST or more that ``means(i, node)`` the same."""
+        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs of LEAST or more that ``means(i, node)`` keeps."""
         if self.beam is None:
             self.beam = 8
             if self.links is not None and len(q):
                 i, j = np.nonzero(q @ self.x.T >= LEAST)
-                want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if means(a, b)}
-                while self.beam < KEEP and want:
+                keep = means(i, j)
+                i, j = i[keep], j[keep]
+                while self.beam < KEEP and len(i):
                     node, _ = self.search(q, self.beam)
-                    if sum(b in node[a] for a, b in want) >= recall * len(want):
+                    if (node[i] == j[:, None]).any(1).mean() >= recall:
                         break
                     self.beam *= 2
         return self.beam
@@ -248,6 +249,69 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
+def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray, first: np.ndarray, last: np.ndarray, recall: float, seed: int) -> dict[int, int]:
+    """{row: least first_ok} of the rows of one cell with a row in a batch (last > 0) that mean a fact held here.
+
+    keys, v: KEY and vector of each row; home: the cell is the row's own, so that it is indexed here; ok: least seq of the node's rows that are not rejected, or NaN.
+    """
+    relation = np.array([f[3] for f in keys])
+    own = np.where(np.isnan(ok), np.inf, ok)  # a match later than the node's own first row changes nothing
+    rng = np.random.default_rng(seed + 1)
+    best: dict[int, int] = {}
+    index = home & ~np.isnan(ok)  # nodes of rejected rows alone hold nothing
+    graphs: dict[tuple, list[tuple[Graph, np.ndarray]]] = {}
+
+    def shards(lo: int, hi: int) -> list[tuple[Graph, np.ndarray]]:
+        if (lo, hi) not in graphs:
+            rows = np.flatnonzero(index & (first >= lo) & (first <= hi))
+            rows = rows[np.argsort(ok[rows], kind="stable")]
+            graphs[lo, hi] = [(Graph(v[part], rng), part) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
+        return graphs[lo, hi]
+
+    part = np.stack([v[:, :NAME_DIM], v[:, NAME_DIM : 2 * NAME_DIM]])
+
+    def plausible(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Same relation, and either name like the other's."""
+        out = relation[a] == relation[c]
+        for x in part:
+            at = np.flatnonzero(out)
+            out[at] = np.einsum("nd,nd->n", x[a[at]], x[c[at]]) >= EACH * NAME_WEIGHT
+        return out
+
+    def means(a: int, c: int) -> bool:
+        f, g = keys[a], keys[c]
+        return same(f[:3], g[:3]) and same(f[4:], g[4:])
+
+    def verified(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        out = plausible(a, c)
+        for i in np.flatnonzero(out):
+            out[i] = means(a[i], c[i])
+        return out
+
+    def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
+        for graph, rows in shards(*span):
+            some = q[:: max(1, len(q) // 256)][:256]
+            beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]))  # noqa: B023
+            near, sim = graph.search(v[q], beam)
+            i, j = np.nonzero(sim >= LEAST)
+            a, c = q[i], rows[near[i, j]]
+            early = ok[c] <= own[a]
+            a, c = a[early], c[early]
+            hit = plausible(a, c)
+            for a, c in zip(a[hit].tolist(), c[hit].tolist()):
+                if ok[c] < best.get(a, np.inf) and (a == c or means(a, c)):
+                    best[a] = int(ok[c])
+
+    meet_in((0, 0), np.flatnonzero(last > 0))
+    for batch in np.unique(last[last > 0]):
+        for span in visible(int(batch)):
+            meet_in(span, np.flatnonzero(last == batch))
+        later = {y for z in range(int(batch) + 1, int(last.max()) + 1) for y in visible(z)}
+        for span in [x for x in graphs if x[0] > 0 and x not in later]:
+            del graphs[span]  # merged into a larger shard
+    return best
+
+
 def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     """(node, first): for nodes (node, KEY, first_ok, first_batch, last_batch) with a row in a batch, the least first_ok of all nodes of the same fact.
 
@@ -280,56 +344,19 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
                 w = t.search(v[asks], visits)
                 way[asks, : w.shape[1]] = w
             row, nth = np.nonzero(way >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in b.columns]], names=["cell", "home", *b.schema.names])
+            small = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * DIM).astype(np.int32).tobytes()), pa.py_buffer(np.rint(v * 127).astype(np.int8).tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in (*b.columns, small)]], names=["cell", "home", *b.schema.names, "v"])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
-        keys = _keys(t)
-        v = vectors(keys)
-        home = t.column("home").to_numpy()
-        node, last, first = (t.column(c).to_numpy() for c in ("node", "last_batch", "first_batch"))
+        node = t.column("node").to_numpy()
         ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
-        relation = t.column("rel").to_numpy()
-        ok_or_last = np.where(np.isnan(ok), np.inf, ok)  # a match later than the node's own first row changes nothing
-        rng = np.random.default_rng(int(key[0].as_py()) + 1)
-        best: dict[int, float] = {}
-        index = home & ~np.isnan(ok)  # rejected rows alone hold nothing
-        graphs: dict[tuple, list[tuple[Graph, np.ndarray]]] = {}
-
-        def shards(lo: int, hi: int) -> list[tuple[Graph, np.ndarray]]:
-            if (lo, hi) not in graphs:
-                rows = np.flatnonzero(index & (first >= lo) & (first <= hi))
-                rows = rows[np.argsort(ok[rows], kind="stable")]
-                graphs[lo, hi] = [(Graph(v[part], rng), part) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
-            return graphs[lo, hi]
-
-        def means(a: int, c: int) -> bool:
-            f, g = keys[a], keys[c]
-            return f[3] == g[3] and same(f[:3], g[:3]) and same(f[4:], g[4:])
-
-        def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
-            for graph, rows in shards(*span):
-                some = q[:: max(1, len(q) // 256)][:256]
-                beam = graph.tune(v[some], recall, lambda a, b: means(some[a], rows[b]))  # noqa: B023
-                near, sim = graph.search(v[q], beam)
-                i, j = np.nonzero(sim >= LEAST)
-                a, c = q[i], rows[near[i, j]]
-                hit = (relation[a] == relation[c]) & (ok[c] <= ok_or_last[a])
-                for a, c in zip(a[hit].tolist(), c[hit].tolist()):
-                    if ok[c] < best.get(a, np.inf) and (a == c or means(a, c)):
-                        best[a] = ok[c]
-
-        meet_in((0, 0), np.flatnonzero(last > 0))
-        for batch in np.unique(last[last > 0]):
-            for span in visible(int(batch)):
-                meet_in(span, np.flatnonzero(last == batch))
-            later = {y for z in range(int(batch) + 1, int(last.max()) + 1) for y in visible(z)}
-            for span in [x for x in graphs if x[0] > 0 and x not in later]:
-                del graphs[span]  # merged into a larger shard
-        return pa.table({"node": pa.array(node[list(best)], pa.int64()), "first": pa.array([int(x) for x in best.values()], pa.int64())})
+        v = unit(np.frombuffer(b"".join(t.column("v").to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32))
+        found_ = meet_cell(_keys(t), v, t.column("home").to_numpy(), ok, t.column("first_batch").to_numpy(), t.column("last_batch").to_numpy(), recall, int(key[0].as_py()))
+        return pa.table({"node": pa.array(node[list(found_)], pa.int64()), "first": pa.array(list(found_.values()), pa.int64())})
 
     routed = nodes.select("node", "first_ok", "first_batch", "last_batch", *KEY).mapInArrow(
-        route, "cell int, home boolean, node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string"
+        route, "cell int, home boolean, node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string, v binary"
     )
     met = routed.groupBy("cell").applyInArrow(meet, "node bigint, first bigint")
     return met.groupBy("node").agg(F.min("first").alias("first"))
