@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import join_checked, materialize
 
 #: Bound of the sample that the tree is fitted on, rows aimed at per leaf, children of a node, leaves of a bucket, calibration queries.
-SAMPLE, LEAF_ROWS, BRANCH, BUCKET_LEAVES, PROBES = 65_536, 1024, 16, 8, 256
+SAMPLE, LEAF_ROWS, BRANCH, BUCKET_LEAVES, PROBES = 65_536, 1024, 16, 16, 256
 MAX_LEAVES = 8192
 
 
@@ -150,7 +150,7 @@ def _sample(v: DataFrame, total: int, bound: int) -> tuple[list[str], pa.Array]:
     return t.column("id").to_pylist(), t.column("v").combine_chunks()
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, min_cosine: float | None = None, recall: float = 0.985) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, min_cosine: float | None = None, recall: float = 0.99) -> DataFrame:
     """(id, other, cosine): for every valid vector its k most similar others, as far as their cosine is ``min_cosine`` or more.
 
     Vectors that are null, of another length, with nulls or NaN, or all zero are no vectors here and appear on neither side. Of equally similar
@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
         rank = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
         heads = join_checked(keyed.select("id", "h1", "h2").distinct(), heavy, ["h1", "h2"]).withColumn("r", rank).where(F.col("r") <= k + 1)
         heads = materialize(heads.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("heads")), "p1-heads")
-        keyed = materialize(join_checked(keyed, heads, ["h1", "h2"], "left"), "p1-keyed")
+        keyed = join_checked(keyed, heads, ["h1", "h2"], "left")
         spare = F.col("heads").isNotNull() & (F.col("id") > F.element_at("heads", -1))
         copies = keyed.where(spare).select("id", F.explode(F.slice("heads", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
         v = keyed.where(~spare).select("id", "v")
