@@ -33,8 +33,8 @@ CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
 #: One node in so many is a place to enter a graph; shards up to WHOLE nodes need none and are compared whole.
 UPPER, WHOLE = 4, 2048
 #: Similarity from which a meeting is reranked, that of each name from which it is, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
-LEAST, EACH, NEAR, KEEP = 0.68, 0.45, 0.8, 32
-SAMPLE, PROBES = 32_768, 600
+LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
+SAMPLE, PROBES = 32_768, 400
 
 _code: dict[str, int] = {}
 
@@ -239,6 +239,26 @@ def _keys(t: pa.Table | pa.RecordBatch) -> list[tuple]:
     return list(zip(*(t.column(c).to_pylist() for c in KEY)))
 
 
+NODE = "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string, v binary"
+
+
+def with_vectors(nodes: DataFrame) -> DataFrame:
+    """Nodes with their vector as DIM signed bytes: it is needed three times and costs more than to store."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                raw = np.rint(vectors(_keys(b)) * 127).astype(np.int8).tobytes()
+                ends = pa.py_buffer((np.arange(b.num_rows + 1) * DIM).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(raw)])], names=[*b.schema.names, "v"])
+
+    return nodes.select("node", "first_ok", "first_batch", "last_batch", *KEY).mapInArrow(run, NODE)
+
+
+def _stored(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(t.column("v").to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32))
+
+
 def visible(batch: int) -> list[tuple[int, int]]:
     """Ranges of batches whose merged shards are there when ``batch`` has been added: a binary counter, history apart."""
     out, lo = [], 1
@@ -312,8 +332,8 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
-    """(node, first): for nodes (node, KEY, first_ok, first_batch, last_batch) with a row in a batch, the least first_ok of all nodes of the same fact.
+def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
+    """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
     Nodes are unique by KEY. A node matches itself.
@@ -323,9 +343,9 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "node bigint, first bigint")
     share = min(1.0, SAMPLE / total)
-    s = nodes.where(F.pmod(F.col("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "last_batch", *KEY).limit(2 * SAMPLE).toArrow()
+    s = nodes.where(F.pmod(F.col("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "last_batch", *KEY, "v").limit(2 * SAMPLE).toArrow()
     s = s.sort_by("node")
-    x = vectors(_keys(s)) if s.num_rows else np.zeros((0, DIM), np.float32)
+    x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
     visits = _visits(nodes, tree, s, x, recall) if tree.n_leaves > 1 else 1
@@ -336,7 +356,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = vectors(_keys(b))
+            v = _stored(b)
             asks = b.column("last_batch").to_numpy() > 0
             way = np.full((len(v), visits), -1, np.int32)
             way[:, :1] = t.search(v, 1)
@@ -344,20 +364,16 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
                 w = t.search(v[asks], visits)
                 way[asks, : w.shape[1]] = w
             row, nth = np.nonzero(way >= 0)
-            small = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer((np.arange(len(v) + 1) * DIM).astype(np.int32).tobytes()), pa.py_buffer(np.rint(v * 127).astype(np.int8).tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in (*b.columns, small)]], names=["cell", "home", *b.schema.names, "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in b.columns]], names=["cell", "home", *b.schema.names])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
         node = t.column("node").to_numpy()
         ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
-        v = unit(np.frombuffer(b"".join(t.column("v").to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32))
-        found_ = meet_cell(_keys(t), v, t.column("home").to_numpy(), ok, t.column("first_batch").to_numpy(), t.column("last_batch").to_numpy(), recall, int(key[0].as_py()))
+        found_ = meet_cell(_keys(t), _stored(t), t.column("home").to_numpy(), ok, t.column("first_batch").to_numpy(), t.column("last_batch").to_numpy(), recall, int(key[0].as_py()))
         return pa.table({"node": pa.array(node[list(found_)], pa.int64()), "first": pa.array(list(found_.values()), pa.int64())})
 
-    routed = nodes.select("node", "first_ok", "first_batch", "last_batch", *KEY).mapInArrow(
-        route, "cell int, home boolean, node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string, v binary"
-    )
+    routed = nodes.mapInArrow(route, "cell int, home boolean, " + NODE)
     met = routed.groupBy("cell").applyInArrow(meet, "node bigint, first bigint")
     return met.groupBy("node").agg(F.min("first").alias("first"))
 
@@ -377,14 +393,14 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
             if not b.num_rows:
                 continue
             keys = _keys(b)
-            v = vectors(keys)
+            v = _stored(b)
             i, j = np.nonzero(q @ v.T >= LEAST)
             node = b.column("node").to_numpy()
             hit = [(a, c) for a, c in zip(i, j) if own[a] != node[c] and qk[a][3] == keys[c][3] and same(qk[a][:3], keys[c][:3]) and same(qk[a][4:], keys[c][4:])]
             home = [int(tree.search(v[c : c + 1], 1)[0, 0]) for _, c in hit]
             yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in hit], pa.int32()), pa.array(home, pa.int32())], names=["q", "cell"])
 
-    t = nodes.select("node", *KEY).mapInArrow(scan, "q int, cell int").toArrow()
+    t = nodes.select("node", *KEY, "v").mapInArrow(scan, "q int, cell int").toArrow()
     if not t.num_rows:
         return min(2, tree.n_leaves)
     wide = min(tree.n_leaves, 64)
@@ -405,7 +421,7 @@ def found(triples: DataFrame, configs: DataFrame, catalog: DataFrame) -> DataFra
     n = f.groupBy("node").agg(
         *[F.any_value(c).alias(c) for c in KEY], F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"), F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")
     )
-    n = materialize(n, "p2-nodes")
+    n = materialize(with_vectors(n), "p2-nodes")
     d = materialize(duplicates(n), "p2-found")
     rows = f.where("batch_id > 0").select("node", "seq").distinct()
     return rows.join(d, "node").where("first < seq").select(F.col("first").alias("seq_first"), F.col("seq").alias("seq_dup"))

@@ -106,6 +106,15 @@ def _given(plain: str, folded: str) -> tuple[str | None, bool]:
     return max(a, b, key=lambda g: (g[0] is not None, g[1]))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+").findall
+
+
+@lru_cache(200_000)
+def _word(w: str) -> tuple[str, str]:
+    """(plain, folded)."""
+    return w.lower().translate(_PLAIN), fold(w)
+
+
 _HIDDEN = re.compile(r"[\u0000-\u0008\u000e-\u001f\u007f\u00ad\u200b-\u200f\u2028-\u202e\u2060\ufeff]")
 
 
@@ -120,7 +129,7 @@ def words(name: str) -> list[tuple[str, str]]:
     if not re.search(r"[\s\-,.]", s.strip(" \"'.")):
         s = _SPLIT.sub(" ", s)
     before, _, after = s.partition(",")
-    return [(w.lower().translate(_PLAIN), f) for w in re.findall(r"[^\W\d_]+", f"{after} {before}") if (f := fold(w))]
+    return [x for w in _LETTERS(f"{after} {before}") if (x := _word(w))[1]]
 
 
 def read(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
@@ -177,6 +186,7 @@ def _hint(kind: str) -> str:
     return ""
 
 
+@lru_cache(100_000)
 def read_any(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
     """`read` for things of any type: places, events, documents and concepts give (X, folded text, numbers)."""
     if not name:
@@ -194,7 +204,7 @@ def read_any(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
     if h != "X":
         return read(name, "pers" if h == "P" else "org")
     s = clean(name)
-    text = " ".join(f for x in re.findall(r"[^\W\d_]+", s) if (f := fold(x)))
+    text = " ".join(f for x in _LETTERS(s) if (f := fold(x)))
     return ("X", text, ".".join(_DIGITS.findall(s))) if text else None
 
 
