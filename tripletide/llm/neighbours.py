@@ -200,7 +200,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             rows, at = np.concatenate(rows), np.concatenate(at)
             blob = raw.tobytes()
             vec = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * dim * 4).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(way) + 1) * way.shape[1]).astype(np.int32)), pa.array(way.ravel()))
+            wide = way.shape[1] * 2  # leaves fit 16 bits
+            lists = pa.Array.from_buffers(pa.binary(), len(way), [None, pa.py_buffer((np.arange(len(way) + 1) * wide).astype(np.int32).tobytes()), pa.py_buffer(way.astype(np.int16).tobytes())])
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0).take(take), vec.take(take), lists.take(take)], names=["bucket", "id", "v", "way"])
 
@@ -209,7 +210,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
         names = np.array(t.column("id").to_pylist(), dtype=object)
         names, pick = np.unique(names, return_index=True)  # a repeated id counts once; ids are numbered in their order
         raw = _matrix(t.column("v").combine_chunks(), dim)[pick]
-        way = t.column("way").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)[pick]
+        way = np.frombuffer(b"".join(t.column("way").to_pylist()), np.int16).reshape(t.num_rows, -1)[pick]
         u = unit(raw)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf in range(bucket * BUCKET_LEAVES, (bucket + 1) * BUCKET_LEAVES):
@@ -248,8 +249,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             c = np.zeros(0)
         return pa.table({"id": pa.array(names[a].tolist(), pa.string()), "other": pa.array(names[b].tolist(), pa.string()), "cosine": pa.array(c)})
 
-    routed = v.mapInArrow(route, "bucket int, id string, v binary, way array<int>")
-    met = routed.groupBy("bucket").applyInArrow(meet, out_schema).distinct()
+    routed = v.mapInArrow(route, "bucket int, id string, v binary, way binary")
+    met = routed.groupBy("bucket").applyInArrow(meet, out_schema).repartition("id")  # one shuffle for what follows
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     best = met.dropDuplicates(["id", "other"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
     return best if copies is None else best.unionByName(copies)
