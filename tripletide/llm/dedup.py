@@ -289,12 +289,21 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
         return graphs[lo, hi]
 
     part = np.stack([v[:, :NAME_DIM], v[:, NAME_DIM : 2 * NAME_DIM]])
+    # What two readings of one thing must share, as numbers: the kind; the numbers of a thing; the first letter of a given name, unless both are long.
+    kind = np.array([[ord(f[0]), ord(f[4])] for f in keys]).reshape(-1, 2)
+    extra = np.array([[_hash(f[2] if f[0] == "X" else f[2][:1]), _hash(f[6] if f[4] == "X" else f[6][:1])] for f in keys], dtype=np.int64).reshape(-1, 2)
+    long_ = np.array([[f[0] == "P" and len(f[2]) > 4, f[4] == "P" and len(f[6]) > 4] for f in keys]).reshape(-1, 2)
+    size = np.array([[len(f[1]), len(f[5])] for f in keys]).reshape(-1, 2)
 
     def plausible(a: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Same relation, and either name like the other's."""
         out = relation[a] == relation[c]
-        for x in part:
+        for j, x in enumerate(part):
             at = np.flatnonzero(out)
+            i, k = a[at], c[at]
+            ok_ = (kind[i, j] == kind[k, j]) & (np.abs(size[i, j] - size[k, j]) <= 3) & ((extra[i, j] == extra[k, j]) | (long_[i, j] & long_[k, j]))
+            out[at[~ok_]] = False
+            at = at[ok_]
             out[at] = np.einsum("nd,nd->n", x[a[at]], x[c[at]]) >= EACH * NAME_WEIGHT
         return out
 
@@ -310,7 +319,8 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
 
     def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
         for graph, rows in shards(*span):
-            some = q[:: max(1, len(q) // 256)][:256]
+            some = q[home[q]]  # queries from elsewhere seldom match here and would tell little
+            some = some[:: max(1, len(some) // 256)][:256]
             beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]))  # noqa: B023
             near, sim = graph.search(v[q], beam)
             i, j = np.nonzero(sim >= LEAST)
@@ -332,7 +342,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
@@ -348,7 +358,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
     x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits = _visits(nodes, tree, s, x, recall) if tree.n_leaves > 1 else 1
+    visits = _visits(nodes, tree, s, x, recall - 0.03) if tree.n_leaves > 1 else 1
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
