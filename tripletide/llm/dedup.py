@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
 UPPER, WHOLE = 4, 2048
 #: Similarity from which a meeting is reranked, that of each name from which it is, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
 LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
+#: Most cells that a query visits.
+MOST = 8
 SAMPLE, PROBES = 32_768, 400
 
 _code: dict[str, int] = {}
@@ -48,6 +52,7 @@ def _hash(g: str) -> int:
     return c
 
 
+@lru_cache(100_000)
 def _features(kind: str, core: str, extra: str) -> list[int]:
     if kind == "X":
         w = core.split(" ")
@@ -269,6 +274,16 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
+def _traits(kind: tuple, core: tuple, extra: tuple) -> tuple[np.ndarray, ...]:
+    """What two readings of one thing must share, as numbers: the kind; a thing's numbers or a given name's first letter, unless both given names are long; nearly the length."""
+    k, e = pa.array(kind, pa.string()), pa.array(extra, pa.string())
+    thing = pc.equal(k, "X")
+    must = pc.if_else(thing, e, pc.utf8_slice_codeunits(e, 0, 1))
+    code = lambda x: x.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    long_ = pc.and_(pc.equal(k, "P"), pc.greater(pc.utf8_length(e), 4))
+    return code(k), code(must), long_.to_numpy(zero_copy_only=False), pc.utf8_length(pa.array(core, pa.string())).to_numpy()
+
+
 def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray, first: np.ndarray, last: np.ndarray, recall: float, seed: int) -> dict[int, int]:
     """{row: least first_ok} of the rows of one cell with a row in a batch (last > 0) that mean a fact held here.
 
@@ -289,11 +304,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
         return graphs[lo, hi]
 
     part = np.stack([v[:, :NAME_DIM], v[:, NAME_DIM : 2 * NAME_DIM]])
-    # What two readings of one thing must share, as numbers: the kind; the numbers of a thing; the first letter of a given name, unless both are long.
-    kind = np.array([[ord(f[0]), ord(f[4])] for f in keys]).reshape(-1, 2)
-    extra = np.array([[_hash(f[2] if f[0] == "X" else f[2][:1]), _hash(f[6] if f[4] == "X" else f[6][:1])] for f in keys], dtype=np.int64).reshape(-1, 2)
-    long_ = np.array([[f[0] == "P" and len(f[2]) > 4, f[4] == "P" and len(f[6]) > 4] for f in keys]).reshape(-1, 2)
-    size = np.array([[len(f[1]), len(f[5])] for f in keys]).reshape(-1, 2)
+    kind, extra, long_, size = (np.stack(x, 1) for x in zip(*(_traits(*list(zip(*keys))[lo : lo + 3]) for lo in (0, 4)))) if keys else [np.zeros((0, 2), int)] * 4
 
     def plausible(a: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Same relation, and either name like the other's."""
@@ -358,7 +369,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits = _visits(nodes, tree, s, x, recall - 0.03) if tree.n_leaves > 1 else 1
+    visits, margin = _visits(nodes, tree, s, x, recall - 0.02) if tree.n_leaves > 1 else (1, 0.0)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +382,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
             way = np.full((len(v), visits), -1, np.int32)
             way[:, :1] = t.search(v, 1)
             if asks.any():
-                w = t.search(v[asks], visits)
-                way[asks, : w.shape[1]] = w
+                way[asks] = _cells(t, v[asks], visits, margin)
             row, nth = np.nonzero(way >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in b.columns]], names=["cell", "home", *b.schema.names])
 
@@ -388,12 +398,12 @@ def duplicates(nodes: DataFrame, recall: float = 0.96) -> DataFrame:
     return met.groupBy("node").agg(F.min("first").alias("first"))
 
 
-def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recall: float) -> int:
-    """Cells to visit so that the wanted part of the sampled queries' neighbours lies in one, by exhaustive comparison with all nodes."""
+def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recall: float) -> tuple[int, float]:
+    """(most cells to visit, margin): cells as similar as the best one, less the margin, hold the wanted part of what the sampled queries match by exhaustive comparison with all nodes."""
     new = np.flatnonzero(sample.column("last_batch").to_numpy() > 0)
     pick = new[np.unique(np.linspace(0, len(new) - 1, min(PROBES, len(new))).astype(int))] if len(new) else new
     if not len(pick):
-        return min(2, tree.n_leaves)
+        return min(2, tree.n_leaves), 0.05
     q, own = x[pick], sample.column("node").to_numpy()[pick]
     keys_ = _keys(sample)
     qk = [keys_[i] for i in pick]
@@ -412,12 +422,30 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
 
     t = nodes.select("node", *KEY, "v").mapInArrow(scan, "q int, cell int").toArrow()
     if not t.num_rows:
-        return min(2, tree.n_leaves)
-    wide = min(tree.n_leaves, 64)
-    way = tree.search(q, wide)[t.column("q").to_numpy()]
-    hit = way == t.column("cell").to_numpy()[:, None]
-    rank = np.where(hit.any(1), hit.argmax(1), wide)
-    return int(min(tree.n_leaves, np.quantile(rank, recall, method="higher") + 1))
+        return min(2, tree.n_leaves), 0.05
+    wide = min(tree.n_leaves, MOST)
+    way = tree.search(q, wide)
+    i, hit = t.column("q").to_numpy(), way[t.column("q").to_numpy()] == t.column("cell").to_numpy()[:, None]
+    sim = _leaf_similarity(tree, q, way)
+    gap = np.where(hit.any(1), sim[i, 0] - sim[i, hit.argmax(1)], 2.0)
+    return wide, float(np.quantile(np.maximum(gap, 0), recall, method="higher"))
+
+
+def _leaf_similarity(tree: Tree, q: np.ndarray, way: np.ndarray) -> np.ndarray:
+    leaf_node = np.flatnonzero(tree.leaf >= 0)
+    of = np.empty(tree.n_leaves, np.int64)
+    of[tree.leaf[leaf_node]] = leaf_node
+    s = np.einsum("nkd,nd->nk", tree.centre[of[np.maximum(way, 0)]], q)
+    return np.where(way >= 0, s, -9)
+
+
+def _cells(tree: Tree, q: np.ndarray, most: int, margin: float) -> np.ndarray:
+    """Cells of each query, best first, as far as they are within ``margin`` of the first; -1 pads."""
+    way = np.full((len(q), most), -1, np.int32)
+    w = tree.search(q, most)
+    s = _leaf_similarity(tree, q, w)
+    way[:, : w.shape[1]] = np.where(s >= s[:, :1] - margin, w, -1)
+    return way
 
 
 def found(triples: DataFrame, configs: DataFrame, catalog: DataFrame) -> DataFrame:
