@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import history
-from ..runtime import table
+from . import cascade_queries, corpus_queries, graph_queries, metric_queries, rule_queries, store_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.found(table(spark, d, "graph_updates"))
+MODULES = (rule_queries, store_queries, text_queries, graph_queries, cascade_queries, corpus_queries, metric_queries, stream_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found}
+    out: dict[str, Query] = {}
+    for m in MODULES:
+        out |= m.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in MODULES:
+        out |= m.SQL
+    return out
