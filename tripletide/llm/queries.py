@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
 from . import canonical, components, dedup, mixture, neighbours, quality, survivor, tokenize, variants
+from .sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
