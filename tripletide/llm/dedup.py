@@ -209,7 +209,7 @@ class Graph:
                     node, _ = self.search(q, self.beam)
                     if (node[i] == j[:, None]).any(1).mean() >= recall:
                         break
-                    self.beam *= 2
+                    self.beam += self.beam // 2
         return self.beam
 
 
@@ -353,7 +353,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.98) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
     """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
