@@ -48,10 +48,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's written tables lie."""
+    return f"{shared_dir(spark)}/tripletide/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote for its plans; results read from them before are to be kept elsewhere."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tripletide/{label}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
