@@ -21,7 +21,8 @@ LEAST = 100
 #: Tails: beyond FAR a single measure tells no prose, beyond LOW it takes two.
 FAR, LOW = -5.5, -2.2
 
-_SENTENCE = r"(?:\p{Ll}|\p{L}{2}|\d{4}|\))(?<!\b(?:Inc|Ltd|Co|Corp|vol|Nr|Bd))[.!?…][\"”“»)]*(?=\s|$)"
+# The mark comes first and looks back, so that only marks cost more than a glance.
+_SENTENCE = r"[.!?…](?<=(?:\p{Ll}|\p{L}{2}|\d{4}|\)).)(?<!\b(?:Inc|Ltd|Co|Corp|vol|Nr|Bd).)[\"”“»)]*(?=\s|$)"
 _LINE_END = r"[.!?…:;][\"”“»)]*\s*$"
 
 
@@ -37,23 +38,24 @@ def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
         raise ValueError("common_words is to be a short fixed list")
     words = [r["w"] for r in rows] or [""]
     t: Column = F.col("text")
-    low = F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    asis = F.filter(F.split(t, r"[^\p{L}]+"), lambda x: (F.length(x) > 2) & (x == F.lower(x)) & ~x.isin(words))
     lines = F.filter(F.split(t, r"[\r\n\x0b\x0c\u0085  ]+"), lambda x: ~blank(x))
     d = docs.select("doc_id", F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), F.when(~blank(t), t).alias("text"))
+    # The words and lines of a text are cut once and then counted in several ways.
+    d = d.select("doc_id", "lang", "text", F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "").alias("_w"), lines.alias("_l"))
+    plain = lambda x: (F.length(x) > 2) & (x > ":") & (x == F.lower(x)) & ~x.isin(words)  # noqa: E731 (digits sort before the colon)
     d = d.select(
         "doc_id",
         "lang",
         F.length("text").alias("_n"),
-        F.size(low).alias("n_words"),
-        F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]+", "")).alias("_letters"),
-        F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]+", "")).alias("_symbols"),
-        F.length(F.regexp_replace("text", r"[^\p{N}]+", "")).alias("_digits"),
-        F.size(lines).alias("_lines"),
-        F.size(F.filter(lines, lambda x: x.rlike(_LINE_END))).alias("_ends"),
+        F.size("_w").alias("n_words"),
+        F.length(F.array_join("_w", "")).alias("_letters"),
+        (F.length(F.regexp_replace("text", r"\s+", "")) - F.length(F.array_join("_w", ""))).alias("_symbols"),
+        (F.length("text") - F.length(F.regexp_replace("text", r"\p{N}+", ""))).alias("_digits"),
+        F.size("_l").alias("_lines"),
+        F.size(F.filter("_l", lambda x: x.rlike(_LINE_END))).alias("_ends"),
         F.regexp_count("text", F.lit(_SENTENCE)).alias("_sentences"),
-        F.size(F.filter(low, lambda x: x.isin(words))).alias("_common"),
-        F.size(asis).alias("_plain"),
+        F.size(F.filter("_w", lambda x: F.lower(x).isin(words))).alias("_common"),
+        F.size(F.filter("_w", plain)).alias("_plain"),
         F.col("text").isNotNull().alias("_ok"),
     )
     per = lambda a, b: F.when(F.col("_ok"), F.col(a) / F.greatest(F.col(b), F.lit(1)))
