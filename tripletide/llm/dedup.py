@@ -353,7 +353,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
     """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
@@ -407,16 +407,20 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
     q, own = x[pick], sample.column("node").to_numpy()[pick]
     keys_ = _keys(sample)
     qk = [keys_[i] for i in pick]
+    q_rel = np.array([k[3] for k in qk])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = _keys(b)
             v = _stored(b)
             i, j = np.nonzero(q @ v.T >= LEAST)
-            node = b.column("node").to_numpy()
-            hit = [(a, c) for a, c in zip(i, j) if own[a] != node[c] and qk[a][3] == keys[c][3] and same(qk[a][:3], keys[c][:3]) and same(qk[a][4:], keys[c][4:])]
+            rel = b.column("rel").to_numpy()
+            keep = (q_rel[i] == rel[j]) & (own[i] != b.column("node").to_numpy()[j])
+            i, j = i[keep], j[keep]
+            some, at = np.unique(j, return_inverse=True)
+            keys = _keys(b.take(pa.array(some)))
+            hit = [(a, c) for a, c, k in zip(i, j, at) if same(qk[a][:3], keys[k][:3]) and same(qk[a][4:], keys[k][4:])]
             home = [int(tree.search(v[c : c + 1], 1)[0, 0]) for _, c in hit]
             yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in hit], pa.int32()), pa.array(home, pa.int32())], names=["q", "cell"])
 
