@@ -38,7 +38,7 @@ UPPER, WHOLE = 4, 2048
 LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
 #: Most cells that a query visits.
 MOST = 8
-SAMPLE, PROBES = 32_768, 400
+SAMPLE, PROBES = 32_768, 1500
 
 _code: dict[str, int] = {}
 
@@ -353,7 +353,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.97) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
     """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
