@@ -369,7 +369,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
     x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits, margin = _visits(nodes, tree, s, x, recall - 0.02) if tree.n_leaves > 1 else (1, 0.0)
+    visits, margin = _visits(nodes, tree, s, x, recall - 0.035) if tree.n_leaves > 1 else (1, 0.0)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
