@@ -36,9 +36,9 @@ CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
 UPPER, WHOLE = 4, 2048
 #: Similarity from which a meeting is reranked, that of each name from which it is, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
 LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
-#: Most cells that a query visits.
-MOST = 8
-SAMPLE, PROBES = 32_768, 1500
+#: Most cells that a query visits; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
+MOST, TUNED = 8, 256
+SAMPLE, PROBES = 32_768, 800
 
 _code: dict[str, int] = {}
 
@@ -331,7 +331,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
         for graph, rows in shards(*span):
             some = q[home[q]]  # queries from elsewhere seldom match here and would tell little
-            some = some[:: max(1, len(some) // 256)][:256]
+            some = some[:: max(1, len(some) // TUNED)][:TUNED]
             beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]))  # noqa: B023
             near, sim = graph.search(v[q], beam)
             i, j = np.nonzero(sim >= LEAST)
@@ -369,7 +369,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
     x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits, margin = _visits(nodes, tree, s, x, recall - 0.035) if tree.n_leaves > 1 else (1, 0.0)
+    visits, margin = _visits(nodes, tree, s, x, recall - 0.065) if tree.n_leaves > 1 else (1, 0.0)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
