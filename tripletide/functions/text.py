@@ -37,14 +37,19 @@ def common_tokens(a: Column, b: Column) -> Column:
 
 def token_f1(prediction: Column, gold: Column, empty_is_one: bool = False, german: bool = True) -> Column:
     """Struct (f1, precision, recall) over bags of normalised words; all 0 where either side is empty, or 1 where both are and that is asked for."""
-    a, b = tokens(normal_answer(prediction, german)), tokens(normal_answer(gold, german))
-    n = common_tokens(a, b)
-    p, r = F.try_divide(n, F.size(a)), F.try_divide(n, F.size(b))
     zero = F.struct(F.lit(0.0).alias("f1"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"))
     one = F.struct(F.lit(1.0).alias("f1"), F.lit(1.0).alias("precision"), F.lit(1.0).alias("recall"))
-    full = F.struct((2 * p * r / (p + r)).alias("f1"), p.alias("precision"), r.alias("recall"))
-    both = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both, one if empty_is_one else zero).when(n == 0, zero).otherwise(full)
+
+    def score(z: Column) -> Column:
+        p, r = F.try_divide(z["n"], F.size(z["a"])), F.try_divide(z["n"], F.size(z["b"]))
+        full = F.struct((2 * p * r / (p + r)).alias("f1"), p.alias("precision"), r.alias("recall"))
+        both = (F.size(z["a"]) == 0) & (F.size(z["b"]) == 0)
+        return F.when(both, one if empty_is_one else zero).when(z["n"] == 0, zero).otherwise(full)
+
+    # Bound in lambdas, the words are cut once for a row and not wherever they are used.
+    words = F.array(F.struct(tokens(normal_answer(prediction, german)).alias("a"), tokens(normal_answer(gold, german)).alias("b")))
+    counted = F.transform(words, lambda z: F.struct(z["a"].alias("a"), z["b"].alias("b"), common_tokens(z["a"], z["b"]).alias("n")))
+    return F.get(F.transform(counted, score), F.lit(0))
 
 
 # Sentences for relations, %s: subject and object.

@@ -113,8 +113,9 @@ def text_token_f1(spark, d):
     f = kg.facts(spark, d)
     gold = F.concat_ws(" ", "s_name", "o_name")
     s = tx.token_f1(F.col("text"), gold)
-    r = lambda c: F.round(s[c], 6)
-    return f.select("seq", tx.exact_match(F.col("text"), gold).alias("same"), r("f1").alias("f1"), r("precision").alias("prec"), r("recall").alias("rec"))
+    r = lambda c: F.round(f"s.{c}", 6)
+    f = f.select("seq", tx.exact_match(F.col("text"), gold).alias("same"), s.alias("s"))
+    return f.select("seq", "same", r("f1").alias("f1"), r("precision").alias("prec"), r("recall").alias("rec"))
 
 
 def _neg_sql(t):
