@@ -2,6 +2,7 @@
 
 import base64
 import datetime as dt
+import inspect
 import random
 
 import numpy as np
@@ -178,6 +179,17 @@ def test_dedup_recall_on_small_tables(spark, small):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
+def test_dedup_asks_full_recall(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(dedup, "CELL", 64)
+    monkeypatch.setattr(dedup, "_visits", lambda nodes, tree, s, x, recall: asked.append(recall) or (1, 0.0))
+    rows = [(i, i, 0, i % 2, "P", f"muster{chr(97 + i % 26)}{chr(97 + i // 26)}", "anna", i % 3, "O", f"werk{chr(97 + i % 26)}", "") for i in range(300)]
+    n = spark.createDataFrame(rows, "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string")
+    dedup.duplicates(dedup.with_vectors(n))
+    assert asked and asked[0] >= 0.96
+    assert inspect.signature(dedup.duplicates).parameters["recall"].default >= 0.98
+
+
 def test_survivors(spark):
     e = "entity_id string, fingerprint string, description string, source_document string, confidence double, created_at timestamp_ntz, validation_status string, clash int"
     old, new, bad = DAY, DAY + dt.timedelta(days=9), dt.datetime(1900, 1, 1)

@@ -38,7 +38,7 @@ UPPER, WHOLE = 4, 2048
 LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
 #: Most cells that a query visits; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
 MOST, TUNED = 8, 256
-SAMPLE, PROBES = 32_768, 800
+SAMPLE, PROBES = 32_768, 1500
 
 _code: dict[str, int] = {}
 
@@ -353,11 +353,11 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
     return best
 
 
-def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
+def duplicates(nodes: DataFrame, recall: float = 0.98) -> DataFrame:
     """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
 
     first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
-    Nodes are unique by KEY. A node matches itself.
+    Nodes are unique by KEY. A node matches itself. ``recall`` is what calibration asks of beams and of cells.
     """
     spark = nodes.sparkSession
     total = nodes.count()
@@ -369,7 +369,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.965) -> DataFrame:
     x = _stored(s)
     cells = max(1, total // CELL)
     tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits, margin = _visits(nodes, tree, s, x, recall - 0.065) if tree.n_leaves > 1 else (1, 0.0)
+    visits, margin = _visits(nodes, tree, s, x, recall) if tree.n_leaves > 1 else (1, 0.0)
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
