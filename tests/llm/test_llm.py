@@ -179,6 +179,18 @@ def test_dedup_recall_on_small_tables(spark, small):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
+def test_graph_meets_all_of_a_crowd():
+    """More alike nodes than a walk keeps, and a target that no walk reaches."""
+    rng = np.random.default_rng(3)
+    x = neighbours.unit(rng.normal(size=(5000, dedup.DIM)))
+    x[:300] = neighbours.unit(x[0] + rng.normal(size=(300, dedup.DIM)) * 0.02)
+    g = dedup.Graph(x, rng)
+    i, j = g.meet(x[:3], 8)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(x[:3] @ x.T >= dedup.LEAST))))
+    g.search = lambda q, beam: (np.full((len(q), dedup.KEEP), -1, np.int32), np.full((len(q), dedup.KEEP), -9, np.float32))
+    assert g.tune(x[:50], 0.98, lambda i, j: i >= 0) == len(x)
+
+
 def test_dedup_asks_full_recall(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(dedup, "CELL", 64)

@@ -197,19 +197,38 @@ class Graph:
             flat = keep + row[:, None] * all_s.shape[1]
             ls, ln, lo_ = all_s.ravel()[flat], all_n.ravel()[flat], all_o.ravel()[flat]
 
+    def meet(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, node): nodes of LEAST or more met for query i; all of them where the shard is compared whole or the nodes that a walk keeps do not hold them."""
+        n, whole = len(self.x), np.arange(len(q))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if self.links is not None and beam < n:
+            node, sim = self.search(q, beam)
+            crowded = (sim >= LEAST).all(1)
+            i, j = np.nonzero((sim >= LEAST) & ~crowded[:, None])
+            out.append((i, node[i, j].astype(np.int64)))
+            whole = np.flatnonzero(crowded)
+        for lo in range(0, len(whole), 512):
+            i, j = np.nonzero(q[whole[lo : lo + 512]] @ self.x.T >= LEAST)
+            out.append((whole[lo + i], j))
+        return tuple(np.concatenate(z) for z in zip(*out))
+
     def tune(self, q: np.ndarray, recall: float, means) -> int:
-        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs of LEAST or more that ``means(i, node)`` keeps."""
+        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs of LEAST or more that ``means(i, node)`` keeps.
+
+        Where no beam of a walk finds it, the shard is compared whole.
+        """
         if self.beam is None:
             self.beam = 8
             if self.links is not None and len(q):
                 i, j = np.nonzero(q @ self.x.T >= LEAST)
                 keep = means(i, j)
                 i, j = i[keep], j[keep]
-                while self.beam < KEEP and len(i):
-                    node, _ = self.search(q, self.beam)
-                    if (node[i] == j[:, None]).any(1).mean() >= recall:
+                want = i * len(self.x) + j
+                while len(want):
+                    a, c = self.meet(q, self.beam)
+                    if np.isin(want, a * len(self.x) + c).mean() >= recall:
                         break
-                    self.beam += self.beam // 2
+                    self.beam = self.beam + self.beam // 2 if self.beam < KEEP else len(self.x)
         return self.beam
 
 
@@ -333,9 +352,8 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
             some = q[home[q]]  # queries from elsewhere seldom match here and would tell little
             some = some[:: max(1, len(some) // TUNED)][:TUNED]
             beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]))  # noqa: B023
-            near, sim = graph.search(v[q], beam)
-            i, j = np.nonzero(sim >= LEAST)
-            a, c = q[i], rows[near[i, j]]
+            i, j = graph.meet(v[q], beam)
+            a, c = q[i], rows[j]
             early = ok[c] <= own[a]
             a, c = a[early], c[early]
             hit = plausible(a, c)
