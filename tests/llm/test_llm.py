@@ -191,6 +191,31 @@ def test_graph_meets_all_of_a_crowd():
     assert g.tune(x[:50], 0.98, lambda i, j: i >= 0) == len(x)
 
 
+def test_dedup_finds_what_vectors_do_not():
+    """Typing errors in both names, and two in one, leave few letters' triples; `same` accepts them."""
+    far = [
+        ("P", "munebral", "nora", 1, "O", "wolunkar", ""), ("P", "munexral", "nora", 1, "O", "wolukkar", ""), ("P", "muxebyal", "nora", 1, "O", "wolunkar", ""),
+        ("P", "munibrol", "anna", 1, "O", "wolunkar", ""), ("P", "muxibyol", "anna", 1, "O", "woxunyar", ""),
+    ]
+    v = dedup.vectors(far)
+    assert v[3] @ v[4] < 0.68
+    n = len(far)
+    first = np.arange(n) > 0
+    got = dedup.meet_cell(far, v, np.ones(n, bool), np.arange(n, dtype=float), np.where(first, 1, 0), np.where(first, 1, 0), 0.98, 1)
+    assert got == {1: 0, 2: 0, 3: 3, 4: 3}
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abdefgiklmnoprstuw") for _ in range(rng.randint(4, 12)))
+    keys = []
+    for _ in range(300):
+        a, b = word(), word()
+        for _ in range(4):
+            c, d = (w[:p] + rng.choice(["", "x", "xy", "x" + w[p : p + 1]]) + w[p + 1 :] for w in (a, b) for p in [rng.randrange(len(w))])
+            keys.append((rng.choice("PO"), c, rng.choice(["", "a", "anna", "antonia", "antonja", "bntonia"]), 1, "X", d, ""))
+    want = {(i, j) for i, f in enumerate(keys) for j, g in enumerate(keys) if names.same(f[:3], g[:3]) and names.same(f[4:], g[4:])}
+    at = np.arange(len(keys))
+    assert want <= set(zip(*(z.tolist() for z in dedup.Traits(keys).pairs(at, at))))
+
+
 def test_dedup_asks_full_recall(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(dedup, "CELL", 64)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import blank, join_checked, materialize
 from .canonical import match
-from .names import THING_WORDS, read_any, same
+from .names import THING_WORDS, edits, read_any, same
 from .neighbours import Tree, unit
 
 #: Numbers per name and relation in a vector, and their weights in the similarity.
@@ -34,8 +34,10 @@ NAME_WEIGHT, REL_WEIGHT = 0.42, 0.16
 CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
 #: One node in so many is a place to enter a graph; shards up to WHOLE nodes need none and are compared whole.
 UPPER, WHOLE = 4, 2048
-#: Similarity from which a meeting is reranked, that of each name from which it is, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
-LEAST, EACH, NEAR, KEEP = 0.68, 0.35, 0.8, 32
+#: Similarity of all nodes kept from which a walk may have lost some and the shard is compared whole, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
+LEAST, NEAR, KEEP = 0.68, 0.8, 32
+#: Pairs of facts compared at once where all are.
+BLOCK = 1 << 21
 #: Most cells that a query visits; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
 MOST, TUNED = 8, 256
 SAMPLE, PROBES = 32_768, 1500
@@ -197,35 +199,41 @@ class Graph:
             flat = keep + row[:, None] * all_s.shape[1]
             ls, ln, lo_ = all_s.ravel()[flat], all_n.ravel()[flat], all_o.ravel()[flat]
 
-    def meet(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(i, node): nodes of LEAST or more met for query i; all of them where the shard is compared whole or the nodes that a walk keeps do not hold them."""
-        n, whole = len(self.x), np.arange(len(q))
+    def meet(self, q: np.ndarray, beam: int, whole=None) -> tuple[np.ndarray, np.ndarray]:
+        """(i, node): nodes met for query i; all that ``whole(queries)`` gives where the shard is compared whole or the nodes that a walk keeps do not hold them.
+
+        Without ``whole`` nodes of LEAST or more are wanted, else whatever a walk keeps is met.
+        """
+        n, rest = len(self.x), np.arange(len(q))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if self.links is not None and beam < n:
             node, sim = self.search(q, beam)
             crowded = (sim >= LEAST).all(1)
-            i, j = np.nonzero((sim >= LEAST) & ~crowded[:, None])
+            i, j = np.nonzero((sim >= (-8 if whole else LEAST)) & ~crowded[:, None])
             out.append((i, node[i, j].astype(np.int64)))
-            whole = np.flatnonzero(crowded)
-        for lo in range(0, len(whole), 512):
-            i, j = np.nonzero(q[whole[lo : lo + 512]] @ self.x.T >= LEAST)
-            out.append((whole[lo + i], j))
+            rest = np.flatnonzero(crowded)
+        if whole and len(rest):
+            i, j = whole(rest)
+            out.append((rest[i], j))
+        elif not whole:
+            for lo in range(0, len(rest), 512):
+                i, j = np.nonzero(q[rest[lo : lo + 512]] @ self.x.T >= LEAST)
+                out.append((rest[lo + i], j))
         return tuple(np.concatenate(z) for z in zip(*out))
 
-    def tune(self, q: np.ndarray, recall: float, means) -> int:
-        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs of LEAST or more that ``means(i, node)`` keeps.
+    def tune(self, q: np.ndarray, recall: float, means, whole=None) -> int:
+        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs that ``means(i, node)`` keeps of all that ``whole(queries)`` gives, or of LEAST or more.
 
         Where no beam of a walk finds it, the shard is compared whole.
         """
         if self.beam is None:
             self.beam = 8
             if self.links is not None and len(q):
-                i, j = np.nonzero(q @ self.x.T >= LEAST)
+                i, j = whole(np.arange(len(q))) if whole else np.nonzero(q @ self.x.T >= LEAST)
                 keep = means(i, j)
-                i, j = i[keep], j[keep]
-                want = i * len(self.x) + j
+                want = i[keep] * len(self.x) + j[keep]
                 while len(want):
-                    a, c = self.meet(q, self.beam)
+                    a, c = self.meet(q, self.beam, whole)
                     if np.isin(want, a * len(self.x) + c).mean() >= recall:
                         break
                     self.beam = self.beam + self.beam // 2 if self.beam < KEEP else len(self.x)
@@ -293,14 +301,56 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
-def _traits(kind: tuple, core: tuple, extra: tuple) -> tuple[np.ndarray, ...]:
-    """What two readings of one thing must share, as numbers: the kind; a thing's numbers or a given name's first letter, unless both given names are long; nearly the length."""
-    k, e = pa.array(kind, pa.string()), pa.array(extra, pa.string())
-    thing = pc.equal(k, "X")
-    must = pc.if_else(thing, e, pc.utf8_slice_codeunits(e, 0, 1))
-    code = lambda x: x.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    long_ = pc.and_(pc.equal(k, "P"), pc.greater(pc.utf8_length(e), 4))
-    return code(k), code(must), long_.to_numpy(zero_copy_only=False), pc.utf8_length(pa.array(core, pa.string())).to_numpy()
+@lru_cache(200_000)
+def _letters(kind: str, core: str) -> tuple[int, int]:
+    """(pairs of neighbouring letters as 64 bits, edits allowed): an edit changes four bits at most."""
+    text, bits = f"^{core}$", 0
+    for i in range(len(text) - 1):
+        bits |= 1 << (_hash(text[i : i + 2]) & 63)
+    return bits, edits(kind, len(core))
+
+
+class Traits:
+    """What the names of two facts must share to be the `same`, as numbers; no pair that `same` accepts is lost.
+
+    The relation; of each name the kind, a thing's numbers or a given name's first letter, unless both given names are long, and letters as far as the edits allow.
+    """
+
+    def __init__(self, keys: list[tuple]):
+        cols = list(zip(*keys)) if keys else [()] * len(KEY)
+        self.relation = np.array(cols[3], dtype=np.int64)
+        code = lambda x: x.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        self.sides = []
+        for lo in (0, 4):
+            k, e = pa.array(cols[lo], pa.string()), pa.array(cols[lo + 2], pa.string())
+            must = pc.if_else(pc.equal(k, "X"), e, pc.utf8_slice_codeunits(e, 0, 1))
+            long_ = pc.and_(pc.not_equal(k, "X"), pc.greater(pc.utf8_length(e), 4)).to_numpy(zero_copy_only=False)
+            bits = [_letters(x, y) for x, y in zip(cols[lo], cols[lo + 1])]
+            self.sides.append((code(k), code(must), long_, np.array([x for x, _ in bits], np.uint64), np.array([4 * y for _, y in bits], np.uint8)))
+
+    def plausible(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Mask of the pairs of rows a and c."""
+        out = self.relation[a] == self.relation[c]
+        for kind, must, long_, bits, most in self.sides:
+            at = np.flatnonzero(out)
+            i, k = a[at], c[at]
+            out[at] = (np.bitwise_count(bits[i] ^ bits[k]) <= np.minimum(most[i], most[k])) & (kind[i] == kind[k]) & ((must[i] == must[k]) | (long_[i] & long_[k]))
+        return out
+
+    def pairs(self, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): all plausible pairs of q[i] and rows[j]."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        *_, bits, most = self.sides[1]
+        by_q, by_rows = (np.argsort(self.relation[x], kind="stable") for x in (q, rows))
+        for r in np.unique(self.relation[q]):
+            mine, there = (by[slice(*np.searchsorted(self.relation[x][by], [r, r + 1]))] for x, by in ((q, by_q), (rows, by_rows)))
+            step = max(1, BLOCK // max(1, len(there)))
+            for lo in range(0, len(mine) if len(there) else 0, step):
+                a, c = q[mine[lo : lo + step]], rows[there]
+                i, j = np.nonzero(np.bitwise_count(bits[a][:, None] ^ bits[c]) <= np.minimum(most[a][:, None], most[c]))
+                keep = self.plausible(a[i], c[j])
+                out.append((mine[lo + i[keep]], there[j[keep]]))
+        return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray, first: np.ndarray, last: np.ndarray, recall: float, seed: int) -> dict[int, int]:
@@ -308,7 +358,7 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
 
     keys, v: KEY and vector of each row; home: the cell is the row's own, so that it is indexed here; ok: least seq of the node's rows that are not rejected, or NaN.
     """
-    relation = np.array([f[3] for f in keys])
+    traits = Traits(keys)
     own = np.where(np.isnan(ok), np.inf, ok)  # a match later than the node's own first row changes nothing
     rng = np.random.default_rng(seed + 1)
     best: dict[int, int] = {}
@@ -322,41 +372,24 @@ def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray
             graphs[lo, hi] = [(Graph(v[part], rng), part) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
         return graphs[lo, hi]
 
-    part = np.stack([v[:, :NAME_DIM], v[:, NAME_DIM : 2 * NAME_DIM]])
-    kind, extra, long_, size = (np.stack(x, 1) for x in zip(*(_traits(*list(zip(*keys))[lo : lo + 3]) for lo in (0, 4)))) if keys else [np.zeros((0, 2), int)] * 4
-
-    def plausible(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Same relation, and either name like the other's."""
-        out = relation[a] == relation[c]
-        for j, x in enumerate(part):
-            at = np.flatnonzero(out)
-            i, k = a[at], c[at]
-            ok_ = (kind[i, j] == kind[k, j]) & (np.abs(size[i, j] - size[k, j]) <= 3) & ((extra[i, j] == extra[k, j]) | (long_[i, j] & long_[k, j]))
-            out[at[~ok_]] = False
-            at = at[ok_]
-            out[at] = np.einsum("nd,nd->n", x[a[at]], x[c[at]]) >= EACH * NAME_WEIGHT
-        return out
-
     def means(a: int, c: int) -> bool:
         f, g = keys[a], keys[c]
         return same(f[:3], g[:3]) and same(f[4:], g[4:])
 
     def verified(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        out = plausible(a, c)
-        for i in np.flatnonzero(out):
-            out[i] = means(a[i], c[i])
-        return out
+        return np.array([means(x, y) for x, y in zip(a.tolist(), c.tolist())], bool)
 
     def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
         for graph, rows in shards(*span):
             some = q[home[q]]  # queries from elsewhere seldom match here and would tell little
             some = some[:: max(1, len(some) // TUNED)][:TUNED]
-            beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]))  # noqa: B023
-            i, j = graph.meet(v[q], beam)
+            beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]), lambda i: traits.pairs(some[i], rows))  # noqa: B023
+            i, j = graph.meet(v[q], beam, lambda i: traits.pairs(q[i], rows))  # noqa: B023
             a, c = q[i], rows[j]
             early = ok[c] <= own[a]
             a, c = a[early], c[early]
-            hit = plausible(a, c)
+            hit = np.flatnonzero(traits.plausible(a, c))
+            hit = hit[np.argsort(ok[c[hit]], kind="stable")]  # the first match of a row is its earliest
             for a, c in zip(a[hit].tolist(), c[hit].tolist()):
                 if ok[c] < best.get(a, np.inf) and (a == c or means(a, c)):
                     best[a] = int(ok[c])
@@ -417,7 +450,7 @@ def duplicates(nodes: DataFrame, recall: float = 0.98) -> DataFrame:
 
 
 def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recall: float) -> tuple[int, float]:
-    """(most cells to visit, margin): cells as similar as the best one, less the margin, hold the wanted part of what the sampled queries match by exhaustive comparison with all nodes."""
+    """(most cells to visit, margin): cells as similar as the best one, less the margin, hold the wanted part of what the sampled queries match, by the same test as all, among all nodes."""
     new = np.flatnonzero(sample.column("last_batch").to_numpy() > 0)
     pick = new[np.unique(np.linspace(0, len(new) - 1, min(PROBES, len(new))).astype(int))] if len(new) else new
     if not len(pick):
@@ -425,22 +458,17 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
     q, own = x[pick], sample.column("node").to_numpy()[pick]
     keys_ = _keys(sample)
     qk = [keys_[i] for i in pick]
-    q_rel = np.array([k[3] for k in qk])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            v = _stored(b)
-            i, j = np.nonzero(q @ v.T >= LEAST)
-            rel = b.column("rel").to_numpy()
-            keep = (q_rel[i] == rel[j]) & (own[i] != b.column("node").to_numpy()[j])
-            i, j = i[keep], j[keep]
-            some, at = np.unique(j, return_inverse=True)
-            keys = _keys(b.take(pa.array(some)))
-            hit = [(a, c) for a, c, k in zip(i, j, at) if same(qk[a][:3], keys[k][:3]) and same(qk[a][4:], keys[k][4:])]
-            home = [int(tree.search(v[c : c + 1], 1)[0, 0]) for _, c in hit]
-            yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in hit], pa.int32()), pa.array(home, pa.int32())], names=["q", "cell"])
+            keys = _keys(b)
+            i, j = Traits(qk + keys).pairs(np.arange(len(qk)), np.arange(len(qk), len(qk) + len(keys)))
+            keep = own[i] != b.column("node").to_numpy()[j]
+            keep[keep] = [same(qk[a][:3], keys[c][:3]) and same(qk[a][4:], keys[c][4:]) for a, c in zip(i[keep].tolist(), j[keep].tolist())]
+            home = tree.search(_stored(b.take(pa.array(j[keep]))), 1)[:, 0]
+            yield pa.RecordBatch.from_arrays([pa.array(i[keep], pa.int32()), pa.array(home, pa.int32())], names=["q", "cell"])
 
     t = nodes.select("node", *KEY, "v").mapInArrow(scan, "q int, cell int").toArrow()
     if not t.num_rows:

@@ -227,14 +227,18 @@ def within(a: str, b: str, k: int) -> bool:
     return row[len(b)] <= k
 
 
+def edits(kind: str, n: int) -> int:
+    """Edits that `same` allows between two cores, the shorter of ``n`` letters."""
+    return 0 if n < 5 else 1 if n < 8 else 2 if n < 10 or kind == "X" else 3
+
+
 def same(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     """Two readings that name one thing: cores a few edits apart, equal numbers, given names equal, misspelt or short for each other."""
     if a == b:
         return True
     if a[0] != b[0]:
         return False
-    n = min(len(a[1]), len(b[1]))
-    k = (0 if n < 5 else 1 if n < 8 else 2) if a[0] == "X" else (0 if n < 5 else 1 if n < 8 else 2 if n < 10 else 3)
+    k = edits(a[0], min(len(a[1]), len(b[1])))
     if a[0] == "X":
         return a[2] == b[2] and within(a[1], b[1], k)
     g, h = a[2], b[2]
