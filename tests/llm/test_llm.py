@@ -216,6 +216,18 @@ def test_dedup_finds_what_vectors_do_not():
     assert want <= set(zip(*(z.tolist() for z in dedup.Traits(keys).pairs(at, at))))
 
 
+def test_cells_widen_until_matches_are_met():
+    rng = np.random.default_rng(4)
+    x = neighbours.unit(rng.normal(size=(2000, dedup.DIM)))
+    tree = neighbours.Tree(x, 40)
+    assert tree.n_leaves > 4 * dedup.MOST
+    far = tree.search(x[:50], tree.n_leaves)[:, -5]  # matches beyond the first cells looked at
+    most, margin = dedup._widen(tree, x[:50], np.arange(50), far, 0.98)
+    assert most > dedup.MOST and margin < 2
+    met = dedup._cells(tree, x[:50], most, margin)
+    assert (met == far[:, None]).any(1).mean() >= 0.98
+
+
 def test_dedup_asks_full_recall(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(dedup, "CELL", 64)

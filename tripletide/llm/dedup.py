@@ -38,7 +38,7 @@ UPPER, WHOLE = 4, 2048
 LEAST, NEAR, KEEP = 0.68, 0.8, 32
 #: Pairs of facts compared at once where all are.
 BLOCK = 1 << 21
-#: Most cells that a query visits; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
+#: Cells that calibration looks at first, and more where they do not hold enough; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
 MOST, TUNED = 8, 256
 SAMPLE, PROBES = 32_768, 1500
 
@@ -473,12 +473,24 @@ def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recal
     t = nodes.select("node", *KEY, "v").mapInArrow(scan, "q int, cell int").toArrow()
     if not t.num_rows:
         return min(2, tree.n_leaves), 0.05
+    i, cell = t.column("q").to_numpy(), t.column("cell").to_numpy()
+    return _widen(tree, q, i, cell, recall)
+
+
+def _widen(tree: Tree, q: np.ndarray, i: np.ndarray, cell: np.ndarray, recall: float) -> tuple[int, float]:
+    """(most cells to visit, margin) with which the wanted part of the matches, q[i] in cell, is met; all cells are looked at where fewer do not hold it."""
     wide = min(tree.n_leaves, MOST)
-    way = tree.search(q, wide)
-    i, hit = t.column("q").to_numpy(), way[t.column("q").to_numpy()] == t.column("cell").to_numpy()[:, None]
-    sim = _leaf_similarity(tree, q, way)
-    gap = np.where(hit.any(1), sim[i, 0] - sim[i, hit.argmax(1)], 2.0)
-    return wide, float(np.quantile(np.maximum(gap, 0), recall, method="higher"))
+    while True:
+        way = tree.search(q, wide)
+        hit = way[i] == cell[:, None]
+        sim = _leaf_similarity(tree, q, way)
+        rank = hit.argmax(1)
+        gap = np.where(hit.any(1), np.maximum(sim[i, 0] - sim[i, rank], 0), 9.0)
+        margin = float(np.quantile(gap, recall, method="higher"))
+        if margin < 9 or wide >= tree.n_leaves:
+            # No further in the list than the matches within the margin lie.
+            return int(rank[gap <= margin].max()) + 1 if margin < 9 else wide, margin
+        wide = min(tree.n_leaves, wide * 4)
 
 
 def _leaf_similarity(tree: Tree, q: np.ndarray, way: np.ndarray) -> np.ndarray:
