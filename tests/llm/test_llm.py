@@ -306,6 +306,29 @@ def test_variants(spark):
     assert variants.found(e.limit(0), m.limit(0)).count() == 0
 
 
+def test_forms_let_all_edits_meet(spark):
+    """Against every pair of spellings: edits anywhere in the core, in both halves, and in the first letter of the given name."""
+    rng = random.Random(6)
+    keys = set()
+    for _ in range(60):
+        core = "".join(rng.choice("abdefgiklmnoprstuw") for _ in range(rng.randint(3, 13)))
+        given = rng.choice(["", "anna", "antonia", "katharina"])
+        keys.add(("P", core, given))
+        for _ in range(6):
+            c = core
+            for _ in range(rng.randint(1, 3)):
+                p = rng.randrange(len(c))
+                c = c[:p] + rng.choice(["", "x", "x" + c[p]]) + c[p + 1 :]
+            keys.add(("P", c or "x", "x" + given[1:] if rng.random() < 0.3 and len(given) > 4 else given))
+    keys = sorted(keys)
+    for g, h in (("a", "anna"), ("antonia", "a"), ("a", "a")):
+        assert set(names.forms("P", "munebral", g)[0]) & set(names.forms("P", "muxebyal", h)[1])
+    want = {tuple(sorted(("|".join(a), "|".join(b)))) for a in keys for b in keys if a < b and names.same(a, b)}
+    d = spark.createDataFrame([("|".join(k), *k) for k in keys], "key string, kind string, core string, given string")
+    got = {tuple(sorted((r["a"], r["b"]))) for r in variants.similar(d).collect()}
+    assert got == want
+
+
 def test_mixture(spark):
     rng = random.Random(4)
     rows = [(i, s, " ".join("word" for _ in range(rng.randrange(1, 60)))) for i, s in enumerate(rng.choices(["big", "small", "other", None], [70, 8, 12, 10], k=1500))] + [(9001, "big", None), (9002, "big", "")]

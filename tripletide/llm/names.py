@@ -246,8 +246,25 @@ def same(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     return fits and within(a[1], b[1], k)
 
 
-def forms(kind: str, core: str, given: str) -> list[str]:
-    """Keys of which two spellings of one name, two edits apart at most, share one: the first seven letters without one, or the last five."""
-    lead = f"{kind}{given[:1]}"
-    keys = {f"{lead}<{c}" for c in cuts(core[:7]) if len(c) > 1}
-    return sorted(keys | {f"{lead}>{core[-5:]}"})
+def forms(kind: str, core: str, given: str) -> tuple[list[str], list[str]]:
+    """(own, sought) keys: of two spellings that `same` may accept, the one with the shorter core has among its own keys one that the other seeks.
+
+    Cores that allow no edit meet as they are, for one edit by what is left without a letter, for k edits by k + 1 segments of the shorter
+    core, one of which lies unchanged in the longer one, moved no further than the edits allow. Given names of more than four letters also meet whatever their first letter is.
+    """
+    n = len(core)
+    both = {core} if n < 5 else cuts(core) if n < 9 else set()
+    own, sought = {f"<{c}" for c in both}, {f"<{c}" for c in both}
+    for m in range(max(8, n - 3), n + 1):
+        k, more = edits(kind, m), n - m
+        if more > k:
+            continue
+        for i in range(k + 1):
+            lo, hi = m * i // (k + 1), m * (i + 1) // (k + 1)
+            if m == n:
+                own.add(f"{m}.{i}>{core[lo:hi]}")
+            sought |= {f"{m}.{i}>{core[lo + d : hi + d]}" for d in range(-((k - more) // 2), (k + more) // 2 + 1) if lo + d >= 0 and hi + d <= n}
+    # Long given names meet each other, others their equals; an initial and what is none meet by the letter.
+    lead, first = f"{kind}*" if len(given) > 4 else f"{kind}={given}", given[:1]
+    has, seeks = ([lead, f"{kind}{a}{first}"] if first else [lead] for a in ("in" if len(given) == 1 else "ni"))
+    return sorted(f"{x}|{y}" for x in has for y in own), sorted(f"{x}|{y}" for x in seeks for y in sought)

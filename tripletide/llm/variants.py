@@ -39,20 +39,22 @@ def _forms(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [forms(k, c, g) for k, c, g in zip(*(b.column(i).to_pylist() for i in range(1, 4)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.string()))], names=["key", "kind", "core", "given", "forms"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[j] for x in lists], pa.list_(pa.string())) for j in (0, 1)]], names=["key", "kind", "core", "given", "own", "sought"])
 
-    k = keys.select("key", "kind", "core", "given").mapInArrow(run, "key string, kind string, core string, given string, forms array<string>")
-    return k.select("key", "core", "given", F.explode("forms").alias("form"))
+    return keys.select("key", "kind", "core", "given").mapInArrow(run, "key string, kind string, core string, given string, own array<string>, sought array<string>")
 
 
 def similar(keys: DataFrame) -> DataFrame:
     """(a, b): rewritings of one name among distinct (key, kind, core, given)."""
     f = materialize(_forms(keys), "p5-forms")
-    left, right = f.select("form", *[F.col(c).alias(f"{c}_a") for c in ("key", "core", "given")]), f.select("form", *[F.col(c).alias(f"{c}_b") for c in ("key", "core", "given")])
+    side = lambda forms_, s: f.select(F.explode(F.transform(forms_, lambda x: F.xxhash64(x))).alias("form"), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "core", "given")])
+    left, right = side("own", "a"), side("sought", "b")
     n = F.least(F.length("core_a"), F.length("core_b"))
     allowed = F.when(n < 5, 0).when(n < 8, 1).when(n < 10, 2).otherwise(3)
-    met = left.join(right, "form").where("key_a < key_b").withColumn("d", F.levenshtein("core_a", "core_b", 3)).where((F.col("d") >= 0) & (F.col("d") <= allowed))
-    met = materialize(met.select("key_a", "given_a", "core_a", "key_b", "given_b", "core_b", "d").distinct(), "p5-met")
+    met = left.join(right, "form").where("key_a <> key_b").withColumn("d", F.levenshtein("core_a", "core_b", 3)).where((F.col("d") >= 0) & (F.col("d") <= allowed))
+    # Either side may have the shorter core: one order for both.
+    one_way = [F.when(F.col("key_a") < F.col("key_b"), F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{s}") for s, o in ("ab", "ba") for c in ("key", "given", "core")]
+    met = materialize(met.select(*one_way, "d").distinct(), "p5-met")
     short = lambda c: F.length(c) <= 1
     same = met.where((F.col("given_a") == F.col("given_b")) | (~short("given_a") & ~short("given_b") & (F.least(F.length("given_a"), F.length("given_b")) > 4) & (F.levenshtein("given_a", "given_b", 2) >= 0)))
     # An initial: of the nearest surnames that fit, all must have one given name.
