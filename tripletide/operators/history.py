@@ -1,8 +1,8 @@
-"""History of changing attributes: a bitemporal ledger and the versions it yields.
+"""History of changing attributes: a ledger of statements, and versions.
 
-The ledger keeps every statement about an item with two periods: valid time (from the moment the
-statement speaks about until the next moment another current statement speaks about) and recorded time
-(from its arrival until a later arrival about the same moment supersedes it). Nothing is overwritten.
+The ledger keeps every statement about an item with the moment it speaks about and its recorded time (from
+its arrival until a later arrival about the same moment supersedes it). Nothing is overwritten. It derives no end
+of valid time and splits no interval; the versions are made from the updates, not from the ledger.
 
 The sweep over valid time needs neighbours in order. An item may hold a large part of all rows, so rows
 are cut by range into segments of (item, moment); neighbours inside a segment come from a window over
