@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import blank, join_checked, materialize
 from .canonical import match
-from .names import THING_WORDS, edits, read_any, same
+from .names import GIVEN, THING_WORDS, edits, read_any, same
 from .neighbours import Tree, unit
 
 #: Numbers per name and relation in a vector, and their weights in the similarity.
@@ -302,39 +302,45 @@ def visible(batch: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(200_000)
-def _letters(kind: str, core: str) -> tuple[int, int]:
-    """(pairs of neighbouring letters as 64 bits, edits allowed): an edit changes four bits at most."""
+def _letters(core: str) -> tuple[int, int]:
+    """(pairs of neighbouring letters as 64 bits, edits allowed): an edit changes six bits at most, a swap of neighbours so many."""
     text, bits = f"^{core}$", 0
     for i in range(len(text) - 1):
         bits |= 1 << (_hash(text[i : i + 2]) & 63)
-    return bits, edits(kind, len(core))
+    return bits, edits(len(core))
 
 
 class Traits:
     """What the names of two facts must share to be the `same`, as numbers; no pair that `same` accepts is lost.
 
-    The relation; of each name the kind, a thing's numbers or a given name's first letter, unless both given names are long, and letters as far as the edits allow.
+    The relation; of each name the kind, what stands beside the core, as far as `names.same_extra` asks for it, and letters as far as the edits allow.
     """
 
     def __init__(self, keys: list[tuple]):
         cols = list(zip(*keys)) if keys else [()] * len(KEY)
         self.relation = np.array(cols[3], dtype=np.int64)
         code = lambda x: x.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        mask = lambda x: np.array(x, bool)
         self.sides = []
         for lo in (0, 4):
-            k, e = pa.array(cols[lo], pa.string()), pa.array(cols[lo + 2], pa.string())
-            must = pc.if_else(pc.equal(k, "X"), e, pc.utf8_slice_codeunits(e, 0, 1))
-            long_ = pc.and_(pc.not_equal(k, "X"), pc.greater(pc.utf8_length(e), 4)).to_numpy(zero_copy_only=False)
-            bits = [_letters(x, y) for x, y in zip(cols[lo], cols[lo + 1])]
-            self.sides.append((code(k), code(must), long_, np.array([x for x, _ in bits], np.uint64), np.array([4 * y for _, y in bits], np.uint8)))
+            kind, extra = cols[lo], cols[lo + 2]
+            k, e = pa.array(kind, pa.string()), pa.array(extra, pa.string())
+            whole, first = pc.binary_join_element_wise(k, e, "|"), pc.binary_join_element_wise(k, pc.utf8_slice_codeunits(e, 0, 1), "|")
+            initial = mask([x == "P" and len(y) == 1 for x, y in zip(kind, extra)])
+            # Long ones may differ where one of them is loose: a given name that is no known one, several sectors.
+            long_ = mask([len(y) > 4 if x == "P" else x == "O" for x, y in zip(kind, extra)])
+            loose = long_ & mask([y not in GIVEN if x == "P" else "+" in y for x, y in zip(kind, extra)])
+            bits = [_letters(x) for x in cols[lo + 1]]
+            self.sides.append((code(k), code(whole), code(first), initial, long_, loose, np.array([x for x, _ in bits], np.uint64), np.array([6 * y for _, y in bits], np.uint8)))
 
     def plausible(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Mask of the pairs of rows a and c."""
         out = self.relation[a] == self.relation[c]
-        for kind, must, long_, bits, most in self.sides:
+        for kind, whole, first, initial, long_, loose, bits, most in self.sides:
             at = np.flatnonzero(out)
             i, k = a[at], c[at]
-            out[at] = (np.bitwise_count(bits[i] ^ bits[k]) <= np.minimum(most[i], most[k])) & (kind[i] == kind[k]) & ((must[i] == must[k]) | (long_[i] & long_[k]))
+            beside = (whole[i] == whole[k]) | (first[i] == first[k]) & (initial[i] | initial[k]) | (kind[i] == kind[k]) & (loose[i] & long_[k] | loose[k] & long_[i])
+            out[at] = beside & (np.bitwise_count(bits[i] ^ bits[k]) <= np.minimum(most[i], most[k]))
         return out
 
     def pairs(self, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

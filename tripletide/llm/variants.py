@@ -1,10 +1,11 @@
 """Variant spellings of names: canonical rewritings, exploded and joined by equality.
 
-Each name is rewritten to (kind, core, given): titles, particles, legal forms and word order fall away, nicknames become formal
-names, spellings of one sound become alike. What typing errors leave apart meets through forms of the core (`names.forms`) in an equality
-join and is verified by edit distance. An initial stands for a given name only where the rewriting is rare enough to tell: where one
-person, not several, bears the surname with that initial. Links between rewritings, with those that an entity's aliases state, are
-consolidated into groups; all work up to there is done once per rewriting, however many rows carry it.
+Each name is rewritten to (kind, core, extra): titles, particles, legal forms and word order fall away, nicknames become formal
+names, abbreviated sectors whole ones, spellings of one sound become alike. From there its rewritings are exploded: the given name in full, as an initial, or as the known
+names that it may be a misspelling of; an organisation under each of its sectors; the core as it is or, as far as typing errors are allowed, its ends without
+a letter (`names.forms`). Rewritings meet in an equality join and what met is verified by edits. A rewriting is scored by its rarity, 1 / the number of given names behind it: a full name's is always
+1, an initial's only where one person, not several, bears the surname with it, and only links of score 1 count. They are, with those that an entity's aliases state,
+consolidated into groups; all work up to there is done once per reading, however many rows carry it.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .components import components
-from .names import forms, read
+from .names import edits, forms, read, same_extra, within
 
 
 def rewritings(rows: DataFrame) -> DataFrame:
-    """(id, main, kind, core, given, forms) of rows (id, main, name, type); names that leave nothing are dropped."""
+    """(id, main, kind, core, given) of rows (id, main, name, type); names that leave nothing are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -39,30 +40,42 @@ def _forms(keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [forms(k, c, g) for k, c, g in zip(*(b.column(i).to_pylist() for i in range(1, 4)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[j] for x in lists], pa.list_(pa.string())) for j in (0, 1)]], names=["key", "kind", "core", "given", "own", "sought"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array([x[j] for x in lists], pa.list_(pa.string())) for j in (0, 1)]], names=["key", "core", "own", "sought"])
 
-    return keys.select("key", "kind", "core", "given").mapInArrow(run, "key string, kind string, core string, given string, own array<string>, sought array<string>")
+    return keys.select("key", "kind", "core", "given").mapInArrow(run, "key string, core string, own array<string>, sought array<string>")
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """Pairs (key_a, key_b), keys as ``kind|core|given``, that are the same, with the edits of their cores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = []
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (k, c, g), (_, e, h) = x.split("|"), y.split("|")
+                d.append(within(c, e, edits(min(len(c), len(e)))) if same_extra(k, g, h) else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d, pa.int32())], names=["key_a", "key_b", "d"])
+
+    return met.select("key_a", "key_b").mapInArrow(run, "key_a string, key_b string, d int").where("d is not null")
 
 
 def similar(keys: DataFrame) -> DataFrame:
-    """(a, b): rewritings of one name among distinct (key, kind, core, given)."""
+    """(a, b): readings of one name among distinct (key, kind, core, given), key being ``kind|core|given``."""
     f = materialize(_forms(keys), "p5-forms")
-    side = lambda forms_, s: f.select(F.explode(F.transform(forms_, lambda x: F.xxhash64(x))).alias("form"), *[F.col(c).alias(f"{c}_{s}") for c in ("key", "core", "given")])
-    left, right = side("own", "a"), side("sought", "b")
-    n = F.least(F.length("core_a"), F.length("core_b"))
-    allowed = F.when(n < 5, 0).when(n < 8, 1).when(n < 10, 2).otherwise(3)
-    met = left.join(right, "form").where("key_a <> key_b").withColumn("d", F.levenshtein("core_a", "core_b", 3)).where((F.col("d") >= 0) & (F.col("d") <= allowed))
+    side = lambda forms_, s: f.select(F.explode(F.transform(forms_, lambda x: F.xxhash64(x))).alias("form"), F.col("key").alias(f"key_{s}"), F.col("core").alias(f"core_{s}"))
+    # Two edits that are swaps are four to `levenshtein`; it only thins what is verified.
+    met = side("own", "a").join(side("sought", "b"), "form").where("key_a <> key_b").where(F.levenshtein("core_a", "core_b", 4) >= 0)
     # Either side may have the shorter core: one order for both.
-    one_way = [F.when(F.col("key_a") < F.col("key_b"), F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{s}") for s, o in ("ab", "ba") for c in ("key", "given", "core")]
-    met = materialize(met.select(*one_way, "d").distinct(), "p5-met")
-    short = lambda c: F.length(c) <= 1
-    same = met.where((F.col("given_a") == F.col("given_b")) | (~short("given_a") & ~short("given_b") & (F.least(F.length("given_a"), F.length("given_b")) > 4) & (F.levenshtein("given_a", "given_b", 2) >= 0)))
+    met = met.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    met = materialize(_verified(met), "p5-met")
+    given = lambda c: F.element_at(F.split(c, r"\|"), -1)
+    initial = lambda c: (F.substring(c, 1, 1) == "P") & (F.length(given(c)) == 1)
+    full = met.where(given("key_a").eqNullSafe(given("key_b")) | ~initial("key_a") & ~initial("key_b")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     # An initial: of the nearest surnames that fit, all must have one given name.
-    both = met.select("key_a", "given_a", "key_b", "given_b", "d").union(met.select("key_b", "given_b", "key_a", "given_a", "d"))
-    w = Window.partitionBy("key_a")
-    one = both.where(short("given_a") & (F.length("given_a") > 0) & ~short("given_b")).withColumn("near", F.min("d").over(w)).where("d = near")
-    one = one.groupBy("key_a").agg(F.min("given_b").alias("lo"), F.max("given_b").alias("hi"), F.min("key_b").alias("key_b")).where("lo = hi")
-    return same.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).union(one.select("key_a", "key_b"))
+    both = met.select("key_a", "key_b", "d").union(met.select("key_b", "key_a", "d")).where(initial("key_a") & ~initial("key_b"))
+    one = both.withColumn("near", F.min("d").over(Window.partitionBy("key_a"))).where("d = near")
+    one = one.groupBy("key_a").agg(F.min(given("key_b")).alias("lo"), F.max(given("key_b")).alias("hi"), F.min("key_b").alias("key_b")).where("lo = hi")
+    return full.union(one.select("key_a", "key_b"))
 
 
 def groups(rows: DataFrame) -> DataFrame:
