@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,8 +101,45 @@ def test_history(spark):
     got = {(r["item_id"], (r["period_from"] - dt.datetime(2024, 1, 1)).days, (r["period_until"] - dt.datetime(2024, 1, 1)).days if r["period_until"] else None) for r in history.versions(u).collect()}
     assert got == {("a", 0, 20), ("a", 20, 45), ("a", 50, None), ("b", 5, None)}
     assert history.versions(u.limit(0)).count() == 0
-    led = history.ledger(u.withColumn("extra", F.lit(1))).where("item_id = 'a'")
-    assert led.count() == 6 and led.where("not _last").count() == 1
+    led = history.ledger(u.withColumn("extra", F.lit(1)).withColumn("valid_until", F.lit("clash"))).where("item_id = 'a'")
+    assert led.where("current").count() == 5 and led.where("not current and update_id = 3").count() == 1 and led.where("stated_valid_until = 'clash'").count() == led.count()
+
+
+def test_ledger_splits_intervals_at_late_updates(spark):
+    schema = "update_id bigint, item_id string, recorded_at timestamp_ntz, valid_from timestamp_ntz, invalidated_at timestamp_ntz"
+    u = spark.createDataFrame([(1, "a", day(1), day(0), None), (2, "a", day(2), day(30), None), (3, "a", day(3), day(10), None), (4, "a", day(4), day(10), day(20)), (5, "b", None, day(1), None)], schema)
+    n = lambda x: (x - day(0)).days if x else None
+    got = {(r["update_id"], *(n(r[c]) for c in ("valid_from", "valid_until", "recorded_from", "recorded_until")), r["current"]) for r in history.ledger(u).collect()}
+    assert got == {
+        (1, 0, None, 1, 2, False), (1, 0, 30, 2, 3, False), (1, 0, 10, 3, None, True), (2, 30, None, 2, None, True),
+        (3, 10, 30, 3, 4, False), (4, 10, 20, 4, None, True), (5, 1, None, None, None, True),
+    }
+    assert history.ledger(u.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order", ["late", "reverse", "mixed"])
+def test_ledger_against_every_state_of_knowledge(spark, order):
+    """What the ledger says of each recorded moment is what the statements up to it say; one item lies in several segments."""
+    rng = random.Random(order)
+    rows = []
+    for i in range(400):
+        item = "hot" if i % 4 else f"i{i % 12}"
+        v = {"late": i if rng.random() < 0.7 else rng.randrange(i + 1), "reverse": 500 - i, "mixed": rng.randrange(150)}[order]
+        rows.append((i, item, None if i < 3 else day(i // 2), day(v), day(v + rng.randrange(9)) if rng.random() < 0.1 else None))
+    rng.shuffle(rows)
+    u = spark.createDataFrame(rows + rows[:9], "update_id bigint, item_id string, recorded_at timestamp_ntz, valid_from timestamp_ntz, invalidated_at timestamp_ntz")
+    led = [r.asDict() for r in history.ledger(u).collect()]
+    first = dt.datetime.min
+    at = lambda x: x or first
+    for item in ("hot", "i0", "i8"):
+        for moment in [first, *(day(x) for x in range(0, 200, 23))]:
+            known = {}
+            for r in sorted((r for r in rows if r[1] == item and at(r[2]) <= moment), key=lambda r: (at(r[2]), r[0])):
+                known[r[3]] = r
+            order_ = sorted(known)
+            want = {(known[v][0], v, min([x for x in (known[v][4], nxt) if x], default=None)) for v, nxt in zip(order_, [*order_[1:], None])}
+            got = [(r["update_id"], r["valid_from"], r["valid_until"]) for r in led if r["item_id"] == item and at(r["recorded_from"]) <= moment and (r["recorded_until"] is None or moment < r["recorded_until"])]
+            assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_history_hot_item_crosses_segments(spark):

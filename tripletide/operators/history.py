@@ -1,26 +1,39 @@
-"""History of changing attributes: a ledger of statements, and versions.
+"""History of changing attributes: a bitemporal ledger, and versions read from it.
 
-The ledger keeps every statement about an item with the moment it speaks about and its recorded time (from
-its arrival until a later arrival about the same moment supersedes it). Nothing is overwritten. It derives no end
-of valid time and splits no interval; the versions are made from the updates, not from the ledger.
+A statement speaks about an item from a moment on (valid time) and arrives at another (recorded time). What is known at a recorded moment is
+a row of intervals: each moment spoken about holds until the next one. A late statement about a moment inside an interval splits it;
+a statement about a moment already spoken about replaces what was said. Neither overwrites: the row before is closed in recorded time and new ones begin.
+The ledger holds all these rectangles, at most two per statement; those not closed are today's history, from which the versions are made.
 
-The sweep over valid time needs neighbours in order. An item may hold a large part of all rows, so rows
-are cut by range into segments of (item, moment); neighbours inside a segment come from a window over
-the segment, those across a border from one summary row per item and segment.
+Which interval a statement splits is found in a sweep over valid time: the nearest moment before it, and the nearest after it, that had arrived
+by then. An item may hold a large part of all rows, so rows are cut by range into segments of (item, moment). A sweep with a stack settles what
+lies in one segment; for the rest the least arrival of each segment tells in which other one the answer lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, stored_bytes
+
+#: Stored bytes of a segment aimed at.
+SEGMENT_BYTES = 32 << 20
+
+
+def segments(df: DataFrame) -> int:
+    """How many segments to cut a table into: as many as the session's shuffles have, more where its stored size (from `materialize`) asks for them."""
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(n, stored_bytes(df) // SEGMENT_BYTES) if hasattr(df, "_tide_path") else n
 
 
 def segment(df: DataFrame, key: str, order: str, label: str = "seg") -> DataFrame:
     """Range-partition by (key, order) and keep the segment number in ``_seg``; written, so that the numbers stay."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return materialize(df.repartitionByRange(n, key, order).withColumn("_seg", F.spark_partition_id()), label)
+    return materialize(df.repartitionByRange(segments(df), key, order).withColumn("_seg", F.spark_partition_id()), label)
 
 
 def neighbour(df: DataFrame, key: str, order: str, cols: dict[str, str], back: bool = True) -> DataFrame:
@@ -40,34 +53,98 @@ def neighbour(df: DataFrame, key: str, order: str, cols: dict[str, str], back: b
     return out.select(*df.columns, got.isNotNull().alias("_has"), *[got[n].alias(n) for n in cols])
 
 
+def carried(df: DataFrame, key: str, order: str, cols: tuple[str, ...]) -> DataFrame:
+    """Fill nulls of ``cols`` with the last value before them in the key's ``order``. ``df`` comes from `segment`."""
+    w = Window.partitionBy(key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    here = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    edges = df.groupBy(key, "_seg").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}") for c in cols])
+    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(key, "_seg", *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in cols], F.min("_seg").over(Window.partitionBy(key)).alias("_s")).where("_seg > _s").drop("_s")
+    out = here.join(edges, [key, "_seg"], "left")
+    return out.select(*[F.coalesce(c, f"_b_{c}").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slots of one segment, sorted by (item, v): ``before`` and ``after`` are the nearest v on either side that arrived earlier."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got).combine_chunks()
+    item, v, *came = (t.column(c).to_pylist() if c == "item_id" else t.column(c).cast(pa.int64()).to_pylist() for c in ("item_id", "v", "r", "u", "h"))
+    came = [tuple(-(1 << 63) - 1 if y is None else y for y in x) for x in zip(*came, v)]  # nulls first, as Spark orders them
+    before, after, stack = [None] * len(v), [None] * len(v), []
+    for i, x in enumerate(came):
+        if i and item[i] != item[i - 1]:
+            stack.clear()
+        while stack and came[stack[-1]] > x:
+            after[stack.pop()] = v[i]
+        before[i] = v[stack[-1]] if stack else None
+        stack.append(i)
+    moments = [pa.array(x, pa.int64()).cast(t.schema.field("v").type) for x in (before, after)]
+    cols = [*t.columns, *moments, pa.array([TaskContext.get().partitionId()] * len(v), pa.int32())]
+    yield from pa.table(cols, names=[*t.column_names, "before", "after", "_seg"]).to_batches(20_000)
+
+
+def places(slots: DataFrame) -> DataFrame:
+    """``before`` and ``after`` for (item_id, v, r, u, h): the nearest v of the item below and above that arrived earlier, in the order of (r, u, h)."""
+    kind = dict(slots.dtypes)
+    place = f"item_id {kind['item_id']}, v {kind['v']}, r {kind['r']}, u {kind['u']}, h bigint, before {kind['v']}, after {kind['v']}, _seg int"
+    s = slots.select("item_id", "v", "r", "u", "h").repartitionByRange(segments(slots), "item_id", "v").sortWithinPartitions("item_id", "v")
+    s = materialize(s.mapInArrow(_sweep, place), "p7-places")
+    came = F.struct("r", "u", "h", "v")
+    # Least arrivals by segment, of items that cross a border: as many as there are borders.
+    least = s.groupBy("item_id", "_seg").agg(F.min(came).alias("m")).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("_seg", "m"))).alias("ms")).where("size(ms) > 1")
+    x = s.where("before is null or after is null").join(least, "item_id")
+    x = x.withColumn("came", came)
+    left = F.filter("ms", lambda m: (m["_seg"] < F.col("_seg")) & (m["m"] < F.col("came")))
+    right = F.filter("ms", lambda m: (m["_seg"] > F.col("_seg")) & (m["m"] < F.col("came")))
+    asks = x.select("item_id", "v", "came", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.when(F.col("before").isNull(), F.try_element_at(left, F.lit(-1))["_seg"]).alias("to")), F.struct(F.lit("r").alias("side"), F.when(F.col("after").isNull(), F.try_element_at(right, F.lit(1))["_seg"]).alias("to")))).alias("a"))
+    asks = asks.where("a.to is not null").select(F.struct("item_id", F.col("a.to").alias("seg"), F.col("a.side").alias("side")).alias("k"), "came", F.col("v").alias("asks"), F.lit(None).cast(kind["v"]).alias("says"))
+    # In that segment only rows that nothing earlier follows (or, to the right, precedes) can answer: the one that came last before the asker.
+    says = s.join(least.select("item_id"), "item_id", "left_semi").withColumn("came", came)
+    says = says.select("item_id", "_seg", "came", "v", F.explode(F.array(F.when(F.col("after").isNull(), "l"), F.when(F.col("before").isNull(), "r"))).alias("side")).where("side is not null")
+    says = says.select(F.struct("item_id", F.col("_seg").alias("seg"), "side").alias("k"), "came", F.lit(None).cast(kind["v"]).alias("asks"), F.col("v").alias("says"))
+    got = carried(segment(asks.unionByName(says), "k", "came", "p7-asks"), "k", "came", ("says",)).where("asks is not null")
+    got = got.groupBy(F.col("k.item_id").alias("item_id"), F.col("asks").alias("v")).agg(F.max(F.when(F.col("k.side") == "l", F.col("says"))).alias("_l"), F.max(F.when(F.col("k.side") == "r", F.col("says"))).alias("_r"))
+    return s.join(got, ["item_id", "v"], "left").select("item_id", "v", "r", "u", "h", F.coalesce("before", "_l").alias("before"), F.coalesce("after", "_r").alias("after"))
+
+
 def ledger(updates: DataFrame) -> DataFrame:
-    """All statements with their recorded period; ``recorded_until`` null marks what counts today.
+    """All rows of ``updates`` as rectangles: with valid_until, recorded_from, recorded_until and ``current``; columns so named get ``stated_`` before their name.
 
-    Rows delivered again (equal in all columns) count once. A row with null item_id or valid_from speaks of nothing and
-    is left out; a null recorded_at counts as earliest. Of rows recorded at one moment the larger update_id counts.
+    A row says what was known of the item from valid_from to valid_until (null: open) while recorded time went from recorded_from
+    to recorded_until (null: still). valid_until is the next moment spoken about, as known then, or an earlier invalidated_at; a late
+    statement closes the row whose interval it splits and leaves two. Rows of no recorded duration, of statements recorded at one moment, are left out; of
+    those about one moment the larger update_id counts. Rows delivered again (equal in all columns) count once. A row with null item_id or valid_from
+    speaks of nothing and is left out; a null recorded_at counts as earliest. An empty table gives no rows.
     """
     u = updates.where("item_id is not null and valid_from is not null").distinct()
-    w = Window.partitionBy("item_id", "valid_from").orderBy(F.col("recorded_at").asc_nulls_first(), "update_id", F.xxhash64(*u.columns))
-    return u.withColumn("recorded_until", F.lead("recorded_at").over(w)).withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
+    u = u.select("item_id", F.col("valid_from").alias("v"), F.col("recorded_at").alias("r"), F.col("update_id").alias("u"), F.xxhash64(*u.columns).alias("h"), F.struct(*updates.columns).alias("says"))
+    u = materialize(u, "p7-statements")
+    p = materialize(places(u.groupBy("item_id", "v").agg(F.min(F.struct("r", "u", "h")).alias("a")).select("item_id", "v", "a.*")), "p7-slots")
+    # What happens to a moment's row: it begins, is said anew, is split by a later arrival.
+    order = lambda nth: F.struct("r", "u", "h", F.lit(nth).alias("nth")).alias("o")
+    key, to = F.struct("item_id", "v").alias("k"), lambda c: F.struct(F.col(c).alias("to")).alias("until")
+    starts = p.select(key, order(0), F.lit(None).alias("says"), to("after"))
+    splits = p.where("before is not null").select(F.struct("item_id", F.col("before").alias("v")).alias("k"), order(2), F.lit(None).alias("says"), to("v"))
+    said = u.select(key, order(1), "says", F.lit(None).alias("until"))
+    events = segment(materialize(said.union(starts).union(splits), "p7-events"), "k", "o", "p7-ordered")
+    rows = neighbour(carried(events, "k", "o", ("says", "until")), "k", "o", {"_next": "o"}, back=False)
+    rows = rows.where(~F.col("_has") | ~F.col("_next.r").eqNullSafe(F.col("o.r")))
+    own = {"valid_until": F.least("until.to", "says.invalidated_at"), "recorded_from": F.col("o.r"), "recorded_until": F.col("_next.r"), "current": ~F.col("_has")}
+    return rows.select(*[F.col("says")[c].alias(f"stated_{c}" if c in own else c) for c in updates.columns], *[x.alias(c) for c, x in own.items()])
 
 
 def versions(updates: DataFrame, attributes: tuple[str, ...] = ("item_name", "description", "validation_status")) -> DataFrame:
     """(item_id, period_from, period_until, attributes): one row per version of each item.
 
-    Per item and valid_from the statement recorded last counts. A version begins at an item's first statement, where an
+    They are made from the rows of the `ledger` that are not closed: per item and valid_from the statement recorded last. A version begins at an item's first statement, where an
     attribute differs from the statement before (null is a value) and after a statement with invalidated_at; it ends at the
     invalidated_at of its last statement, else where the next begins, else it is open (null). Statements without
     item_id or valid_from are left out; an empty table gives no rows.
     """
-    rank = F.struct(F.col("recorded_at").isNotNull(), "recorded_at", "update_id")
     kept = ["invalidated_at", *attributes]
-    # Superseding is a maximum: combined before the shuffle, so repeated statements about one moment cost nothing.
-    cur = (
-        updates.where("item_id is not null and valid_from is not null")
-        .groupBy("item_id", "valid_from")
-        .agg(F.max(F.struct(rank.alias("r"), *kept)).alias("m"))
-        .select("item_id", "valid_from", *[F.col(f"m.{c}").alias(c) for c in kept])
-    )
+    cur = ledger(updates.select("update_id", "item_id", "recorded_at", "valid_from", *kept)).where("current").select("item_id", "valid_from", *kept)
     cur = segment(cur, "item_id", "valid_from", "p7-current")
     seen = neighbour(cur, "item_id", "valid_from", {f"_p_{c}": c for c in kept})
     changed: Column = ~F.col("_has") | F.col("_p_invalidated_at").isNotNull()

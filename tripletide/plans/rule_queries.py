@@ -334,11 +334,16 @@ SELECT item_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS period_from, coalesce(strfti
 
 @query
 def p7_ledger(spark, d):
-    u = history.ledger(table(spark, d, "graph_updates"))
-    t = lambda x: F.coalesce(F.date_format(x, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
-    return u.select("update_id", "item_id", t("valid_from").alias("valid_from"), t("recorded_at").alias("recorded_from"), t("recorded_until").alias("recorded_until"), F.col("_last").alias("current"))
-
-
-SQL["p7_ledger"] = """SELECT update_id, item_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(recorded_at, '%Y-%m-%d %H:%M:%S'), '') AS recorded_from,
- coalesce(strftime(lead(recorded_at) OVER w, '%Y-%m-%d %H:%M:%S'), '') AS recorded_until, lead(1) OVER w IS NULL AS current
- FROM (SELECT DISTINCT * FROM graph_updates WHERE item_id IS NOT NULL AND valid_from IS NOT NULL) WINDOW w AS (PARTITION BY item_id, valid_from ORDER BY recorded_at NULLS FIRST, update_id)"""
+    u = history.ledger(table(spark, d, "graph_updates", "update_id", "item_id", "valid_from", "recorded_at", "invalidated_at"))
+    t = lambda x: F.coalesce(F.date_format(x, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias(x)
+    return u.select("update_id", "item_id", *map(t, ("valid_from", "valid_until", "recorded_from", "recorded_until")), "current")
+
+
+# What was known of each item at each of its recorded moments, then rows that say the same at moments in turn made one.
+SQL["p7_ledger"] = """WITH u AS (SELECT DISTINCT update_id, item_id, valid_from, recorded_at, invalidated_at, coalesce(epoch_us(recorded_at), -1 << 62) AS k FROM graph_updates WHERE item_id IS NOT NULL AND valid_from IS NOT NULL),
+m AS (SELECT DISTINCT item_id, k, recorded_at FROM u),
+known AS (SELECT m.item_id, m.k, any_value(m.recorded_at) AS came, u.valid_from, arg_max({'id': u.update_id, 'inv': u.invalidated_at}, (u.k, u.update_id)) AS s FROM m JOIN u ON u.item_id = m.item_id AND u.k <= m.k GROUP BY m.item_id, m.k, u.valid_from),
+upto AS (SELECT *, lead(valid_from) OVER (PARTITION BY item_id, k ORDER BY valid_from) AS nxt FROM known),
+news AS (SELECT * FROM upto WINDOW w AS (PARTITION BY item_id, valid_from ORDER BY k) QUALIFY lag(k) OVER w IS NULL OR lag(s.id) OVER w IS DISTINCT FROM s.id OR lag(nxt) OVER w IS DISTINCT FROM nxt)
+SELECT s.id AS update_id, item_id, strftime(valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, coalesce(strftime(least(nxt, s.inv), '%Y-%m-%d %H:%M:%S'), '') AS valid_until, coalesce(strftime(came, '%Y-%m-%d %H:%M:%S'), '') AS recorded_from,
+ coalesce(strftime(lead(came) OVER w, '%Y-%m-%d %H:%M:%S'), '') AS recorded_until, lead(k) OVER w IS NULL AS current FROM news WINDOW w AS (PARTITION BY item_id, valid_from ORDER BY k)"""
