@@ -264,6 +264,22 @@ def test_currency_learns_transitions(spark):
     assert pick("oldest") == {"u1"} and pick("learned") == {"u2"}
 
 
+def test_currency_places_undated_among_dated(spark):
+    """An undated record is newer than all whose state precedes its own and older than those that follow; without state it is oldest."""
+    rows = [(f"{g}{i}", g, None, None, 0.5, DAY + dt.timedelta(days=i), s) for g in "abc" for i, s in enumerate(("pending", "accepted", "archived"))]
+    groups = {
+        "v": [("v1", DAY, "pending"), ("v2", None, "accepted"), ("v3", DAY + dt.timedelta(days=5), "archived")],  # the last dated one follows it
+        "w": [("w1", DAY, "pending"), ("w2", DAY + dt.timedelta(days=3), "accepted"), ("w3", None, "archived"), ("w4", None, None)],
+        "x": [("x1", DAY, "archived"), ("x2", None, "pending")],
+        "y": [("y1", None, "accepted"), ("y2", None, "archived"), ("y3", DAY, "pending"), ("y4", dt.datetime(1900, 1, 1), "archived")],
+    }
+    rows += [(i, g, f"text {i}", None, 0.5, t, s) for g, xs in groups.items() for i, t, s in xs]
+    d = spark.createDataFrame(rows * 2, "entity_id string, fingerprint string, description string, source_document string, confidence double, created_at timestamp_ntz, validation_status string")
+    p = spark.createDataFrame([], "source_id string, reliability_score double")
+    got = {(r["fingerprint"], r["field_name"]): r["entity_id"] for r in survivor.survivors(d, p, "learned").where("fingerprint in ('v', 'w', 'x', 'y')").collect()}
+    assert got == {(g, f): i for g, i in {"v": "v3", "w": "w3", "x": "x1", "y": "y2"}.items() for f in ("description", "confidence")}
+
+
 def test_canonical(spark, small):
     _, conf, cat = canonical.tables(spark, small)
     cases = {
@@ -351,6 +367,8 @@ def test_mixture(spark):
     s = {r["source"]: r for r in shares.collect()}
     assert abs(s["big"]["actual_share"] - 2 / 3) < 0.01 and abs(s["small"]["actual_share"] - 1 / 3) < 0.01
     assert s["none"]["tokens_taken"] == 0 and s["other"]["target_weight"] == 0.0 and set(m.shard) == set(range(5))
+    order = [(r["shard"], r["shuffle_key"]) for r in mixed.collect()]
+    assert order == sorted(order)
     again, _ = mixture.mix(d.repartition(7), t, shards=5)
     assert again.subtract(mixed).count() == 0
     empty, rest = mixture.mix(d.limit(0), t)

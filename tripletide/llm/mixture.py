@@ -2,18 +2,18 @@
 
 Documents fall into blocks of their source (by hash, about one block per BLOCKS-th of the source). The largest mixture that no source limits
 fixes how many tokens each source gives: whole passes over its blocks, then a prefix of the blocks in permuted order, and of the
-last block a prefix of its documents, so that the share is met to one document. The block quotas are split exactly among the
+last block, cut into BLOCKS parts in turn, a prefix of the parts and of the last part's documents, so that the share is met to one document. The block quotas are split exactly among the
 output shards by a binary tree of multivariate hypergeometric draws; each shard then takes its own disjoint blocks of the
-permuted order, and its documents get a random key to shuffle by.
+permuted order, is brought together and ordered by a random key of its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import join_checked, materialize
 from .tokenize import RANKS_PATH, count_tokens
 
 #: Blocks per source (bounds what the driver holds: sources x BLOCKS numbers).
@@ -88,18 +88,24 @@ def mix(docs: DataFrame, targets: DataFrame, shards: int = 16, seed: int = 42, p
     # At most sources x BLOCKS rows.
     blocks = sorted((r["source"], r["block"], r["n"]) for r in sizes.collect())
     rows, _ = plan(blocks, wanted, shards, seed)
-    uses = spark.createDataFrame(rows, "source string, block int, pass int, shard int, part double")
-    whole = n.join(F.broadcast(uses), ["source", "block"])
-    # Only one block a source is used in part: its documents, in random order, up to the tokens that are still wanted.
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("source", "block", "pass").orderBy(F.xxhash64("doc_id", "pass", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    part = whole.where("part >= 0").withColumn("_c", F.sum("n_tokens").over(run)).where("_c - n_tokens / 2 <= part").drop("_c")
-    mixed = whole.where("part < 0").unionByName(part)
+    uses = materialize(spark.createDataFrame(rows, "source string, block int, pass int, shard int, part double"), "p9-uses")
+    whole = join_checked(n, uses, ["source", "block"])
+    # Only one block a source is used in part: its parts in order, up to the tokens that are still wanted, and of the last of them documents in random order.
+    cut = whole.where("part >= 0").withColumn("_p", F.pmod(F.xxhash64("doc_id", "pass", F.lit(seed + 2)), F.lit(BLOCKS)).cast("int"))
+    use = ["source", "block", "pass"]
+    sums = cut.groupBy(*use, "_p").agg(F.sum("n_tokens").alias("_s"))
+    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*use).orderBy("_p")) - F.col("_s"))  # at most BLOCKS rows a use
+    cut = cut.join(sums, [*use, "_p"]).where("_before < part")
+    run = Window.partitionBy(*use, "_p").orderBy(F.xxhash64("doc_id", "pass", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = cut.where("_before + _s > part").withColumn("_c", F.col("_before") + F.sum("n_tokens").over(run)).where("_c - n_tokens / 2 <= part")
+    keep = ["doc_id", "source", "pass", "shard", "n_tokens"]
+    mixed = whole.where("part < 0").select(*keep).union(cut.where("_before + _s <= part").select(*keep)).union(last.select(*keep))
     mixed = mixed.select("doc_id", "source", "pass", "shard", F.xxhash64("doc_id", "pass", "shard", F.lit(seed + 1)).alias("shuffle_key"), "n_tokens")
+    # Each shard is a range of partitions, as many as its size asks for, in the order of its random keys.
+    shuffled = mixed.orderBy("shard", "shuffle_key")
     have = n.groupBy("source").agg(F.sum("n_tokens").alias("tokens_available"))
     took = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens_taken"))
     shares = t.join(have, "source", "full").join(took, "source", "left").na.fill(0, ["tokens_available", "tokens_taken"]).na.fill(0.0, ["target_weight"])
     total = took.agg(F.sum("tokens_taken").alias("_t"))
     shares = shares.crossJoin(F.broadcast(total)).withColumn("actual_share", F.round(F.coalesce(F.try_divide("tokens_taken", "_t"), F.lit(0.0)), 6)).drop("_t")
-    return mixed, shares
+    return shuffled, shares

@@ -2,7 +2,8 @@
 
 Each text is measured once, in built-in functions, and the narrow table of measures is stored. Per language a mergeable quantile sketch
 (Greenwald-Khanna, as `percentile_approx` keeps it) of every measure is built from all documents; a value becomes a robust
-z-score, its distance from the median in interquartile units, and the tails are flagged.
+z-score, its distance from the median in interquartile units, and the tails are flagged. A language's quantiles are weighed with those of all
+texts, so that one of few texts is measured mostly against the whole, at any size by one rule.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ MEASURES = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "line_
 #: Least spread that counts, so that a language whose texts are all alike flags nothing for a trifle.
 FLOOR = {"n_words": 5.0, "mean_word_length": 0.25, "symbol_ratio": 0.01, "digit_ratio": 0.01, "line_end_share": 0.1, "sentence_density": 0.015, "common_share": 0.03, "plain_share": 0.04}
 CUTS = (0.05, 0.25, 0.5, 0.75, 0.95)
-#: Languages with fewer texts are measured against all texts.
-LEAST = 100
+#: A language's quantiles are drawn towards those of all texts as if so many texts of the whole were among its own: few texts tell little.
+PRIOR = 100
+#: Words that `measures` takes as common ones at most.
+WORDS = 100_000
 #: Tails: beyond FAR a single measure tells no prose, beyond LOW it takes two.
 FAR, LOW = -5.5, -2.2
 
@@ -33,9 +36,10 @@ def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
     in common_words of any language, ``plain_share`` that of other words of three or more letters in lower case,
     ``sentence_density`` sentence ends per word. Texts are measured whole.
     """
-    rows = common.where("word is not null").select(F.lower("word").alias("w")).distinct().limit(10001).collect()
-    if len(rows) > 10000:
-        raise ValueError("common_words is to be a short fixed list")
+    # A fixed table by definition of the data (189 words); every task holds it as one set. A table that is none is refused, not cut.
+    rows = common.where("word is not null").select(F.lower("word").alias("w")).distinct().limit(WORDS + 1).collect()
+    if len(rows) > WORDS:
+        raise ValueError(f"common_words is to be a fixed list of at most {WORDS} words")
     words = [r["w"] for r in rows] or [""]
     t: Column = F.col("text")
     lines = F.filter(F.split(t, r"[\r\n\x0b\x0c\u0085  ]+"), lambda x: ~blank(x))
@@ -90,12 +94,13 @@ def statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
     m = materialize(measures(docs, common), "p10-measures")
     s = materialize(sketches(m), "p10-sketches")
     everyone = s.where("lang is null").select(*[F.col(c).alias(f"_a_{c}") for c in MEASURES])
-    own = s.where(F.col("lang").isNotNull() & (F.col("n") >= LEAST)).select("lang", *[F.col(c).alias(f"_q_{c}") for c in MEASURES])
+    own = s.where(F.col("lang").isNotNull()).select("lang", F.col("n").alias("_n"), *[F.col(c).alias(f"_q_{c}") for c in MEASURES])
     j = join_checked(m, _same(own, s), "lang", "left")
     j = j.crossJoin(F.broadcast(everyone))  # one row
     out = j
     for c in MEASURES:
-        q = F.coalesce(F.col(f"_q_{c}"), F.col(f"_a_{c}"))
+        n = F.coalesce(F.col("_n"), F.lit(0))
+        q = F.zip_with(F.coalesce(f"_q_{c}", f"_a_{c}"), f"_a_{c}", lambda x, y: (n * x + PRIOR * y) / (n + PRIOR))  # noqa: B023
         spread = F.greatest((F.get(q, F.lit(3)) - F.get(q, F.lit(1))) / 1.349, F.lit(FLOOR[c]))
         out = out.withColumn(f"z_{c}", F.round((F.col(c) - F.get(q, F.lit(2))) / spread, 4))
     low = lambda c: (F.col(f"z_{c}") < LOW).cast("int")

@@ -27,7 +27,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_currency(spark: SparkSession, d: str) -> DataFrame:
-    return survivor.survivors(table(spark, d, "entities"), table(spark, d, "source_profiles", "source_id", "reliability_score"), undated="learned")
+    return survivor.survivors(table(spark, d, "entities"), table(spark, d, "source_profiles", "source_id", "reliability_score"), undated="learned").select("fingerprint", "field_name", "entity_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

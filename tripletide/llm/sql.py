@@ -56,4 +56,20 @@ P4 = f"""WITH ent AS (SELECT config_id, 'relation' AS kind, unnest(relation_type
  hit AS (SELECT kind, value, arg_min(pos, (d, o, pos)) AS pos FROM near GROUP BY kind, value)
  SELECT o.seq, o.field_name, coalesce(e.entry, '{UNMATCHED}') AS canonical FROM open_ o LEFT JOIN hit h ON h.kind = o.kind AND h.value = o.value LEFT JOIN ent e ON e.config_id = o.config_id AND e.kind = o.kind AND e.pos = h.pos"""
 
-SQL = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p6_found": P6}
+_LATE = "p DESC NULLS LAST, CASE WHEN t IS NOT NULL THEN 0 WHEN p IS NOT NULL THEN 1 + depth ELSE coalesce(depth, 0) END DESC, entity_id"
+P3_CURRENCY = f"""WITH RECURSIVE x AS (SELECT *, CASE WHEN year(created_at) BETWEEN 2000 AND 2029 THEN created_at END AS t FROM entities WHERE fingerprint IS NOT NULL AND entity_id IS NOT NULL),
+ st AS (SELECT lag(validation_status) OVER (PARTITION BY fingerprint ORDER BY t, entity_id) AS p, validation_status AS s FROM x WHERE t IS NOT NULL AND validation_status IS NOT NULL),
+ cnt AS (SELECT p, s, count(*) AS c FROM st WHERE p <> s GROUP BY 1, 2),
+ edge AS (SELECT a.p, a.s FROM cnt a LEFT JOIN cnt b ON b.p = a.s AND b.s = a.p WHERE a.c > coalesce(b.c, 0)),
+ n AS (SELECT count(*) AS n FROM (SELECT p FROM edge UNION SELECT s FROM edge)),
+ walk AS (SELECT p AS state, 0 AS d FROM edge UNION SELECT e.s, w.d + 1 FROM walk w JOIN edge e ON e.p = w.state, n WHERE w.d < n.n),
+ dep AS (SELECT state, max(d) AS depth FROM walk GROUP BY 1),
+ y AS (SELECT x.*, dep.depth FROM x LEFT JOIN dep ON dep.state = x.validation_status),
+ z AS (SELECT y.*, coalesce(y.t, (SELECT max(o.t) FROM y o WHERE o.fingerprint = y.fingerprint AND o.depth < y.depth)) AS p FROM y),
+ e AS (SELECT z.*, coalesce(q.score, 0) AS score, {_TRIM} AS d, count(DISTINCT z.entity_id) OVER (PARTITION BY fingerprint) AS n FROM z
+ LEFT JOIN (SELECT source_id, max(reliability_score) AS score FROM source_profiles GROUP BY 1) q ON q.source_id = regexp_replace(source_document, '_\\d+$', ''))
+ SELECT fingerprint, 'description' AS field_name, entity_id FROM e WHERE n > 1 AND regexp_matches(d, '[\\pL\\pN]') AND lower(d) NOT IN {_list(STAND_INS)} QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY length(d) DESC, {_LATE}) = 1
+ UNION ALL SELECT fingerprint, 'source_document', entity_id FROM e WHERE n > 1 AND source_document IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY score DESC, {_LATE}) = 1
+ UNION ALL SELECT fingerprint, 'confidence', entity_id FROM e WHERE n > 1 AND confidence BETWEEN 0 AND 1 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY {_LATE}) = 1"""
+
+SQL = {"p3_currency": P3_CURRENCY, "p1_found": P1, "p3_found": P3, "p4_found": P4, "p6_found": P6}
