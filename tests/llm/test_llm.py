@@ -6,6 +6,7 @@ import inspect
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,14 @@ def test_graph_meets_all_of_a_crowd():
     assert g.tune(x[:50], 0.98, lambda i, j: i >= 0) == len(x)
 
 
+def nodes_of(keys, ok, first, last):
+    """`dedup.Nodes` of keys, numbered from 0."""
+    n = len(keys)
+    cols = [range(n), [None if x is None else int(x) for x in ok], [None if x is None else int(x) for x in first], [int(x) for x in last], *zip(*keys)]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int32() if c == "rel" else pa.string() for c in dedup.KEY]]
+    return dedup.Nodes(pa.table([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=list(dedup.COLUMNS)))
+
+
 def test_dedup_finds_what_vectors_do_not():
     """Typing errors in both names, and two in one, leave few letters' triples; `same` accepts them."""
     far = [
@@ -198,11 +207,21 @@ def test_dedup_finds_what_vectors_do_not():
         ("P", "munibrol", "anna", 1, "O", "wolunkar", ""), ("P", "muxibyol", "anna", 1, "O", "woxunyar", ""),
     ]
     v = dedup.vectors(far)
-    assert v[3] @ v[4] < 0.68
-    n = len(far)
-    first = np.arange(n) > 0
-    got = dedup.meet_cell(far, v, np.ones(n, bool), np.arange(n, dtype=float), np.where(first, 1, 0), np.where(first, 1, 0), 0.98, 1)
-    assert got == {1: 0, 2: 0, 3: 3, 4: 3}
+    assert v[3] @ v[4] < dedup.LEAST
+    q = nodes_of(far, range(5), [1] * 5, [1] * 5)
+    again = dedup.Nodes.load(q.dump())
+    assert again.keys == q.keys and np.abs(again.v - q.v).max() < 0.02 and (again.ok == q.ok).all()
+    rng = np.random.default_rng(1)
+    best, left = dedup.meet_batches(again, np.ones(5, bool), 0.98, rng)
+    assert best == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3} and list(left) == [(1, 1)]
+    # Held against stored history, a batch meets it and is not met by it.
+    history = dedup.build(nodes_of(far[:1], [7], [0], [0]), rng)
+    best = {}
+    dedup.meet(history, q, np.arange(5), np.ones(5, bool), 0.98, best)
+    assert best == {0: 7, 1: 7, 2: 7}
+
+
+def test_traits_lose_no_pair():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abdefgiklmnoprstuw") for _ in range(rng.randint(4, 12)))
     keys = []
@@ -228,15 +247,63 @@ def test_cells_widen_until_matches_are_met():
     assert (met == far[:, None]).any(1).mean() >= 0.98
 
 
-def test_dedup_asks_full_recall(spark, monkeypatch):
-    asked = []
-    monkeypatch.setattr(dedup, "CELL", 64)
-    monkeypatch.setattr(dedup, "_visits", lambda nodes, tree, s, x, recall: asked.append(recall) or (1, 0.0))
-    rows = [(i, i, 0, i % 2, "P", f"muster{chr(97 + i % 26)}{chr(97 + i // 26)}", "anna", i % 3, "O", f"werk{chr(97 + i % 26)}", "") for i in range(300)]
-    n = spark.createDataFrame(rows, "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string")
-    dedup.duplicates(dedup.with_vectors(n))
-    assert asked and asked[0] >= 0.96
-    assert inspect.signature(dedup.duplicates).parameters["recall"].default >= 0.98
+def test_stored_graph_walks_alike():
+    rng = np.random.default_rng(8)
+    x = neighbours.unit(rng.normal(size=(3000, dedup.DIM)))
+    g = dedup.Graph(x, rng)
+    again = dedup.Graph(x, None, g.dump())
+    for a, b in zip(g.search(x[:50], 8), again.search(x[:50], 8)):
+        assert (np.sort(a, 1) == np.sort(b, 1)).all()
+    assert dedup.Graph(x[:10], rng).dump() is None and dedup.Graph(x[:10], None, None).links is None
+
+
+def test_dedup_asks_full_recall():
+    assert inspect.signature(dedup.Index.__init__).parameters["recall"].default >= 0.98
+
+
+def words_for(n, rng):
+    return ["".join(rng.choice("abdefgiklmnoprstuw") for _ in range(rng.randint(8, 12))) for _ in range(n)]
+
+
+FACTS = "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string"
+
+
+@pytest.mark.parametrize("cell", [65_536, 250])
+def test_index_takes_batches_without_its_history(spark, monkeypatch, cell):
+    """Batches in several calls, the index opened anew each time: as against all facts by brute force; the history's shards stay the files they were. Cells of 250 need trees."""
+    monkeypatch.setattr(dedup, "CELL", cell)
+    rng = random.Random(11)
+    base = [(rng.choice("P"), a, "anna", rng.randrange(2), "X", b, "7") for a, b in zip(words_for(900, rng), words_for(900, rng))]
+    worse = lambda w: (lambda p: w[:p] + "x" + w[p + 1 :])(rng.randrange(len(w)))
+    bent = [(f[0], worse(f[1]), f[2], f[3], f[4], worse(f[5]) if rng.random() < 0.5 else f[5], f[6]) for f in base for _ in range(rng.choice([0, 0, 1, 2]))]
+    facts_ = list(dict.fromkeys(base + bent))
+    rng.shuffle(facts_)
+    when = [rng.choice([0, 0, 0, 1, 2, 3, 4]) for _ in facts_]
+    order = sorted(range(len(facts_)), key=lambda i: when[i])
+    rows = {i: (i, seq if seq % 9 else None, when[i] if seq % 9 else None, when[i], *facts_[i]) for seq, i in enumerate(order) if when[i] or seq % 9}
+    part = lambda *bs: spark.createDataFrame([r for r in rows.values() if r[3] in bs], FACTS)
+    index = dedup.Index(spark)
+    index.append(part(0))
+    assert (index.cells is not None) == (cell == 250)
+    fs, path = index._fs()
+    files = lambda: sorted((x.getPath().getName(), x.getModificationTime()) for n in index.state["history"] for x in fs.listStatus(path(f"{index.path}/{n}")))
+    written, got = files(), {}
+    for bs in ((1, 2), (3,), (4,)):
+        index = dedup.Index(spark, index.path)  # only what is stored
+        got |= {r["node"]: r["first"] for r in index.add(part(*bs)).collect()}
+        if bs == (3,):
+            index.compact()
+            assert len(index.state["batches"]) == 1
+    assert files() == written and len(dedup.Index(spark, index.path).state["batches"]) == 2
+    ok = lambda f, g: f[3] == g[3] and names.same(f[:3], g[:3]) and names.same(f[4:], g[4:])
+    want = {}
+    for i, r in rows.items():
+        if r[3]:
+            hits = [o[1] for o in rows.values() if o[1] is not None and o[3] <= r[3] and ok(r[4:], o[4:])]
+            if hits:
+                want[i] = min(hits)
+    assert sum(got.get(i) == x for i, x in want.items()) >= (0.99 if cell > 1000 else 0.95) * len(want) and set(got) <= set(want)
+    assert index.add(part(99)).count() == 0
 
 
 def test_survivors(spark):

@@ -1,16 +1,23 @@
-"""New batches of facts against all history: navigable small-world graphs in shards, exact reranking.
+"""New batches of facts against all history: navigable small-world graphs in stored shards, exact reranking.
 
 Rows that state one fact in one canonical writing (`names.read_any` for both things, the catalogue's number for the relation) are one
-node, with the earliest accepted row behind it. A node's vector hashes the letters' triples of both names and the relation. A coarse
-tree (as in `neighbours`) cuts the space into cells; in each cell the history lies in shards of at most SHARD nodes, each a small-world
-graph: every node is linked to its nearest ones, to nodes that have it among theirs, and to a few at random. A batch becomes a new
-shard, and shards of batches are merged as in a binary counter, so a query meets the history and at most a logarithm of the number of
-batches; what came before is never indexed again. A query walks each graph with a beam that is widened until it agrees with an exhaustive search
-of the shard for sampled queries. What it meets is reranked exactly: by comparing relation, names and numbers, not vectors.
+node, with the earliest accepted row behind it. Nodes that can mean one fact agree in the relation and in the kinds of both things: these make
+a segment, and a segment of more than CELL nodes is cut into cells by a coarse tree (as in `neighbours`), of which a query visits as many as calibration asks for.
+A node's vector hashes the letters' triples of both names.
+
+An `Index` keeps, in the shared folder, the shards of each cell: at most SHARD nodes and their small-world graph, in which every node is linked to its nearest ones,
+to nodes that have it among theirs, and to a few at random. `append` writes the history's shards once. `add` takes new batches: it walks the stored graphs, which it reads and never
+builds again, and lets each batch become a new shard that later batches are held against too; shards of batches are merged as in a binary counter, so a query meets the history and at
+most a logarithm of the number of batches. What is left of them is stored, and `compact` merges stored shards when there are many.
+A walk's beam is widened until it agrees with an exhaustive search of the shard for sampled queries. Exact repeats meet by equality. What a walk meets is reranked exactly:
+by comparing relation, names and numbers, not vectors.
 """
 
 from __future__ import annotations
 
+import json
+import random
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,29 +25,31 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import blank, join_checked, materialize
+from ..runtime import blank, join_checked, materialize, tables_dir
 from .canonical import match
 from .names import GIVEN, THING_WORDS, edits, read_any, same
 from .neighbours import Tree, unit
 
-#: Numbers per name and relation in a vector, and their weights in the similarity.
-NAME_DIM, REL_DIM = 48, 16
-DIM = 2 * NAME_DIM + REL_DIM
-NAME_WEIGHT, REL_WEIGHT = 0.42, 0.16
+#: Numbers per name in a vector.
+NAME_DIM = 48
+DIM = 2 * NAME_DIM
 #: Nodes per cell aimed at and per shard at most; nodes of a leaf in which a node's links are looked for; links per node; entry points.
-CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 16_384, 32_768, 512, 16, 4, 64
+CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 65_536, 32_768, 512, 16, 4, 64
 #: One node in so many is a place to enter a graph; shards up to WHOLE nodes need none and are compared whole.
 UPPER, WHOLE = 4, 2048
 #: Similarity of all nodes kept from which a walk may have lost some and the shard is compared whole, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
-LEAST, NEAR, KEEP = 0.68, 0.8, 32
+LEAST, NEAR, KEEP = 0.62, 0.76, 32
 #: Pairs of facts compared at once where all are.
 BLOCK = 1 << 21
-#: Cells that calibration looks at first, and more where they do not hold enough; queries of a cell that the beam is tuned on: enough for some dozens to have a match.
+#: Cells that calibration looks at first, and more where they do not hold enough; queries of a shard that the beam is tuned on: enough for some dozens to have a match.
 MOST, TUNED = 8, 256
-SAMPLE, PROBES = 32_768, 1500
+#: Nodes that the trees of all segments are fitted on, and probes for the cells to visit.
+SAMPLE, PROBES = 262_144, 1500
+#: Stored bytes of new batches' facts that are sent to all shards; more are joined by cell. Stored tables of batches' shards from which `add` compacts.
+SENT, MERGE_AT = 32 << 20, 8
 
 _code: dict[str, int] = {}
 
@@ -68,11 +77,11 @@ def _features(kind: str, core: str, extra: str) -> list[int]:
 
 
 def vectors(facts: list[tuple]) -> np.ndarray:
-    """Unit vectors of facts (s kind, s core, s given, relation, o kind, o core, o given)."""
+    """Unit vectors of facts (s kind, s core, s given, relation, o kind, o core, o given); the relation is no part of them."""
     out = np.zeros((len(facts), DIM), np.float32)
     for part in (0, 4):
         rows, codes = [], []
-        for i, f in enumerate(facts):
+        for f in facts:
             c = _features(f[part], f[part + 1], f[part + 2])
             rows.append(len(c))
             codes.extend(c)
@@ -80,20 +89,24 @@ def vectors(facts: list[tuple]) -> np.ndarray:
         at = np.repeat(np.arange(len(facts)), rows) * NAME_DIM + code % NAME_DIM
         v = np.bincount(at, weights=np.where(code >> 20 & 1, 1.0, -1.0), minlength=len(facts) * NAME_DIM).reshape(-1, NAME_DIM)
         lo = 0 if part == 0 else NAME_DIM
-        out[:, lo : lo + NAME_DIM] = unit(v) * np.sqrt(NAME_WEIGHT)
-    rel = np.array([f[3] for f in facts], dtype=np.int64)
-    kinds, where = np.unique(rel, return_inverse=True)
-    signs = np.array([[1.0 if _hash(f"r{r}.{j}") >> 7 & 1 else -1.0 for j in range(REL_DIM)] for r in kinds], np.float32).reshape(-1, REL_DIM)
-    out[:, 2 * NAME_DIM :] = signs[where] / np.sqrt(REL_DIM) * np.sqrt(REL_WEIGHT)
+        out[:, lo : lo + NAME_DIM] = unit(v) / np.sqrt(2)
     return unit(out)
 
 
 class Graph:
     """A navigable small-world graph over the unit vectors of one shard."""
 
-    def __init__(self, x: np.ndarray, rng: np.random.Generator):
+    def __init__(self, x: np.ndarray, rng: np.random.Generator | None, stored: bytes | None = None):
+        """Built with ``rng``, or from what `dump` gave."""
         self.x, n = x, len(x)
         self.links, self.beam = None, None
+        if rng is None:
+            if stored:
+                z = np.frombuffer(stored, np.int32)
+                k = int(z[0])
+                self.entries, self.links = z[1 : k + 1], np.frombuffer(stored, np.uint16 if n <= 1 << 16 else np.int32, offset=4 * (k + 1)).reshape(n, -1).astype(np.int32)
+                self.upper = np.ascontiguousarray(x[self.entries])
+            return
         if n <= WHOLE:  # a walk would see much of it at a higher price
             return
         near = self._near(x, rng)
@@ -111,6 +124,13 @@ class Graph:
         self.entries = np.sort(rng.choice(n, max(ENTRIES, n // UPPER), replace=False)).astype(np.int32)
         self.upper = np.ascontiguousarray(x[self.entries])
 
+    def dump(self) -> bytes | None:
+        """Entry points and links, for storage."""
+        if self.links is None:
+            return None
+        head = np.r_[np.int32(len(self.entries)), self.entries].astype(np.int32)
+        return head.tobytes() + self.links.astype(np.uint16 if len(self.x) <= 1 << 16 else np.int32).tobytes()
+
     @staticmethod
     def _near(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """LINKS similar nodes of each node: the most similar ones of all, in large shards of the three leaves next to it."""
@@ -271,26 +291,6 @@ def _keys(t: pa.Table | pa.RecordBatch) -> list[tuple]:
     return list(zip(*(t.column(c).to_pylist() for c in KEY)))
 
 
-NODE = "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string, v binary"
-
-
-def with_vectors(nodes: DataFrame) -> DataFrame:
-    """Nodes with their vector as DIM signed bytes: it is needed three times and costs more than to store."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                raw = np.rint(vectors(_keys(b)) * 127).astype(np.int8).tobytes()
-                ends = pa.py_buffer((np.arange(b.num_rows + 1) * DIM).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(raw)])], names=[*b.schema.names, "v"])
-
-    return nodes.select("node", "first_ok", "first_batch", "last_batch", *KEY).mapInArrow(run, NODE)
-
-
-def _stored(t: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return unit(np.frombuffer(b"".join(t.column("v").to_pylist()), np.int8).reshape(-1, DIM).astype(np.float32))
-
-
 def visible(batch: int) -> list[tuple[int, int]]:
     """Ranges of batches whose merged shards are there when ``batch`` has been added: a binary counter, history apart."""
     out, lo = [], 1
@@ -359,128 +359,329 @@ class Traits:
         return tuple(np.concatenate(z) for z in zip(*out))
 
 
-def meet_cell(keys: list[tuple], v: np.ndarray, home: np.ndarray, ok: np.ndarray, first: np.ndarray, last: np.ndarray, recall: float, seed: int) -> dict[int, int]:
-    """{row: least first_ok} of the rows of one cell with a row in a batch (last > 0) that mean a fact held here.
+NODE = "node bigint, first_ok bigint, first_batch int, last_batch int, sk string, sc string, sg string, rel int, ok_ string, oc string, og string"
+COLUMNS = ("node", "first_ok", "first_batch", "last_batch", *KEY)
 
-    keys, v: KEY and vector of each row; home: the cell is the row's own, so that it is indexed here; ok: least seq of the node's rows that are not rejected, or NaN.
-    """
-    traits = Traits(keys)
-    own = np.where(np.isnan(ok), np.inf, ok)  # a match later than the node's own first row changes nothing
-    rng = np.random.default_rng(seed + 1)
-    best: dict[int, int] = {}
-    index = home & ~np.isnan(ok)  # nodes of rejected rows alone hold nothing
-    graphs: dict[tuple, list[tuple[Graph, np.ndarray]]] = {}
-
-    def shards(lo: int, hi: int) -> list[tuple[Graph, np.ndarray]]:
-        if (lo, hi) not in graphs:
-            rows = np.flatnonzero(index & (first >= lo) & (first <= hi))
-            rows = rows[np.argsort(ok[rows], kind="stable")]
-            graphs[lo, hi] = [(Graph(v[part], rng), part) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
-        return graphs[lo, hi]
-
-    def means(a: int, c: int) -> bool:
-        f, g = keys[a], keys[c]
+
+class Nodes:
+    """Facts of one cell with their vectors: a table of COLUMNS, kept as one value in storage."""
+
+    def __init__(self, t: pa.Table, v: np.ndarray | None = None):
+        self.t, self.keys = t, _keys(t)
+        self.v = vectors(self.keys) if v is None else v
+        self.node = t.column("node").to_numpy()
+        self.ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
+        self.first, self.last = (t.column(c).to_numpy(zero_copy_only=False) for c in ("first_batch", "last_batch"))
+
+    def take(self, rows: np.ndarray) -> Nodes:
+        return Nodes(self.t.take(pa.array(rows)), self.v[rows])
+
+    def dump(self) -> bytes:
+        v = pa.Array.from_buffers(pa.binary(DIM), len(self.v), [None, pa.py_buffer(np.rint(self.v * 127).astype(np.int8).tobytes())])
+        sink = pa.BufferOutputStream()
+        t = self.t.append_column("v", v)
+        with pa.ipc.new_stream(sink, t.schema) as w:
+            w.write_table(t)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def load(data: bytes) -> Nodes:
+        t = pa.ipc.open_stream(data).read_all().combine_chunks()
+        raw = b"".join(c.buffers()[1].to_pybytes()[c.offset * DIM : (c.offset + len(c)) * DIM] for c in t.column("v").chunks)
+        v = np.frombuffer(raw, np.int8).reshape(-1, DIM).astype(np.float32)
+        return Nodes(t.drop_columns(["v"]), unit(v))
+
+
+def build(nodes: Nodes, rng: np.random.Generator) -> list[tuple[Nodes, Graph]]:
+    """Shards of nodes with an accepted row, in order of it."""
+    rows = np.flatnonzero(~np.isnan(nodes.ok))
+    rows = rows[np.lexsort((nodes.node[rows], nodes.ok[rows]))]
+    return [(own := nodes.take(part), Graph(own.v, rng)) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
+
+
+def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, home: np.ndarray, recall: float, best: dict[int, float]) -> None:
+    """Lower ``best[row]``, the least accepted seq known of a query's fact, for ``rows`` of ``q`` by what the shards hold. home: the cell is the query's own."""
+
+    def means(f: tuple, g: tuple) -> bool:
         return same(f[:3], g[:3]) and same(f[4:], g[4:])
 
-    def verified(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.array([means(x, y) for x, y in zip(a.tolist(), c.tolist())], bool)
-
-    def meet_in(span: tuple[int, int], q: np.ndarray) -> None:
-        for graph, rows in shards(*span):
-            some = q[home[q]]  # queries from elsewhere seldom match here and would tell little
-            some = some[:: max(1, len(some) // TUNED)][:TUNED]
-            beam = graph.tune(v[some], recall, lambda i, j: verified(some[i], rows[j]), lambda i: traits.pairs(some[i], rows))  # noqa: B023
-            i, j = graph.meet(v[q], beam, lambda i: traits.pairs(q[i], rows))  # noqa: B023
-            a, c = q[i], rows[j]
-            early = ok[c] <= own[a]
-            a, c = a[early], c[early]
-            hit = np.flatnonzero(traits.plausible(a, c))
-            hit = hit[np.argsort(ok[c[hit]], kind="stable")]  # the first match of a row is its earliest
-            for a, c in zip(a[hit].tolist(), c[hit].tolist()):
-                if ok[c] < best.get(a, np.inf) and (a == c or means(a, c)):
-                    best[a] = int(ok[c])
-
-    meet_in((0, 0), np.flatnonzero(last > 0))
-    for batch in np.unique(last[last > 0]):
-        for span in visible(int(batch)):
-            meet_in(span, np.flatnonzero(last == batch))
-        later = {y for z in range(int(batch) + 1, int(last.max()) + 1) for y in visible(z)}
-        for span in [x for x in graphs if x[0] > 0 and x not in later]:
-            del graphs[span]  # merged into a larger shard
-    return best
-
-
-def duplicates(nodes: DataFrame, recall: float = 0.98) -> DataFrame:
-    """(node, first): for nodes (NODE) with a row in a batch, the least first_ok of all nodes of the same fact.
-
-    first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of its first row, last_batch that of its last.
-    Nodes are unique by KEY. A node matches itself. ``recall`` is what calibration asks of beams and of cells.
+    for there, graph in shards if len(rows) else []:
+        asked = [q.keys[i] for i in rows]
+        traits = Traits(asked + there.keys)
+        all_q, held, n = np.arange(len(rows)), np.arange(len(there.keys)) + len(rows), len(rows)
+        whole = lambda i: traits.pairs(all_q[i], held)  # noqa: B023, E731
+        some = np.flatnonzero(home[rows])  # queries from elsewhere seldom match here and would tell little
+        some = some[:: max(1, len(some) // TUNED)][:TUNED]
+        right = lambda i, j: np.array([means(asked[some[a]], there.keys[c]) for a, c in zip(i.tolist(), j.tolist())], bool)  # noqa: B023, E731
+        beam = graph.tune(q.v[rows[some]], recall, right, lambda i: whole(some[i]))  # noqa: B023
+        i, j = graph.meet(q.v[rows], beam, whole)
+        known = np.array([best.get(r, np.inf) for r in rows.tolist()])
+        early = there.ok[j] < known[i]  # a later match changes nothing
+        i, j = i[early], j[early]
+        hit = np.flatnonzero(traits.plausible(i, n + j))
+        hit = hit[np.argsort(there.ok[j[hit]], kind="stable")]  # the first match of a row is its earliest
+        for a, c in zip(i[hit].tolist(), j[hit].tolist()):
+            r = int(rows[a])
+            if there.ok[c] < best.get(r, np.inf) and means(asked[a], there.keys[c]):
+                best[r] = float(there.ok[c])
+
+
+def meet_batches(q: Nodes, home: np.ndarray, recall: float, rng: np.random.Generator) -> tuple[dict[int, float], dict[tuple[int, int], list[tuple[Nodes, Graph]]]]:
+    """(least accepted seq by row, shards left by range of batches) of one cell's new batches, each held against those before it and itself."""
+    best: dict[int, float] = {}
+    shards: dict[tuple[int, int], list[tuple[Nodes, Graph]]] = {}
+    held = home & ~np.isnan(q.ok)  # rejected rows alone hold nothing
+    numbers = {int(b): k + 1 for k, b in enumerate(np.unique(np.r_[q.first[held], q.last]).astype(int))}
+    first, last = (np.array([numbers.get(int(b), 0) if b == b else 0 for b in x.tolist()]) for x in (np.where(held, q.first, -1), q.last))
+    for batch in range(1, len(numbers) + 1):
+        spans = visible(batch)
+        for lo, hi in spans:
+            if (lo, hi) not in shards:
+                shards[lo, hi] = build(q.take(np.flatnonzero(held & (first >= lo) & (first <= hi))), rng)
+        for span in [x for x in shards if x not in spans]:
+            del shards[span]  # merged into a larger shard
+        for span in spans:
+            meet(shards[span], q, np.flatnonzero(last == batch), home, recall, best)
+    named = {k: b for b, k in numbers.items()}
+    return best, {(named[lo], named[hi]): x for (lo, hi), x in shards.items()}
+
+
+class Cells:
+    """The trees of the segments with more than CELL nodes, and how far from its own cell a query looks."""
+
+    def __init__(self, trees: dict[str, Tree], recall: float, samples: dict[str, list[tuple]]):
+        self.trees, self.most, self.margin = trees, 1, 0.0
+        rng = random.Random(3)
+        for segment, tree in sorted(trees.items()):
+            # Probes: sampled facts, misspelt as far as `same` allows; their match lies in the cell of what they were.
+            keys = samples[segment]
+            keys = keys[:: max(1, len(keys) * len(trees) // PROBES)]
+            most, margin = _widen(tree, vectors([_misspelt(k, rng) for k in keys]), np.arange(len(keys)), tree.search(vectors(keys), 1)[:, 0], recall)
+            self.most, self.margin = max(self.most, most), max(self.margin, margin)
+
+    def route(self, segment: str, keys: list[tuple], asks: bool) -> np.ndarray:
+        """Leaves of each fact, its own first; -1 pads. ``asks``: as far as matches are to be looked for."""
+        tree, v = self.trees[segment], vectors(keys)
+        return _cells(tree, v, min(self.most, tree.n_leaves), self.margin) if asks else tree.search(v, 1)
+
+
+def _misspelt(key: tuple, rng: random.Random) -> tuple:
+    """A fact with as many letters of its names changed as are allowed, in at least one of them."""
+    out, both = list(key), rng.random()
+    for at, one in ((1, both < 0.6), (5, both > 0.4)):
+        for _ in range(rng.randint(1, 2) if one else 0):
+            w = out[at]
+            if edits(len(w)) > (w != key[at]):
+                p = rng.randrange(len(w))
+                out[at] = w[:p] + rng.choice(["", "x", w[p] + "e", w[p + 1 : p + 2] + w[p]]) + w[p + 1 + (rng.random() < 0.3) :]
+    return tuple(out)
+
+
+def _segment():
+    return F.concat_ws("|", F.col("rel").cast("string"), "sk", "ok_")
+
+
+class Index:
+    """Shards of all facts accepted so far, in the shared folder.
+
+    ``shards`` are tables (cell, lo, hi, data, links), one row per shard of the batches lo to hi; ``keys`` tables (node, first_ok) of all nodes. A manifest
+    names the tables that count, so that a job that is lost leaves the index as it was. ``recall`` is what calibration asks of beams and of cells.
     """
-    spark = nodes.sparkSession
-    total = nodes.count()
-    if not total:
-        return spark.createDataFrame([], "node bigint, first bigint")
-    share = min(1.0, SAMPLE / total)
-    s = nodes.where(F.pmod(F.col("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "last_batch", *KEY, "v").limit(2 * SAMPLE).toArrow()
-    s = s.sort_by("node")
-    x = _stored(s)
-    cells = max(1, total // CELL)
-    tree = Tree(x, max(2, -(-len(x) // cells))) if len(x) else Tree(np.zeros((1, DIM), np.float32), 2)
-    visits, margin = _visits(nodes, tree, s, x, recall) if tree.n_leaves > 1 else (1, 0.0)
-    shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 2 cells
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = _stored(b)
-            asks = b.column("last_batch").to_numpy() > 0
-            way = np.full((len(v), visits), -1, np.int32)
-            way[:, :1] = t.search(v, 1)
-            if asks.any():
-                way[asks] = _cells(t, v[asks], visits, margin)
-            row, nth = np.nonzero(way >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(way[row, nth]), pa.array(nth == 0), *[c.take(pa.array(row)) for c in b.columns]], names=["cell", "home", *b.schema.names])
-
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("node")
-        node = t.column("node").to_numpy()
-        ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
-        found_ = meet_cell(_keys(t), _stored(t), t.column("home").to_numpy(), ok, t.column("first_batch").to_numpy(), t.column("last_batch").to_numpy(), recall, int(key[0].as_py()))
-        return pa.table({"node": pa.array(node[list(found_)], pa.int64()), "first": pa.array(list(found_.values()), pa.int64())})
-
-    routed = nodes.mapInArrow(route, "cell int, home boolean, " + NODE)
-    met = routed.groupBy("cell").applyInArrow(meet, "node bigint, first bigint")
-    return met.groupBy("node").agg(F.min("first").alias("first"))
-
-
-def _visits(nodes: DataFrame, tree: Tree, sample: pa.Table, x: np.ndarray, recall: float) -> tuple[int, float]:
-    """(most cells to visit, margin): cells as similar as the best one, less the margin, hold the wanted part of what the sampled queries match, by the same test as all, among all nodes."""
-    new = np.flatnonzero(sample.column("last_batch").to_numpy() > 0)
-    pick = new[np.unique(np.linspace(0, len(new) - 1, min(PROBES, len(new))).astype(int))] if len(new) else new
-    if not len(pick):
-        return min(2, tree.n_leaves), 0.05
-    q, own = x[pick], sample.column("node").to_numpy()[pick]
-    keys_ = _keys(sample)
-    qk = [keys_[i] for i in pick]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = _keys(b)
-            i, j = Traits(qk + keys).pairs(np.arange(len(qk)), np.arange(len(qk), len(qk) + len(keys)))
-            keep = own[i] != b.column("node").to_numpy()[j]
-            keep[keep] = [same(qk[a][:3], keys[c][:3]) and same(qk[a][4:], keys[c][4:]) for a, c in zip(i[keep].tolist(), j[keep].tolist())]
-            home = tree.search(_stored(b.take(pa.array(j[keep]))), 1)[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(i[keep], pa.int32()), pa.array(home, pa.int32())], names=["q", "cell"])
-
-    t = nodes.select("node", *KEY, "v").mapInArrow(scan, "q int, cell int").toArrow()
-    if not t.num_rows:
-        return min(2, tree.n_leaves), 0.05
-    i, cell = t.column("q").to_numpy(), t.column("cell").to_numpy()
-    return _widen(tree, q, i, cell, recall)
+
+    def __init__(self, spark: SparkSession, path: str | None = None, recall: float = 0.98):
+        self.spark, self.recall = spark, recall
+        self.path = path or f"{tables_dir(spark)}/p2-index-{uuid.uuid4().hex}"
+        self.cells: Cells | None = None
+        self.state: dict = {"version": 0, "history": [], "batches": [], "keys": [], "sample": None}
+        fs = self._fs()
+        at = fs[0].globStatus(fs[1](f"{self.path}/manifest-*"))
+        if at:
+            newest = max((x.getPath().getName() for x in at), key=lambda n: int(n.split("-")[1]))
+            self.state = json.loads(spark.read.text(f"{self.path}/{newest}").first()[0])
+            if self.state["sample"]:
+                self._fit(self._read("sample", self.state["sample"]))
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _write(self, df: DataFrame, label: str) -> str:
+        name = f"{label}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, label: str, name: str) -> DataFrame:
+        out = self.spark.read.parquet(f"{self.path}/{name}")
+        out._tide_path = f"{self.path}/{name}"
+        return out
+
+    def _commit(self) -> None:
+        self.state["version"] += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.state['version']}")
+
+    def _fit(self, sample: DataFrame) -> None:
+        """Trees from the stored sample (at most 2 x SAMPLE facts)."""
+        by: dict[str, list[tuple]] = {}
+        rows = sample.toArrow().sort_by("node")
+        for segment, n, key in zip(rows.column("segment").to_pylist(), rows.column("n").to_pylist(), _keys(rows)):
+            by.setdefault(segment, []).append((n, key))
+        keys = {x: [k for _, k in z] for x, z in by.items()}
+        trees = {x: Tree(vectors(keys[x]), max(2, -(-len(z) * CELL // z[0][0]))) for x, z in by.items()}
+        self.cells = Cells(trees, self.recall, keys) if trees else None
+
+    def _routed(self, nodes: DataFrame, asks: bool) -> DataFrame:
+        """Nodes with (cell, home); those of cut segments go to their leaf, as queries also to others."""
+        x = nodes.select(_segment().alias("cell"), F.lit(True).alias("home"), *COLUMNS)
+        if self.cells is None:
+            return x
+        # The trees of at most 2 x SAMPLE facts, cut to CELL: bounded.
+        shared = self.spark.sparkContext.broadcast(self.cells)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = shared.value
+            for b in batches:
+                segment = np.array(b.column("cell").to_pylist(), object)
+                row, cell, home = [], [], []
+                for s in set(segment.tolist()):
+                    at = np.flatnonzero(segment == s)
+                    if s not in c.trees:
+                        row, cell, home = row + at.tolist(), cell + [s] * len(at), home + [True] * len(at)
+                        continue
+                    way = c.route(s, [tuple(k) for k in zip(*(b.column(x).take(pa.array(at)).to_pylist() for x in KEY))], asks)
+                    i, j = np.nonzero(way >= 0)
+                    row, cell, home = row + at[i].tolist(), cell + [f"{s}|{z}" for z in way[i, j].tolist()], home + (j == 0).tolist()
+                rest = b.select(list(COLUMNS)).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(home, pa.bool_()), *rest.columns], names=["cell", "home", *COLUMNS])
+
+        return x.mapInArrow(run, "cell string, home boolean, " + NODE)
+
+    def append(self, nodes: DataFrame) -> None:
+        """Index the history: nodes (COLUMNS) with an accepted row, unique by KEY. Segments above CELL nodes are cut by trees fitted on a sample of at most 2 x SAMPLE of them."""
+        size = nodes.groupBy(_segment().alias("segment")).agg(F.count("*").alias("n"))
+        large = materialize(size.where(F.col("n") > CELL), "p2-large")  # a segment is a relation and two kinds
+        total = large.agg(F.sum("n")).first()[0]
+        if total and not self.state["sample"]:
+            share = int(min(1.0, SAMPLE / total) * (1 << 30))
+            s = nodes.withColumn("segment", _segment()).where(F.pmod(F.col("node"), F.lit(1 << 30)) < share).join(F.broadcast(large), "segment")
+            self.state["sample"] = self._write(s.select("segment", "n", "node", *KEY).limit(2 * SAMPLE), "sample")
+            self._fit(self._read("sample", self.state["sample"]))
+
+        def shard(key: tuple, t: pa.Table) -> pa.Table:
+            made = build(Nodes(t.drop_columns(["cell", "home"]).combine_chunks()), np.random.default_rng(_hash(key[0].as_py())))
+            return _shard_rows(key[0].as_py(), 0, 0, made)
+
+        routed = self._routed(nodes, False).repartition(self._spread(), "cell")
+        self.state["history"].append(self._write(routed.groupBy("cell").applyInArrow(shard, SHARDS), "history"))
+        self.state["keys"].append(self._write(nodes.select("node", "first_ok"), "keys"))
+        self._commit()
+
+    def _spread(self) -> int:
+        """Tasks for cells: some for each of the session's, so that large and small ones even out."""
+        return 4 * max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def add(self, nodes: DataFrame) -> DataFrame:
+        """(node, first): for nodes (COLUMNS, unique by KEY) of new batches the least accepted seq of all nodes of the same fact, stored or among them.
+
+        first_ok is the least seq of a node's rows that are not rejected (null: none), first_batch the batch of that row, last_batch that of its last.
+        A node means itself. The new nodes are stored too.
+        """
+        recall = self.recall
+        nodes = materialize(nodes.select(*COLUMNS), "p2-new")
+        exact = None
+        for name in self.state["keys"]:
+            k = nodes.select("node").join(self._read("keys", name), "node").select("node", F.col("first_ok").alias("first"))
+            exact = k if exact is None else exact.union(k)
+        old = nodes.select("node", F.col("first_ok").alias("first")).where("first is not null")
+        known = materialize((old if exact is None else old.union(exact)).groupBy("node").agg(F.min("first").alias("first")), "p2-known")
+
+        def pack(key: tuple, t: pa.Table) -> pa.Table:
+            t = t.sort_by("node").combine_chunks()
+            own = t.column("known").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+            home = t.column("home").to_numpy(zero_copy_only=False).tobytes()
+            return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "asked": pa.array([Nodes(t.select(list(COLUMNS))).dump()], pa.binary()), "own": pa.array([own], pa.binary()), "at_home": pa.array([home], pa.binary())})
+
+        routed = self._routed(nodes, True).join(known.withColumnRenamed("first", "known"), "node", "left").select("cell", "home", *COLUMNS, "known")
+        packed = materialize(routed.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(pack, "cell string, asked binary, own binary, at_home binary"), "p2-asked")
+        asked = lambda b, i: (Nodes.load(b.column("asked")[i].as_py()), np.frombuffer(b.column("own")[i].as_py(), np.float64), np.frombuffer(b.column("at_home")[i].as_py(), bool))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    q, own, home = asked(b, i)
+                    there = Nodes.load(b.column("data")[i].as_py())
+                    best = {r: x for r, x in enumerate(own.tolist()) if x == x}
+                    meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, np.arange(len(q.keys)), home, recall, best)
+                    yield _found_rows(q, best, own)
+
+        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    q, own, home = asked(b, i)
+                    cell = b.column("cell")[i].as_py()
+                    best, left = meet_batches(q, home, recall, np.random.default_rng(_hash(cell) + 1))
+                    f = _found_rows(q, best, own)
+                    yield pa.RecordBatch.from_arrays([*f.columns, *(pa.nulls(f.num_rows, x) for x in _SHARD_TYPES)], names=[*f.schema.names, *_SHARD_NAMES])
+                    for (lo, hi), made in left.items():
+                        for x in _shard_rows(cell, lo, hi, made).combine_chunks().to_batches():
+                            yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.int64())] * 2 + x.columns, names=["node", "first", *_SHARD_NAMES])
+
+        out = [known]
+        for name in [*self.state["history"], *self.state["batches"]]:
+            met = join_checked(self._read("shards", name), packed, "cell", limit=SENT).mapInArrow(walk, "node bigint, first bigint")
+            out.append(materialize(met, "p2-met"))
+        fresh = materialize(packed.mapInArrow(among, "node bigint, first bigint, " + SHARDS), "p2-among")
+        out.append(fresh.where("node is not null").select("node", "first"))
+        self.state["batches"].append(self._write(fresh.where("cell is not null").select(*_SHARD_NAMES), "batches"))
+        self.state["keys"].append(self._write(nodes.where("first_ok is not null").select("node", "first_ok"), "keys"))
+        self._commit()
+        if len(self.state["batches"]) > MERGE_AT:
+            self.compact()
+        found_ = out[0]
+        for x in out[1:]:
+            found_ = found_.union(x)
+        return found_.groupBy("node").agg(F.min("first").alias("first"))
+
+    def compact(self) -> None:
+        """Merge the stored shards of batches, cell by cell, into one table; the history's stay. The tables before are deleted when the manifest names the new one."""
+        before = list(self.state["batches"])
+        if len(before) < 2:
+            return
+        rows = self._read("shards", before[0])
+        for name in before[1:]:
+            rows = rows.union(self._read("shards", name))
+
+        def merge(key: tuple, t: pa.Table) -> pa.Table:
+            parts = [Nodes.load(x) for x in t.column("data").to_pylist()]
+            every = pa.concat_tables([p.t for p in parts])
+            v = np.vstack([p.v for p in parts])
+            # A node that came in several batches stays once, with its earliest row.
+            order = np.lexsort((every.column("first_ok").to_numpy(), every.column("node").to_numpy()))
+            node = every.column("node").to_numpy()[order]
+            keep = order[np.r_[True, node[1:] != node[:-1]]]
+            made = build(Nodes(every.take(pa.array(keep)).combine_chunks(), v[keep]), np.random.default_rng(_hash(key[0].as_py()) + 2))
+            return _shard_rows(key[0].as_py(), min(t.column("lo").to_pylist()), max(t.column("hi").to_pylist()), made)
+
+        self.state["batches"] = [self._write(rows.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(merge, SHARDS), "batches")]
+        self._commit()
+        fs, path = self._fs()
+        for name in before:
+            fs.delete(path(f"{self.path}/{name}"), True)
+
+
+SHARDS = "cell string, lo int, hi int, data binary, links binary"
+_SHARD_NAMES = ["cell", "lo", "hi", "data", "links"]
+_SHARD_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _shard_rows(cell: str, lo: int, hi: int, made: list[tuple[Nodes, Graph]]) -> pa.Table:
+    cols = [[cell] * len(made), [lo] * len(made), [hi] * len(made), [n.dump() for n, _ in made], [g.dump() for _, g in made]]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, _SHARD_TYPES)], names=_SHARD_NAMES)
+
+
+def _found_rows(q: Nodes, best: dict[int, float], own: np.ndarray) -> pa.RecordBatch:
+    """(node, first) of the rows for which something earlier than ``own`` was met."""
+    at = [r for r, x in best.items() if not x >= own[r]]
+    return pa.RecordBatch.from_arrays([pa.array(q.node[at], pa.int64()), pa.array([int(best[r]) for r in at], pa.int64())], names=["node", "first"])
 
 
 def _widen(tree: Tree, q: np.ndarray, i: np.ndarray, cell: np.ndarray, recall: float) -> tuple[int, float]:
@@ -524,10 +725,10 @@ def found(triples: DataFrame, configs: DataFrame, catalog: DataFrame) -> DataFra
     """
     f = facts(triples, configs, catalog)
     f = materialize(f.withColumn("node", F.xxhash64(*KEY)), "p2-facts")
-    n = f.groupBy("node").agg(
-        *[F.any_value(c).alias(c) for c in KEY], F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"), F.min("batch_id").alias("first_batch"), F.max("batch_id").alias("last_batch")
-    )
-    n = materialize(with_vectors(n), "p2-nodes")
-    d = materialize(duplicates(n), "p2-found")
+    ok = F.when(F.col("ok"), F.col("seq"))
+    nodes = lambda x: x.groupBy("node").agg(*[F.any_value(c).alias(c) for c in KEY], F.min(ok).alias("first_ok"), F.min(F.when(F.col("ok"), F.col("batch_id"))).alias("first_batch"), F.max("batch_id").alias("last_batch"))
+    index = Index(triples.sparkSession)
+    index.append(nodes(f.where("batch_id <= 0 and ok")))
+    d = materialize(index.add(nodes(f.where("batch_id > 0"))), "p2-found")
     rows = f.where("batch_id > 0").select("node", "seq").distinct()
     return rows.join(d, "node").where("first < seq").select(F.col("first").alias("seq_first"), F.col("seq").alias("seq_dup"))
