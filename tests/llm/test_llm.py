@@ -154,7 +154,7 @@ def test_graph_shards_against_exhaustive_search():
     q = neighbours.unit(x[:400] + rng.normal(size=(400, dedup.DIM)) * 0.05)
     g = dedup.Graph(x, rng)
     assert g.links is not None
-    g.tune(q[:100], 0.95, lambda i, j: i == j)
+    g.tune(q[:100], np.arange(100), 0.95)
     node, _ = g.search(q, g.beam)
     assert (node == np.arange(400)[:, None]).any(1).mean() >= 0.9
     assert dedup.visible(6) == [(1, 4), (5, 6)] and dedup.visible(1) == [(1, 1)] and dedup.visible(0) == []
@@ -189,7 +189,7 @@ def test_graph_meets_all_of_a_crowd():
     i, j = g.meet(x[:3], 8)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(z.tolist() for z in np.nonzero(x[:3] @ x.T >= dedup.LEAST))))
     g.search = lambda q, beam: (np.full((len(q), dedup.KEEP), -1, np.int32), np.full((len(q), dedup.KEEP), -9, np.float32))
-    assert g.tune(x[:50], 0.98, lambda i, j: i >= 0) == len(x)
+    assert g.tune(x[:50], np.arange(50), 0.98) == len(x)
 
 
 def nodes_of(keys, ok, first, last):
@@ -215,9 +215,9 @@ def test_dedup_finds_what_vectors_do_not():
     best, left = dedup.meet_batches(again, np.ones(5, bool), 0.98, rng)
     assert best == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3} and list(left) == [(1, 1)]
     # Held against stored history, a batch meets it and is not met by it.
-    history = dedup.build(nodes_of(far[:1], [7], [0], [0]), rng)
+    history = dedup.build(nodes_of(far[:1], [7], [0], [0]), rng, 0.98)
     best = {}
-    dedup.meet(history, q, np.arange(5), np.ones(5, bool), 0.98, best)
+    dedup.meet(history, q, np.arange(5), best)
     assert best == {0: 7, 1: 7, 2: 7}
 
 
@@ -232,7 +232,7 @@ def test_traits_lose_no_pair():
             keys.append((rng.choice("PO"), c, rng.choice(["", "a", "anna", "antonia", "antonja", "bntonia"]), 1, "X", d, ""))
     want = {(i, j) for i, f in enumerate(keys) for j, g in enumerate(keys) if names.same(f[:3], g[:3]) and names.same(f[4:], g[4:])}
     at = np.arange(len(keys))
-    assert want <= set(zip(*(z.tolist() for z in dedup.Traits(keys).pairs(at, at))))
+    assert want <= set(zip(*(z.tolist() for z in dedup.Traits(dedup.traits(keys)).pairs(at, at))))
 
 
 def test_cells_widen_until_matches_are_met():

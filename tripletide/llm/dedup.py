@@ -9,7 +9,7 @@ An `Index` keeps, in the shared folder, the shards of each cell: at most SHARD n
 to nodes that have it among theirs, and to a few at random. `append` writes the history's shards once. `add` takes new batches: it walks the stored graphs, which it reads and never
 builds again, and lets each batch become a new shard that later batches are held against too; shards of batches are merged as in a binary counter, so a query meets the history and at
 most a logarithm of the number of batches. What is left of them is stored, and `compact` merges stored shards when there are many.
-A walk's beam is widened until it agrees with an exhaustive search of the shard for sampled queries. Exact repeats meet by equality. What a walk meets is reranked exactly:
+A graph's beam is widened until walks agree with an exhaustive search of the shard for sampled facts with typing errors; where none does, the shard is compared whole. Exact repeats meet by equality. What a walk meets is reranked exactly:
 by comparing relation, names and numbers, not vectors.
 """
 
@@ -24,7 +24,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +36,19 @@ from .neighbours import Tree, unit
 NAME_DIM = 48
 DIM = 2 * NAME_DIM
 #: Nodes per cell aimed at and per shard at most; nodes of a leaf in which a node's links are looked for; links per node; entry points.
-CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 65_536, 32_768, 512, 16, 4, 64
+CELL, SHARD, LEAF, LINKS, RANDOM_LINKS, ENTRIES = 65_536, 65_536, 512, 16, 4, 64
 #: One node in so many is a place to enter a graph; shards up to WHOLE nodes need none and are compared whole.
-UPPER, WHOLE = 4, 2048
+UPPER, WHOLE = 4, 4096
 #: Similarity of all nodes kept from which a walk may have lost some and the shard is compared whole, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
 LEAST, NEAR, KEEP = 0.62, 0.76, 32
 #: Pairs of facts compared at once where all are.
 BLOCK = 1 << 21
-#: Cells that calibration looks at first, and more where they do not hold enough; queries of a shard that the beam is tuned on: enough for some dozens to have a match.
+#: Cells that calibration looks at first, and more where they do not hold enough; facts of a shard that its beam is tuned on.
 MOST, TUNED = 8, 256
 #: Nodes that the trees of all segments are fitted on, and probes for the cells to visit.
 SAMPLE, PROBES = 262_144, 1500
-#: Stored bytes of new batches' facts that are sent to all shards; more are joined by cell. Stored tables of batches' shards from which `add` compacts.
-SENT, MERGE_AT = 32 << 20, 8
+#: Stored tables of batches' shards from which `add` compacts.
+MERGE_AT = 8
 
 _code: dict[str, int] = {}
 
@@ -102,9 +101,8 @@ class Graph:
         self.links, self.beam = None, None
         if rng is None:
             if stored:
-                z = np.frombuffer(stored, np.int32)
-                k = int(z[0])
-                self.entries, self.links = z[1 : k + 1], np.frombuffer(stored, np.uint16 if n <= 1 << 16 else np.int32, offset=4 * (k + 1)).reshape(n, -1).astype(np.int32)
+                self.beam, k = np.frombuffer(stored, np.int32, 2).tolist()
+                self.entries, self.links = np.frombuffer(stored, np.int32, k, 8), np.frombuffer(stored, np.uint16 if n <= 1 << 16 else np.int32, offset=4 * (k + 2)).reshape(n, -1).astype(np.int32)
                 self.upper = np.ascontiguousarray(x[self.entries])
             return
         if n <= WHOLE:  # a walk would see much of it at a higher price
@@ -125,10 +123,10 @@ class Graph:
         self.upper = np.ascontiguousarray(x[self.entries])
 
     def dump(self) -> bytes | None:
-        """Entry points and links, for storage."""
+        """The beam, entry points and links, for storage."""
         if self.links is None:
             return None
-        head = np.r_[np.int32(len(self.entries)), self.entries].astype(np.int32)
+        head = np.r_[self.beam or len(self.x), len(self.entries), self.entries].astype(np.int32)
         return head.tobytes() + self.links.astype(np.uint16 if len(self.x) <= 1 << 16 else np.int32).tobytes()
 
     @staticmethod
@@ -241,22 +239,16 @@ class Graph:
                 out.append((rest[lo + i], j))
         return tuple(np.concatenate(z) for z in zip(*out))
 
-    def tune(self, q: np.ndarray, recall: float, means, whole=None) -> int:
-        """The beam, widened until walks find the wanted part of what exhaustive search finds: pairs that ``means(i, node)`` keeps of all that ``whole(queries)`` gives, or of LEAST or more.
+    def tune(self, q: np.ndarray, want: np.ndarray, recall: float) -> int:
+        """The beam, widened until walks from ``q`` find the wanted part of ``want``, one node each that an exhaustive search finds.
 
         Where no beam of a walk finds it, the shard is compared whole.
         """
-        if self.beam is None:
-            self.beam = 8
-            if self.links is not None and len(q):
-                i, j = whole(np.arange(len(q))) if whole else np.nonzero(q @ self.x.T >= LEAST)
-                keep = means(i, j)
-                want = i[keep] * len(self.x) + j[keep]
-                while len(want):
-                    a, c = self.meet(q, self.beam, whole)
-                    if np.isin(want, a * len(self.x) + c).mean() >= recall:
-                        break
-                    self.beam = self.beam + self.beam // 2 if self.beam < KEEP else len(self.x)
+        self.beam = 8
+        while self.links is not None and len(q) and self.beam < len(self.x):
+            if (self.search(q, self.beam)[0] == want[:, None]).any(1).mean() >= recall:
+                break
+            self.beam = self.beam + self.beam // 2 if self.beam < KEEP else len(self.x)
         return self.beam
 
 
@@ -302,12 +294,28 @@ def visible(batch: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(200_000)
-def _letters(core: str) -> tuple[int, int]:
-    """(pairs of neighbouring letters as 64 bits, edits allowed): an edit changes six bits at most, a swap of neighbours so many."""
+def _side(kind: str, core: str, extra: str) -> tuple[int, int, int, int, int]:
+    """Of one name: code of the kind and what stands beside the core, of the kind and its first letter, pairs of neighbouring letters as 64 bits, how many of them may differ (an edit changes six bits at most, a swap of neighbours so many), flags."""
     text, bits = f"^{core}$", 0
     for i in range(len(text) - 1):
         bits |= 1 << (_hash(text[i : i + 2]) & 63)
-    return bits, edits(len(core))
+    initial = kind == "P" and len(extra) == 1
+    # Long ones may differ where one of them is loose: a given name that is no known one, several sectors.
+    long_ = len(extra) > 4 if kind == "P" else kind == "O"
+    loose = long_ and (extra not in GIVEN if kind == "P" else "+" in extra)
+    return _hash(f"{kind}|{extra}"), _hash(f"{kind}|{extra[:1]}"), bits, 6 * edits(len(core)), initial | long_ << 1 | loose << 2 | ord(kind) << 8
+
+
+SIDE = np.dtype([("whole", "<u4"), ("first", "<u4"), ("bits", "<u8"), ("most", "<u2"), ("flags", "<u2")])
+TRAITS = np.dtype([("relation", "<i4"), ("s", SIDE), ("o", SIDE)])
+
+
+def traits(keys: list[tuple]) -> np.ndarray:
+    out = np.zeros(len(keys), TRAITS)
+    out["relation"] = [k[3] for k in keys]
+    for side, lo in (("s", 0), ("o", 4)):
+        out[side] = np.array([_side(*k[lo : lo + 3]) for k in keys], SIDE)
+    return out
 
 
 class Traits:
@@ -316,37 +324,26 @@ class Traits:
     The relation; of each name the kind, what stands beside the core, as far as `names.same_extra` asks for it, and letters as far as the edits allow.
     """
 
-    def __init__(self, keys: list[tuple]):
-        cols = list(zip(*keys)) if keys else [()] * len(KEY)
-        self.relation = np.array(cols[3], dtype=np.int64)
-        code = lambda x: x.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        mask = lambda x: np.array(x, bool)
-        self.sides = []
-        for lo in (0, 4):
-            kind, extra = cols[lo], cols[lo + 2]
-            k, e = pa.array(kind, pa.string()), pa.array(extra, pa.string())
-            whole, first = pc.binary_join_element_wise(k, e, "|"), pc.binary_join_element_wise(k, pc.utf8_slice_codeunits(e, 0, 1), "|")
-            initial = mask([x == "P" and len(y) == 1 for x, y in zip(kind, extra)])
-            # Long ones may differ where one of them is loose: a given name that is no known one, several sectors.
-            long_ = mask([len(y) > 4 if x == "P" else x == "O" for x, y in zip(kind, extra)])
-            loose = long_ & mask([y not in GIVEN if x == "P" else "+" in y for x, y in zip(kind, extra)])
-            bits = [_letters(x) for x in cols[lo + 1]]
-            self.sides.append((code(k), code(whole), code(first), initial, long_, loose, np.array([x for x, _ in bits], np.uint64), np.array([6 * y for _, y in bits], np.uint8)))
+    def __init__(self, own: np.ndarray):
+        self.relation = own["relation"]
+        self.sides = [{c: np.ascontiguousarray(own[side][c]) for c in SIDE.names} for side in ("s", "o")]
 
     def plausible(self, a: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Mask of the pairs of rows a and c."""
         out = self.relation[a] == self.relation[c]
-        for kind, whole, first, initial, long_, loose, bits, most in self.sides:
+        for x in self.sides:
             at = np.flatnonzero(out)
             i, k = a[at], c[at]
-            beside = (whole[i] == whole[k]) | (first[i] == first[k]) & (initial[i] | initial[k]) | (kind[i] == kind[k]) & (loose[i] & long_[k] | loose[k] & long_[i])
-            out[at] = beside & (np.bitwise_count(bits[i] ^ bits[k]) <= np.minimum(most[i], most[k]))
+            at_i, at_k = x["flags"][i], x["flags"][k]
+            any_ = (at_i >> 2) & (at_k >> 1) | (at_k >> 2) & (at_i >> 1)
+            beside = (x["whole"][i] == x["whole"][k]) | (x["first"][i] == x["first"][k]) & ((at_i | at_k) & 1 > 0) | (at_i >> 8 == at_k >> 8) & (any_ & 1 > 0)
+            out[at] = beside & (np.bitwise_count(x["bits"][i] ^ x["bits"][k]) <= np.minimum(x["most"][i], x["most"][k]))
         return out
 
     def pairs(self, q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, j): all plausible pairs of q[i] and rows[j]."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        *_, bits, most = self.sides[1]
+        bits, most = self.sides[1]["bits"], self.sides[1]["most"]
         by_q, by_rows = (np.argsort(self.relation[x], kind="stable") for x in (q, rows))
         for r in np.unique(self.relation[q]):
             mine, there = (by[slice(*np.searchsorted(self.relation[x][by], [r, r + 1]))] for x, by in ((q, by_q), (rows, by_rows)))
@@ -366,20 +363,21 @@ COLUMNS = ("node", "first_ok", "first_batch", "last_batch", *KEY)
 class Nodes:
     """Facts of one cell with their vectors: a table of COLUMNS, kept as one value in storage."""
 
-    def __init__(self, t: pa.Table, v: np.ndarray | None = None):
-        self.t, self.keys = t, _keys(t)
+    def __init__(self, t: pa.Table, v: np.ndarray | None = None, traits_: np.ndarray | None = None, keys: list[tuple] | None = None):
+        self.t, self.keys = t, _keys(t) if keys is None else keys
         self.v = vectors(self.keys) if v is None else v
+        self.traits = traits(self.keys) if traits_ is None else traits_
         self.node = t.column("node").to_numpy()
         self.ok = t.column("first_ok").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
         self.first, self.last = (t.column(c).to_numpy(zero_copy_only=False) for c in ("first_batch", "last_batch"))
 
     def take(self, rows: np.ndarray) -> Nodes:
-        return Nodes(self.t.take(pa.array(rows)), self.v[rows])
+        return Nodes(self.t.take(pa.array(rows)), self.v[rows], self.traits[rows], [self.keys[i] for i in rows.tolist()])
 
     def dump(self) -> bytes:
-        v = pa.Array.from_buffers(pa.binary(DIM), len(self.v), [None, pa.py_buffer(np.rint(self.v * 127).astype(np.int8).tobytes())])
+        fixed = lambda width, raw: pa.Array.from_buffers(pa.binary(width), len(self.v), [None, pa.py_buffer(raw)])
         sink = pa.BufferOutputStream()
-        t = self.t.append_column("v", v)
+        t = self.t.append_column("v", fixed(DIM, np.rint(self.v * 127).astype(np.int8).tobytes())).append_column("traits", fixed(TRAITS.itemsize, self.traits.tobytes()))
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
         return sink.getvalue().to_pybytes()
@@ -387,38 +385,44 @@ class Nodes:
     @staticmethod
     def load(data: bytes) -> Nodes:
         t = pa.ipc.open_stream(data).read_all().combine_chunks()
-        raw = b"".join(c.buffers()[1].to_pybytes()[c.offset * DIM : (c.offset + len(c)) * DIM] for c in t.column("v").chunks)
-        v = np.frombuffer(raw, np.int8).reshape(-1, DIM).astype(np.float32)
-        return Nodes(t.drop_columns(["v"]), unit(v))
+        raw = lambda name, width: b"".join(c.buffers()[1].to_pybytes()[c.offset * width : (c.offset + len(c)) * width] for c in t.column(name).chunks)
+        v = np.frombuffer(raw("v", DIM), np.int8).reshape(-1, DIM).astype(np.float32)
+        return Nodes(t.drop_columns(["v", "traits"]), unit(v), np.frombuffer(raw("traits", TRAITS.itemsize), TRAITS))
 
 
-def build(nodes: Nodes, rng: np.random.Generator) -> list[tuple[Nodes, Graph]]:
-    """Shards of nodes with an accepted row, in order of it."""
+def build(nodes: Nodes, rng: np.random.Generator, recall: float) -> list[tuple[Nodes, Graph]]:
+    """Shards of nodes with an accepted row, in order of it. Beams are tuned on TUNED of a shard's facts, misspelt: each is to find what it was."""
     rows = np.flatnonzero(~np.isnan(nodes.ok))
     rows = rows[np.lexsort((nodes.node[rows], nodes.ok[rows]))]
-    return [(own := nodes.take(part), Graph(own.v, rng)) for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))) if len(part)]
+    out = []
+    for part in np.array_split(rows, max(1, -(-len(rows) // SHARD))):
+        if len(part):
+            own = nodes.take(part)
+            graph = Graph(own.v, rng)
+            if graph.links is not None:
+                probes = np.sort(rng.choice(len(part), min(TUNED, len(part)), replace=False))
+                letters = random.Random(int(part[0]))
+                graph.tune(vectors([_misspelt(own.keys[i], letters) for i in probes.tolist()]), probes, recall)
+            out.append((own, graph))
+    return out
 
 
-def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, home: np.ndarray, recall: float, best: dict[int, float]) -> None:
-    """Lower ``best[row]``, the least accepted seq known of a query's fact, for ``rows`` of ``q`` by what the shards hold. home: the cell is the query's own."""
+def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, best: dict[int, float]) -> None:
+    """Lower ``best[row]``, the least accepted seq known of a query's fact, for ``rows`` of ``q`` by what the shards hold."""
 
     def means(f: tuple, g: tuple) -> bool:
         return same(f[:3], g[:3]) and same(f[4:], g[4:])
 
     for there, graph in shards if len(rows) else []:
         asked = [q.keys[i] for i in rows]
-        traits = Traits(asked + there.keys)
+        both = Traits(np.concatenate([q.traits[rows], there.traits]))
         all_q, held, n = np.arange(len(rows)), np.arange(len(there.keys)) + len(rows), len(rows)
-        whole = lambda i: traits.pairs(all_q[i], held)  # noqa: B023, E731
-        some = np.flatnonzero(home[rows])  # queries from elsewhere seldom match here and would tell little
-        some = some[:: max(1, len(some) // TUNED)][:TUNED]
-        right = lambda i, j: np.array([means(asked[some[a]], there.keys[c]) for a, c in zip(i.tolist(), j.tolist())], bool)  # noqa: B023, E731
-        beam = graph.tune(q.v[rows[some]], recall, right, lambda i: whole(some[i]))  # noqa: B023
-        i, j = graph.meet(q.v[rows], beam, whole)
+        whole = lambda i: both.pairs(all_q[i], held)  # noqa: B023, E731
+        i, j = graph.meet(q.v[rows], graph.beam or len(graph.x), whole)
         known = np.array([best.get(r, np.inf) for r in rows.tolist()])
         early = there.ok[j] < known[i]  # a later match changes nothing
         i, j = i[early], j[early]
-        hit = np.flatnonzero(traits.plausible(i, n + j))
+        hit = np.flatnonzero(both.plausible(i, n + j))
         hit = hit[np.argsort(there.ok[j[hit]], kind="stable")]  # the first match of a row is its earliest
         for a, c in zip(i[hit].tolist(), j[hit].tolist()):
             r = int(rows[a])
@@ -437,11 +441,11 @@ def meet_batches(q: Nodes, home: np.ndarray, recall: float, rng: np.random.Gener
         spans = visible(batch)
         for lo, hi in spans:
             if (lo, hi) not in shards:
-                shards[lo, hi] = build(q.take(np.flatnonzero(held & (first >= lo) & (first <= hi))), rng)
+                shards[lo, hi] = build(q.take(np.flatnonzero(held & (first >= lo) & (first <= hi))), rng, recall)
         for span in [x for x in shards if x not in spans]:
             del shards[span]  # merged into a larger shard
         for span in spans:
-            meet(shards[span], q, np.flatnonzero(last == batch), home, recall, best)
+            meet(shards[span], q, np.flatnonzero(last == batch), best)
     named = {k: b for b, k in numbers.items()}
     return best, {(named[lo], named[hi]): x for (lo, hi), x in shards.items()}
 
@@ -566,8 +570,10 @@ class Index:
             self.state["sample"] = self._write(s.select("segment", "n", "node", *KEY).limit(2 * SAMPLE), "sample")
             self._fit(self._read("sample", self.state["sample"]))
 
+        recall = self.recall
+
         def shard(key: tuple, t: pa.Table) -> pa.Table:
-            made = build(Nodes(t.drop_columns(["cell", "home"]).combine_chunks()), np.random.default_rng(_hash(key[0].as_py())))
+            made = build(Nodes(t.drop_columns(["cell", "home"]).combine_chunks()), np.random.default_rng(_hash(key[0].as_py())), recall)
             return _shard_rows(key[0].as_py(), 0, 0, made)
 
         routed = self._routed(nodes, False).repartition(self._spread(), "cell")
@@ -610,7 +616,7 @@ class Index:
                     q, own, home = asked(b, i)
                     there = Nodes.load(b.column("data")[i].as_py())
                     best = {r: x for r, x in enumerate(own.tolist()) if x == x}
-                    meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, np.arange(len(q.keys)), home, recall, best)
+                    meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, np.arange(len(q.keys)), best)
                     yield _found_rows(q, best, own)
 
         def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -627,7 +633,7 @@ class Index:
 
         out = [known]
         for name in [*self.state["history"], *self.state["batches"]]:
-            met = join_checked(self._read("shards", name), packed, "cell", limit=SENT).mapInArrow(walk, "node bigint, first bigint")
+            met = join_checked(self._read("shards", name), packed, "cell").mapInArrow(walk, "node bigint, first bigint")
             out.append(materialize(met, "p2-met"))
         fresh = materialize(packed.mapInArrow(among, "node bigint, first bigint, " + SHARDS), "p2-among")
         out.append(fresh.where("node is not null").select("node", "first"))
@@ -643,7 +649,7 @@ class Index:
 
     def compact(self) -> None:
         """Merge the stored shards of batches, cell by cell, into one table; the history's stay. The tables before are deleted when the manifest names the new one."""
-        before = list(self.state["batches"])
+        before, recall = list(self.state["batches"]), self.recall
         if len(before) < 2:
             return
         rows = self._read("shards", before[0])
@@ -658,7 +664,7 @@ class Index:
             order = np.lexsort((every.column("first_ok").to_numpy(), every.column("node").to_numpy()))
             node = every.column("node").to_numpy()[order]
             keep = order[np.r_[True, node[1:] != node[:-1]]]
-            made = build(Nodes(every.take(pa.array(keep)).combine_chunks(), v[keep]), np.random.default_rng(_hash(key[0].as_py()) + 2))
+            made = build(Nodes(every.take(pa.array(keep)).combine_chunks(), v[keep], np.concatenate([p.traits for p in parts])[keep]), np.random.default_rng(_hash(key[0].as_py()) + 2), recall)
             return _shard_rows(key[0].as_py(), min(t.column("lo").to_pylist()), max(t.column("hi").to_pylist()), made)
 
         self.state["batches"] = [self._write(rows.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(merge, SHARDS), "batches")]
