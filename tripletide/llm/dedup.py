@@ -19,7 +19,7 @@ import json
 import random
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +42,7 @@ UPPER, WHOLE = 4, 4096
 #: Similarity of all nodes kept from which a walk may have lost some and the shard is compared whole, similarity from which a walk opens a node in any case, and nodes that a walk keeps.
 LEAST, NEAR, KEEP = 0.62, 0.76, 32
 #: Pairs of facts compared at once where all are.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Cells that calibration looks at first, and more where they do not hold enough; facts of a shard that its beam is tuned on.
 MOST, TUNED = 8, 256
 #: Nodes that the trees of all segments are fitted on, and probes for the cells to visit.
@@ -631,6 +631,16 @@ class Index:
                         for x in _shard_rows(cell, lo, hi, made).combine_chunks().to_batches():
                             yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.int64())] * 2 + x.columns, names=["node", "first", *_SHARD_NAMES])
 
+        # A row is a shard: batches of many would be held at once.
+        at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(at_once)
+        self.spark.conf.set(at_once, "1")
+        try:
+            return self._meet(packed, known, nodes, walk, among)
+        finally:
+            self.spark.conf.set(at_once, before)
+
+    def _meet(self, packed: DataFrame, known: DataFrame, nodes: DataFrame, walk: Callable, among: Callable) -> DataFrame:
         out = [known]
         for name in [*self.state["history"], *self.state["batches"]]:
             met = join_checked(self._read("shards", name), packed, "cell").mapInArrow(walk, "node bigint, first bigint")

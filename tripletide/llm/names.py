@@ -44,17 +44,20 @@ GIVEN = {
     "wilhelm": "willi", "winfried": "", "yvonne": "", "zacharias": "",
 }
 
-_FOLDS = [(re.compile(a), b) for a, b in (("ß", "s"), ("[äÄ]", "a"), ("[öÖ]", "o"), ("[üÜ]", "u"), ("ae", "a"), ("oe", "o"), ("ue", "u"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("c(?!h)", "k"), ("ie", "i"), ("ai", "ei"), ("tz", "z"))]
+_SOUNDS = (("ß", "s"), ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ae", "a"), ("oe", "o"), ("ue", "u"), ("ph", "f"), ("th", "t"), ("ck", "k"), ("c", ""), ("ie", "i"), ("ai", "ei"), ("tz", "z"))
+_HARD_C = re.compile("c(?!h)")
 _TWICE = re.compile(r"(.)\1+")
 
 
 @lru_cache(200_000)
 def fold(word: str) -> str:
     """Lower case, umlauts and spellings of one sound alike, doubled letters single."""
-    w = unicodedata.normalize("NFC", word).lower()
-    for a, b in _FOLDS:
-        w = a.sub(b, w)
-    w = "".join(c for c in unicodedata.normalize("NFKD", w) if c.isalpha())
+    w = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
+    for a, b in _SOUNDS:
+        if a in w:
+            w = w.replace(a, b) if b else _HARD_C.sub("k", w)
+    if not (w.isascii() and w.isalpha()):
+        w = "".join(c for c in unicodedata.normalize("NFKD", w) if c.isalpha())
     return _TWICE.sub(r"\1", w)
 
 
@@ -100,6 +103,7 @@ class _Words:
 
     def __init__(self, pairs: list[tuple[str, str]]):
         self.of = dict(pairs)
+        self.longest = max(map(len, self.of))
         self.by_cut: dict[str, list[str]] = {}
         self.by_pair: dict[str, list[str]] = {}
         for w in self.of:
@@ -114,7 +118,7 @@ class _Words:
         """(what it stands for or None, edits)."""
         if w in self.of:
             return self.of[w], 0
-        if len(w) > 3:
+        if 3 < len(w) <= self.longest + 1:
             for c in cuts(w):
                 for x in self.by_cut.get(c, ()):
                     if within(w, x, 1):
