@@ -36,10 +36,14 @@ def relations(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     return x.distinct().withColumn("confidence", F.lit(CONFIDENCE))
 
 
+#: What a name of a kind holds.
+ORG_HINTS, EVENT_HINTS = ("institute", "university", "eth", "company"), ("prize", "award", "nobel")
+
+
 def _guess(name: Column) -> Column:
     low = F.lower(name)
     has = lambda ws: low.rlike("|".join(ws))
-    return F.when(has(["institute", "university", "eth", "company"]), "Organisation").when(has(["prize", "award", "nobel"]), "Ereignis").when(F.size(F.split(name, r"\s+")) == 2, "Person").otherwise("Konzept")
+    return F.when(has(ORG_HINTS), "Organisation").when(has(EVENT_HINTS), "Ereignis").when(F.size(F.split(name, r"\s+")) == 2, "Person").otherwise("Konzept")
 
 
 def entities(chunks: DataFrame, found: DataFrame, text: str = "chunk") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .draws import uniform
+
 #: Normal quantile of a 95 % interval.
 Z95 = 1.959963984540054
 
@@ -188,18 +190,20 @@ def kappa(labelled: DataFrame) -> DataFrame:
     return j.select("n", F.round(po, 6).alias("agreement"), F.round(rate(po - pe, 1 - pe), 6).alias("kappa"))
 
 
+#: How likely a Poisson(1) number is at most 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
 def bootstrap(scored: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(mean, low, high) of the accuracy of (id, right) over Poisson bootstrap replicates.
 
     A row's weight in a replicate is Poisson(1), drawn from a hash of the row and the replicate, so results don't depend on partitions. Every
     replicate is a sum kept while reading: rows are not multiplied in a shuffle.
     """
-    u = F.pmod(F.xxhash64("id", "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        weight = F.when(u < cuts[i], i).otherwise(weight)
-    reps = scored.select("id", F.col("right").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("w", weight)
+    weight = F.lit(len(POISSON))
+    for i in reversed(range(len(POISSON))):
+        weight = F.when(F.col("u") < POISSON[i], i).otherwise(weight)
+    reps = scored.select("id", F.col("right").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).withColumn("u", uniform(seed, "id", "r")).withColumn("w", weight)
     parts = reps.groupBy("r").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
     return parts.agg(F.round(F.avg("m"), 6).alias("mean"), F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("high"))
@@ -208,7 +212,7 @@ def bootstrap(scored: DataFrame, replicates: int = 200, seed: int = 42) -> DataF
 def permutation(paired: DataFrame, rounds: int = 200, seed: int = 42) -> DataFrame:
     """(difference, p) of (id, a, b): mean of a - b and the share of rounds with random signs at least as far from 0, (k + 1) / (n + 1)."""
     d = paired.select("id", (F.col("a") - F.col("b")).alias("d"))
-    sign = F.when((F.col("r") < 0) | (F.pmod(F.xxhash64("id", "r", F.lit(seed)), F.lit(2)) == 0), 1).otherwise(-1)
+    sign = F.when((F.col("r") < 0) | (uniform(seed, "id", "r") < 0.5), 1).otherwise(-1)
     x = d.select("id", "d", F.explode(F.sequence(F.lit(-1), F.lit(rounds - 1))).alias("r"))
     m = x.groupBy("r").agg(F.avg(F.col("d") * sign).alias("m"))
     own = m.where("r = -1").select(F.col("m").alias("difference"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import join_checked, materialize
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree) of nodes with an edge."""
@@ -17,7 +19,10 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def statistics(edges: DataFrame) -> DataFrame:
     """One row: nodes, and mean and population deviation of out- and in-degree over the nodes that have one; no deviation counts as 1."""
-    d = degrees(edges)
+    return _spread(degrees(edges))
+
+
+def _spread(d: DataFrame) -> DataFrame:
     std = lambda c: F.coalesce(F.nullif(F.stddev_pop(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0)), F.lit(1.0))
     mean = lambda c: F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0))
     return d.agg(F.count("*").alias("n_nodes"), mean("out_degree").alias("out_mean"), std("out_degree").alias("out_std"), mean("in_degree").alias("in_mean"), std("in_degree").alias("in_std"))
@@ -35,46 +40,73 @@ def pair_counts(edges: DataFrame) -> DataFrame:
     return p.join(p.groupBy("pred").agg(F.sum("n").alias("n_pred")), "pred")
 
 
-def _common(batch: DataFrame, edges: DataFrame) -> DataFrame:
-    one = statistics(edges)
-    d = degrees(edges)
-    p = pair_counts(edges)
-    t = type_counts(edges)
-    pred = p.select("pred", "n_pred").distinct()
-    return (
-        batch.join(d.select(F.col("node").alias("s_id"), "out_degree"), "s_id", "left")
-        .join(d.select(F.col("node").alias("o_id"), "in_degree"), "o_id", "left")
-        .join(pred, "pred", "left")
-        .join(t.select(F.col("type").alias("s_type"), "pred", F.col("n").alias("n_s")), ["s_type", "pred"], "left")
-        .join(t.select(F.col("type").alias("o_type"), "pred", F.col("n").alias("n_o")), ["o_type", "pred"], "left")
-        .join(p.select("pred", "s_type", "o_type", F.col("n").alias("n_pair")), ["pred", "s_type", "o_type"], "left")
-        .crossJoin(F.broadcast(one))  # one row
-        .na.fill(0, ["out_degree", "in_degree", "n_pred", "n_s", "n_o", "n_pair"])
-    )
+def _common(batch: DataFrame, edges: DataFrame, own: bool = False) -> DataFrame:
+    """The batch with everything that the checks compare it with; with ``own`` also the subject's edges of the relation.
+
+    The edges are read once for degrees and once for pairs of types, of which all other counts are made: relations times types squared.
+    """
+    d = materialize(degrees(edges), "anomaly-degrees")
+    p = materialize(pair_counts(edges), "anomaly-pairs")
+    pred = materialize(p.select("pred", "n_pred").distinct(), "anomaly-relations")
+    ends = p.select(F.col("s_type").alias("type"), "pred", "n").union(p.select("o_type", "pred", "n")).where("type is not null")
+    t = materialize(ends.groupBy("type", "pred").agg(F.sum("n").alias("n")), "anomaly-types")
+    small = lambda df, on, *cols: (_as(df.select(*cols), df), on, "left")
+    j = batch.join(d.select(F.col("node").alias("s_id"), "out_degree"), "s_id", "left").join(d.select(F.col("node").alias("o_id"), "in_degree"), "o_id", "left")
+    if own:
+        j = j.join(edges.groupBy("s_id", "pred").agg(F.count("*").alias("own")), ["s_id", "pred"], "left").na.fill(0, ["own"])
+    j = join_checked(j, *small(pred, "pred", "pred", "n_pred"))
+    j = join_checked(j, *small(t, ["s_type", "pred"], F.col("type").alias("s_type"), "pred", F.col("n").alias("n_s")))
+    j = join_checked(j, *small(t, ["o_type", "pred"], F.col("type").alias("o_type"), "pred", F.col("n").alias("n_o")))
+    j = join_checked(j, *small(p, ["pred", "s_type", "o_type"], "pred", "s_type", "o_type", F.col("n").alias("n_pair")))
+    return j.crossJoin(F.broadcast(_spread(d))).na.fill(0, ["out_degree", "in_degree", "n_pred", "n_s", "n_o", "n_pair"])  # one row
+
+
+def _as(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """A projection of a stored table, with its place on disk for the size check."""
+    df._tide_path = stored._tide_path
+    return df
 
 
 def _z(deg: str, which: str) -> Column:
     return (F.col(deg) + 1 - F.col(f"{which}_mean")) / F.col(f"{which}_std")
 
 
+def _far(threshold: float) -> Column:
+    """The deviations of the subject's out-degree, or else of the object's in-degree, above ``threshold``; else null."""
+    s, t = _z("out_degree", "out"), _z("in_degree", "in")
+    return F.when(s > threshold, s).when(t > threshold, t)
+
+
+def _rare(c: str) -> Column:
+    return (F.col(c) / F.col("n_pred") < 0.01) & (F.col(c) < 3)
+
+
+_RARE_PAIR = "n_pred >= 5 and n_pair / n_pred < 0.01 and n_pair < 2"
+
+
+def _frequency_z() -> Column:
+    """How far the subject's edges of the relation, three or more, lie above what its frequency leads one to expect (Poisson)."""
+    rate = F.col("n_pred") / F.col("n_nodes")
+    return F.when(F.col("own") >= 3, (F.col("own") + 1 - rate) / F.sqrt(F.greatest(rate, F.lit(1.0))))
+
+
 def degree(batch: DataFrame, edges: DataFrame, threshold: float = 3.0, least: int = 10) -> DataFrame:
     """(seq, side, z, severity): with the fact the subject's out-degree, or else the object's in-degree, lies more than ``threshold`` deviations up."""
     j = _common(batch, edges).where(F.col("n_nodes") >= least)
-    s, t = _z("out_degree", "out"), _z("in_degree", "in")
-    z = F.when(s > threshold, s).when(t > threshold, t)
+    s = _z("out_degree", "out")
+    z = _far(threshold)
     return j.select("seq", F.when(s > threshold, "subject").otherwise("object").alias("side"), F.round(z, 6).alias("z"), F.round(F.least(F.lit(0.5) + 0.1 * z, F.lit(0.8)), 6).alias("severity")).where("z is not null")
 
 
 def rare_type(batch: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, side): the subject's or else the object's type makes up less than one percent of a known relation and was seen less than three times."""
     j = _common(batch, edges).where("n_pred > 0")
-    rare = lambda c: (F.col(c) / F.col("n_pred") < 0.01) & (F.col(c) < 3)
-    return j.where(rare("n_s") | rare("n_o")).select("seq", F.when(rare("n_s"), "subject").otherwise("object").alias("side"))
+    return j.where(_rare("n_s") | _rare("n_o")).select("seq", F.when(_rare("n_s"), "subject").otherwise("object").alias("side"))
 
 
 def rare_pair(batch: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, usual): a pair of types seen less than twice and in less than one percent of a relation seen five times; ``usual`` names its three most frequent pairs."""
-    j = _common(batch, edges).where((F.col("n_pred") >= 5) & (F.col("n_pair") / F.col("n_pred") < 0.01) & (F.col("n_pair") < 2))
+    j = _common(batch, edges).where(_RARE_PAIR)
     ranked = pair_counts(edges).where("s_type is not null and o_type is not null")
     name = F.concat_ws("-", "s_type", "o_type")
     best = ranked.groupBy("pred").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), name.alias("p")))), 1, 3), lambda x: x["p"]), ",").alias("usual"))
@@ -84,11 +116,7 @@ def rare_pair(batch: DataFrame, edges: DataFrame) -> DataFrame:
 
 def frequency(batch: DataFrame, edges: DataFrame, threshold: float = 2.5) -> DataFrame:
     """(seq, z): the subject has three edges of the relation or more, far above what its frequency leads one to expect (Poisson)."""
-    own = edges.groupBy("s_id", "pred").agg(F.count("*").alias("own"))
-    j = _common(batch, edges).join(own, ["s_id", "pred"]).where("own >= 3")
-    rate = F.col("n_pred") / F.col("n_nodes")
-    z = (F.col("own") + 1 - rate) / F.sqrt(F.greatest(rate, F.lit(1.0)))
-    return j.select("seq", F.round(z, 6).alias("z")).where(F.col("z") > threshold)
+    return _common(batch, edges, own=True).select("seq", F.round(_frequency_z(), 6).alias("z")).where(F.col("z") > threshold)
 
 
 def _bucket(share: Column) -> Column:
@@ -97,23 +125,30 @@ def _bucket(share: Column) -> Column:
 
 def scores(batch: DataFrame, edges: DataFrame) -> DataFrame:
     """(seq, degree_score, type_score, pair_score, score): each from 0 to 1, and their mean. A relation never seen counts as seen once for types, and as .3 for pairs."""
-    j = _common(batch, edges)
+    r = lambda c, n: F.round(c, 6).alias(n)
+    deg, typ, pair = _parts()
+    return _common(batch, edges).select("seq", r(deg, "degree_score"), r(typ, "type_score"), r(pair, "pair_score"), r((deg + typ + pair) / 3, "score"))
+
+
+def _parts() -> tuple[Column, Column, Column]:
     deg = F.least(F.abs((F.col("out_degree") + 1 - F.col("out_mean")) / F.greatest(F.col("out_std"), F.lit(1.0))) / 5, F.lit(1.0))
     typ = _bucket(F.col("n_s") / F.greatest(F.col("n_pred"), F.lit(1)))
     pair = F.when(F.col("n_pred") == 0, 0.3).otherwise(_bucket(F.col("n_pair") / F.greatest(F.col("n_pred"), F.lit(1))))
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return j.select("seq", r(deg, "degree_score"), r(typ, "type_score"), r(pair, "pair_score"), r((deg + typ + pair) / 3, "score"))
+    return deg, typ, pair
 
 
 def gate(batch: DataFrame, edges: DataFrame, least: int = 20, score_least: int = 50, threshold: float = 3.0) -> DataFrame:
     """(seq, n_anomalies): how many kinds of anomaly a fact shows; none in graphs of fewer than ``least`` nodes, and the score counts from ``score_least`` on."""
-    kinds = [degree(batch, edges, threshold).select("seq"), rare_type(batch, edges).select("seq"), rare_pair(batch, edges).select("seq"), frequency(batch, edges).select("seq")]
-    n = statistics(edges).select("n_nodes")
-    kinds.append(scores(batch, edges).where(F.col("score") > threshold / 5).crossJoin(F.broadcast(n)).where(F.col("n_nodes") >= score_least).select("seq"))
-    every = kinds[0]
-    for k in kinds[1:]:
-        every = every.union(k)
-    return every.groupBy("seq").agg(F.count("*").alias("n_anomalies")).crossJoin(F.broadcast(n)).where(F.col("n_nodes") >= least).drop("n_nodes")
+    deg, typ, pair = _parts()
+    flags = [
+        _far(threshold).isNotNull() & (F.col("n_nodes") >= 10),
+        (F.col("n_pred") > 0) & (_rare("n_s") | _rare("n_o")),
+        F.expr(_RARE_PAIR),
+        F.round(_frequency_z(), 6) > 2.5,
+        (F.round((deg + typ + pair) / 3, 6) > threshold / 5) & (F.col("n_nodes") >= score_least),
+    ]
+    n = sum((F.coalesce(f, F.lit(False)).cast("bigint") for f in flags[1:]), F.coalesce(flags[0], F.lit(False)).cast("bigint"))
+    return _common(batch, edges, own=True).where(F.col("n_nodes") >= least).select("seq", n.alias("n_anomalies")).where("n_anomalies > 0")
 
 
 def quality(edges: DataFrame, allowed_types: tuple[str, ...], allowed_relations: tuple[str, ...]) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .generators import opposite, uniform
+from ..functions.draws import draw, uniform
+from .generators import opposite
+from .history import following
 
 # Kinds with the action expected, how hard they are and what finds them.
 TAXONOMY = (
@@ -80,24 +82,23 @@ def per_kind(conflicts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return j.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(right).alias("right"), F.round(F.count_if(right) / F.count("*"), 6).alias("accuracy"))
 
 
-def swapped_objects(facts: DataFrame, slots: int = 64, seed: int = 42) -> DataFrame:
-    """(seq, s_name, pred, o_name, other_seq): each fact with the object of another one, the next of a hashed order: answers to other questions. No fact keeps its own object."""
-    from pyspark.sql import Window
+def _others(facts: DataFrame, seed: int, cols: dict[str, str], ring: bool) -> DataFrame:
+    """Facts with columns of the next one in a hashed order of all."""
+    f = facts.withColumn("_all", F.lit(0)).withColumn("_o", F.struct(draw(seed, "seq").alias("d"), "seq"))
+    return following(f, "_all", "_o", cols, ring, "others").drop("_all", "_o")
+
 
-    f = facts.where("s_name is not null and o_name is not null and pred is not null").withColumn("slot", F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(slots)))
-    w = Window.partitionBy("slot").orderBy(F.xxhash64("seq", F.lit(seed + 1)), "seq")
-    nxt = F.coalesce(F.lead(F.struct("o_name", "seq")).over(w), F.first(F.struct("o_name", "seq")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    j = f.withColumn("_n", nxt)
-    return j.where(F.col("_n.o_name") != F.col("o_name")).select("seq", "s_name", "pred", F.col("_n.o_name").alias("o_name"), F.col("_n.seq").alias("other_seq"))
+def swapped_objects(facts: DataFrame, seed: int = 42) -> DataFrame:
+    """(seq, s_name, pred, o_name, other_seq): each fact with the object of another one, the next of a hashed order: answers to other questions. No fact keeps its own object."""
+    f = facts.where("s_name is not null and o_name is not null and pred is not null").select("seq", "s_name", "pred", "o_name")
+    j = _others(f, seed, {"_n": "o_name", "_s": "seq"}, True)
+    return j.where(F.col("_n") != F.col("o_name")).select("seq", "s_name", "pred", F.col("_n").alias("o_name"), F.col("_s").alias("other_seq"))
 
 
-def false_sources(facts: DataFrame, least: int = 50, most: int = 500, slots: int = 64, seed: int = 42) -> DataFrame:
+def false_sources(facts: DataFrame, least: int = 50, most: int = 500, seed: int = 42) -> DataFrame:
     """(seq, text): each fact with another fact's source text of at least ``least`` characters that names neither of its ends, cut to ``most``."""
-    from pyspark.sql import Window
-
-    f = facts.where("s_name is not null and o_name is not null").withColumn("slot", F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(slots)))
-    w = Window.partitionBy("slot").orderBy(F.xxhash64("seq", F.lit(seed + 1)), "seq")
-    j = f.withColumn("_t", F.lead("text").over(w)).where(F.length("_t") >= least)
+    f = facts.where("s_name is not null and o_name is not null").select("seq", "s_name", "o_name", "text")
+    j = _others(f, seed, {"_t": "text"}, False).where(F.length("_t") >= least)
     return j.where(~F.col("_t").contains(F.col("s_name")) & ~F.col("_t").contains(F.col("o_name"))).select("seq", F.substring("_t", 1, most).alias("text"))
 
 

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw, number, uniform
+from .history import following, running, segment
+
 #: Suffixes of organisations, short names of places.
 ORG_SUFFIXES = ("Inc.", "Corp.", "Ltd.", "LLC", "GmbH", "AG", "Company", "Corporation", "Foundation", "Institute")
 PLACE_SHORT = {"United States": "US", "United Kingdom": "UK", "New York": "NY", "Los Angeles": "LA", "San Francisco": "SF", "Washington": "DC"}
 
 
-def uniform(seed: int, *cols: str) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-
 def _v(name: Column, kind: str, similarity: float, when: Column | None = None) -> Column:
     s = F.struct(name.alias("variant_name"), F.lit(kind).alias("variant_type"), F.lit(similarity).alias("expected_similarity"))
     return s if when is None else F.when(when, s)
@@ -75,10 +73,9 @@ def mutate(facts: DataFrame, seed: int = 42) -> DataFrame:
     f = facts.where("pred is not null and s_name is not null and o_name is not null")
     k = F.floor(uniform(seed, "seq") * 5).cast("int")
     cat = F.get(F.array(*map(F.lit, CATEGORIES)), k)
-    # The next object of the kind: neighbours in a hashed order within (relation, type, slot); slots keep large kinds apart.
-    slot = F.pmod(F.xxhash64("seq", F.lit(seed + 1)), F.lit(64))
-    w = Window.partitionBy("pred", "o_type", "slot").orderBy(F.xxhash64("seq", F.lit(seed + 2)), "seq")
-    f = f.withColumn("category", cat).withColumn("slot", slot).withColumn("other", F.coalesce(F.lead("o_name").over(w), F.first("o_name").over(w)))
+    # The next object of the kind in a hashed order, after the last one the first.
+    f = f.select("seq", "s_name", "pred", "o_name", "doc", cat.alias("category"), F.struct("pred", "o_type").alias("_k"), F.struct(draw(seed + 2, "seq").alias("d"), "seq").alias("_o"))
+    f = following(f, "_k", "_o", {"other": "o_name"}, True, "mutate")
     words = F.split("s_name", " ")
     initial = F.when(F.size(words) > 1, F.concat(F.substring("s_name", 1, 1), F.lit(". "), F.array_join(F.slice(words, F.lit(2), F.size(words) - 1), " "))).otherwise(F.concat(F.lit("Dr. "), "s_name"))
     c = F.col("category")
@@ -114,20 +111,22 @@ def shuffle(events: DataFrame, strategy: str, category: str = "category", key: s
 
     random; interleaved: round robin over categories; temporal: each category in its own stretch of time; clustered: keys together; adversarial: the first conflict of a key right after its support.
     """
-    h = lambda *c: F.xxhash64(*c, F.lit(seed))
     if strategy == "interleaved":
-        # The place of a row in its category, as a share of 1: rows of all categories at one share come together.
-        return events.withColumn("arrival", F.struct(F.round(uniform(seed, "id"), 6).alias("a"), h(category).alias("b"), h("id").alias("c")))
+        # The n-th rows of all categories, each in an order of its own, come together: a category may be most of all rows, so it is numbered in segments.
+        e = events.withColumn("_o", F.struct(draw(seed, "id").alias("d"), "id"))
+        e = running(segment(e, category, "_o", "interleaved"), category, "_o", {"_n": F.lit(1)}).drop("_o", "_seg")
+        return e.withColumn("arrival", F.struct(F.col("_n").cast("double").alias("a"), number(F.col(category)).alias("b"), F.lit(0).cast("bigint").alias("c"))).drop("_n")
     if strategy == "temporal":
         lo = F.when(F.col(category) == "supports", 0.0).when(F.col(category) == "entity_variant", 0.2).when(F.col(category) == "refutes", 0.5).otherwise(0.7)
         hi = F.when(F.col(category) == "supports", 0.4).when(F.col(category) == "entity_variant", 0.7).when(F.col(category) == "refutes", 0.9).otherwise(1.0)
-        return events.withColumn("arrival", F.struct((lo + (hi - lo) * uniform(seed, "id")).alias("a"), h("id").alias("b"), F.lit(0).cast("bigint").alias("c")))
+        return events.withColumn("arrival", F.struct((lo + (hi - lo) * uniform(seed, "id")).alias("a"), draw(seed, "id").alias("b"), F.lit(0).cast("bigint").alias("c")))
+    by_key = number(F.col(key))
     if strategy == "clustered":
-        return events.withColumn("arrival", F.struct(h(key).cast("double").alias("a"), h(key).alias("b"), h("id").alias("c")))
+        return events.withColumn("arrival", F.struct(by_key.cast("double").alias("a"), by_key.alias("b"), draw(seed, "id").alias("c")))
     if strategy == "adversarial":
         late = F.when(F.col(category) == "supports", 0).otherwise(1).cast("bigint")
-        return events.withColumn("arrival", F.struct(h(key).cast("double").alias("a"), late.alias("b"), h("id").alias("c")))
-    return events.withColumn("arrival", F.struct(uniform(seed, "id").alias("a"), h("id").alias("b"), F.lit(0).cast("bigint").alias("c")))
+        return events.withColumn("arrival", F.struct(by_key.cast("double").alias("a"), late.alias("b"), draw(seed, "id").alias("c")))
+    return events.withColumn("arrival", F.struct(uniform(seed, "id").alias("a"), draw(seed, "id").alias("b"), F.lit(0).cast("bigint").alias("c")))
 
 
 def order_statistics(ranked: DataFrame, category: str = "category") -> DataFrame:
@@ -137,5 +136,5 @@ def order_statistics(ranked: DataFrame, category: str = "category") -> DataFrame
 
 def stratified(df: DataFrame, strata: str, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows of each stratum, by the hash of their id; rows past them are dropped before the shuffle."""
-    w = Window.partitionBy(strata).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    w = Window.partitionBy(strata).orderBy(draw(seed, "id"), "id")
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")

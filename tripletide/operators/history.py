@@ -31,9 +31,9 @@ def segments(df: DataFrame) -> int:
     return max(n, stored_bytes(df) // SEGMENT_BYTES) if hasattr(df, "_tide_path") else n
 
 
-def segment(df: DataFrame, key: str, order: str, label: str = "seg") -> DataFrame:
-    """Range-partition by (key, order) and keep the segment number in ``_seg``; written, so that the numbers stay."""
-    return materialize(df.repartitionByRange(segments(df), key, order).withColumn("_seg", F.spark_partition_id()), label)
+def segment(df: DataFrame, key: str, order: str, label: str = "seg", n: int | None = None) -> DataFrame:
+    """Range-partition by (key, order), into ``n`` segments or as many as the size asks for, and keep the segment number in ``_seg``; written, so that the numbers stay."""
+    return materialize(df.repartitionByRange(n or segments(df), key, order).withColumn("_seg", F.spark_partition_id()), label)
 
 
 def neighbour(df: DataFrame, key: str, order: str, cols: dict[str, str], back: bool = True) -> DataFrame:
@@ -53,6 +53,28 @@ def neighbour(df: DataFrame, key: str, order: str, cols: dict[str, str], back: b
     return out.select(*df.columns, got.isNotNull().alias("_has"), *[got[n].alias(n) for n in cols])
 
 
+def following(df: DataFrame, key: str, order: str, cols: dict[str, str], ring: bool = False, label: str = "ring") -> DataFrame:
+    """Add, from the next row of the key in ``order``, columns {new name: old name}; the last row gets null, or with ``ring`` the first one's."""
+    s = segment(df, key, order, label)
+    out = neighbour(s, key, order, cols, back=False).drop("_seg", "_has") if not ring else neighbour(s, key, order, cols, back=False).drop("_seg")
+    if not ring:
+        return out
+    first = s.groupBy(F.col(key).alias("_fk")).agg(F.min_by(F.struct(*[F.col(c).alias(n) for n, c in cols.items()]), order).alias("_f"))
+    out = out.join(first, F.col(key).eqNullSafe(F.col("_fk")))
+    return out.select(*df.columns, *[F.when(F.col("_has"), F.col(n)).otherwise(F.col(f"_f.{n}")).alias(n) for n in cols])
+
+
+def running(df: DataFrame, key: str, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Add running sums {new name: of what} over the key's rows up to and with each one, in ``order``. ``df`` comes from `segment`."""
+    w = Window.partitionBy(key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    here = df.withColumns({c: F.sum(x).over(w) for c, x in sums.items()})
+    parts = df.groupBy(key, "_seg").agg(*[F.sum(x).alias(f"_s_{c}") for c, x in sums.items()])
+    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col(key).alias("_k"), F.col("_seg").alias("_s"), *[F.sum(f"_s_{c}").over(before).alias(f"_b_{c}") for c in sums], F.min("_seg").over(Window.partitionBy(key)).alias("_f")).where("_s > _f")
+    out = here.join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_seg") == F.col("_s")), "left")
+    return out.select(*df.columns, *[(F.col(c) + F.coalesce(f"_b_{c}", F.lit(0))).alias(c) for c in sums])
+
+
 def carried(df: DataFrame, key: str, order: str, cols: tuple[str, ...]) -> DataFrame:
     """Fill nulls of ``cols`` with the last value before them in the key's ``order``. ``df`` comes from `segment`."""
     w = Window.partitionBy(key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -128,7 +150,7 @@ def ledger(updates: DataFrame) -> DataFrame:
     starts = p.select(key, order(0), F.lit(None).alias("says"), to("after"))
     splits = p.where("before is not null").select(F.struct("item_id", F.col("before").alias("v")).alias("k"), order(2), F.lit(None).alias("says"), to("v"))
     said = u.select(key, order(1), "says", F.lit(None).alias("until"))
-    events = segment(materialize(said.union(starts).union(splits), "p7-events"), "k", "o", "p7-ordered")
+    events = segment(said.union(starts).union(splits), "k", "o", "p7-events", 2 * segments(u))
     rows = neighbour(carried(events, "k", "o", ("says", "until")), "k", "o", {"_next": "o"}, back=False)
     rows = rows.where(~F.col("_has") | ~F.col("_next.r").eqNullSafe(F.col("o.r")))
     own = {"valid_until": F.least("until.to", "says.invalidated_at"), "recorded_from": F.col("o.r"), "recorded_until": F.col("_next.r"), "current": ~F.col("_has")}

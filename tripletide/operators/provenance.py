@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .history import running, segment
+
 from .. import ontology as o
 
 FLOOR, CEILING, MISSING = 0.1, 0.99, 0.7
@@ -60,18 +62,17 @@ def learn(decided: DataFrame, alpha: float = 0.1, start: int = 5) -> DataFrame:
     """(doc, reliability): from the fifth fact on, each decided one moves a source's score towards its acceptance rate, less half its conflicts.
 
     decided: (doc, seq, accepted, conflict). The fold needs the order of facts; a moving average forgets by (1 - alpha) a step, so it is the sum
-    of its inputs weighted by how many updates follow. Both running counts and updates that follow are windows over a source's facts, as is needed
-    for one source; sources are many. Scores are kept within .1 and .99 by clamping the result.
+    of its inputs weighted by how many updates follow. Running counts are sums over segments of a source's facts, so that one source, such as the facts of none, may have
+    a large part of them. Scores are kept within .1 and .99 by clamping the result.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc").orderBy("seq")
     d = decided.withColumn("doc", F.coalesce("doc", F.lit("unknown")))
-    n = d.withColumn("n", F.row_number().over(w)).withColumn("a", F.sum(F.coalesce("accepted", F.lit(False)).cast("int")).over(w)).withColumn("c", F.sum(F.col("conflict").cast("int")).over(w))
+    d = segment(d.select("doc", "seq", "accepted", "conflict"), "doc", "seq", "provenance")
+    n = running(d, "doc", "seq", {"n": F.lit(1), "a": F.coalesce("accepted", F.lit(False)).cast("int"), "c": F.col("conflict").cast("int"), "k": F.col("accepted").isNotNull().cast("int")})
+    # Updates up to a row: decided ones, less those among the first rows that come too early to count.
     n = n.withColumn("u", (F.col("n") >= start) & F.col("accepted").isNotNull())
     n = n.withColumn("target", F.col("a") / F.col("n") * (1 - 0.5 * F.col("c") / F.col("n")))
-    after = F.sum(F.col("u").cast("int")).over(w.rowsBetween(1, Window.unboundedFollowing))
-    n = n.withColumn("later", F.coalesce(after, F.lit(0)))
+    total = n.groupBy("doc").agg(F.max("k").alias("every"))
+    n = n.join(total, "doc").withColumn("later", F.col("every") - F.col("k"))
     part = F.sum(F.when(F.col("u"), alpha * F.pow(F.lit(1 - alpha), F.col("later")) * F.col("target")))
     left = F.pow(F.lit(1 - alpha), F.sum(F.col("u").cast("int")))
     g = n.groupBy("doc").agg((F.coalesce(part, F.lit(0.0)) + left * initial_score(F.first("doc"))).alias("r"))

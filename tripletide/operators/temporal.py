@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import ontology as o
 
 FIRST_YEAR, MAX_LIFESPAN = 1000, 130
+#: Month names in dates.
 _MONTHS_EN = "January|February|March|April|May|June|July|August|September|October|November|December"
 _MONTHS_DE = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 #: Fixed values: (pattern, groups that hold years), in order of precedence.

@@ -126,13 +126,14 @@ def cascade_trigger_statistics(spark, d):
     return cascade.trigger(*parts(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def verdicts(spark, d):
-    b, e, first = outcome(spark, d)
+def verdicts(spark, d, stage1=None):
+    """The cascade's verdicts; ``stage1``: what `outcome` gave, to be used again."""
+    b, e, first = stage1 or outcome(spark, d)
     adjusted = provenance.confidence(b, e)
     con = resolution.contradictory(b, e, list(o.CARDINALITY)).select("seq", F.lit(1).alias("n_conflicts"))
     second = adjusted.join(con, "seq", "left").join(b.select("seq", F.col("text").isNotNull().alias("has_text"), "conf"), "seq")
     c2 = F.coalesce("conf", F.lit(1.0)) * F.when(F.col("n_conflicts") > 0, 0.5).otherwise(1.0)
-    return cascade.route(materialize(first, "stage1"), second.select("seq", "has_text", "adjusted", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), c2.alias("confidence2")), cascade.trigger(b, e))
+    return cascade.route(first if stage1 else materialize(first, "stage1"), second.select("seq", "has_text", "adjusted", F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"), c2.alias("confidence2")), cascade.trigger(b, e))
 
 
 CON = f"con AS (SELECT DISTINCT b.seq FROM batch b JOIN edges e ON e.s_id = b.s_id AND e.pred = b.pred WHERE b.pred IN {inlist(o.CARDINALITY)} AND lower(e.o_name) <> lower(b.o_name))"
@@ -188,7 +189,7 @@ def cascade_vote(spark, d):
 def baselines(spark, d):
     b, e, first = outcome(spark, d)
     first = materialize(first, "stage1")
-    v = materialize(verdicts(spark, d), "verdicts")
+    v = materialize(verdicts(spark, d, (b, e, first)), "verdicts")
     con = resolution.contradictory(b, e, list(o.CARDINALITY)).select("seq", F.lit(0.5).alias("f"))
     c2 = F.coalesce("conf", F.lit(1.0)) * F.coalesce("f", F.lit(1.0))
     s2 = first.join(b.select("seq", "conf"), "seq").join(con, "seq", "left").withColumn("c12", resolution.combine(F.col("confidence"), c2))

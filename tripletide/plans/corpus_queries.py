@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql, number_sql, uniform_sql
 from .. import kg
 from ..functions import chunking, extraction
 from ..operators import generators as g
@@ -91,7 +92,12 @@ def generate_variants(spark, d):
     return g.variants(table(spark, d, "entities", "entity_id", "entity_name", "entity_type"))
 
 
-@query(None)
+_MUT = f"""m AS (SELECT *, ['duplicate', 'contradiction', 'schema', 'cardinality', 'correct'][floor({uniform_sql(42, 'seq')} * 5)::INT + 1] AS category, coalesce(lead(o_name) OVER w, first(o_name) OVER w) AS other, string_split(s_name, ' ') AS w
+ FROM facts WHERE pred IS NOT NULL AND s_name IS NOT NULL AND o_name IS NOT NULL WINDOW w AS (PARTITION BY pred, o_type ORDER BY {draw_sql(44, 'seq')}, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(with_(FACTS, _MUT) + """SELECT seq, category, CASE category WHEN 'correct' THEN 'ACCEPT' ELSE 'REJECT' END AS expected, CASE WHEN category <> 'duplicate' THEN s_name WHEN len(w) > 1 THEN s_name[1] || '. ' || array_to_string(w[2:], ' ') ELSE 'Dr. ' || s_name END AS s_name, pred,
+ CASE WHEN category = 'schema' THEN s_name WHEN category IN ('contradiction', 'cardinality') THEN other ELSE o_name END AS o_name, CASE category WHEN 'correct' THEN 'update_' || seq ELSE doc END AS doc FROM m""")
 def generate_mutations(spark, d):
     return g.mutate(kg.facts(spark, d))
 
@@ -124,11 +130,19 @@ def _order(name):
     return f
 
 
-for _s in ("random", "interleaved", "temporal", "clustered", "adversarial"):
-    query(None)(_order(_s))
+CAT = "cat AS (SELECT seq, s_name, CASE WHEN status = 'accepted' THEN 'supports' WHEN status = 'rejected' THEN 'refutes' WHEN batch_id > 3 THEN 'entity_variant' ELSE 'cross_doc' END AS category FROM facts)"
 
 
-CAT = "cat AS (SELECT seq, CASE WHEN status = 'accepted' THEN 'supports' WHEN status = 'rejected' THEN 'refutes' WHEN batch_id > 3 THEN 'entity_variant' ELSE 'cross_doc' END AS category FROM facts)"
+_U, _D, _K = uniform_sql(42, "seq"), draw_sql(42, "seq"), number_sql("lower(s_name)")
+_ORDERS = {
+    "random": f"{_U} AS a, {_D} AS b, 0 AS c",
+    "interleaved": f"(row_number() OVER (PARTITION BY category ORDER BY {_D}, seq))::DOUBLE AS a, {number_sql('category')} AS b, 0 AS c",
+    "temporal": f"CASE category WHEN 'supports' THEN 0.4 * {_U} WHEN 'entity_variant' THEN 0.2 + 0.5 * {_U} WHEN 'refutes' THEN 0.5 + 0.4 * {_U} ELSE 0.7 + 0.3 * {_U} END AS a, {_D} AS b, 0 AS c",
+    "clustered": f"{_K}::DOUBLE AS a, {_K} AS b, {_D} AS c",
+    "adversarial": f"{_K}::DOUBLE AS a, (category <> 'supports')::BIGINT AS b, {_D} AS c",
+}
+for _s, _x in _ORDERS.items():
+    query(with_(FACTS, CAT) + f"SELECT seq AS id, category, {_x} FROM cat")(_order(_s))
 
 
 @query(with_(FACTS, CAT) + "SELECT category, count(*) AS n, min(seq) AS first, max(seq) AS last, round(avg(seq), 6) AS mean FROM cat GROUP BY category")
@@ -136,7 +150,7 @@ def order_statistics(spark, d):
     return g.order_statistics(_events(spark, d).withColumn("pos", F.col("id")))
 
 
-@query(None)
+@query(with_(FACTS, CAT) + f"SELECT seq AS id, category, lower(s_name) AS key FROM cat QUALIFY row_number() OVER (PARTITION BY category ORDER BY {_D}, seq) <= 25")
 def sample_stratified(spark, d):
     return g.stratified(_events(spark, d), "category", 25)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import kg
 from ..functions import models, qa
+from ..functions.draws import draw_sql, uniform_sql
 from ..functions import text as tx
 from ..operators import cascade, conflicts
 from ..runtime import table
@@ -52,12 +53,15 @@ def conflict_statistics(spark, d):
     return conflicts.statistics(conflicts.generate(kg.facts(spark, d)))
 
 
-@query(None)
+_RING = f"ring AS (SELECT seq, s_name, pred, coalesce(lead({{'o': o_name, 's': seq}}) OVER w, first({{'o': o_name, 's': seq}}) OVER w) AS n, o_name FROM facts WHERE pred IS NOT NULL AND s_name IS NOT NULL AND o_name IS NOT NULL WINDOW w AS (ORDER BY {draw_sql(42, 'seq')}, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+@query(with_(FACTS, _RING) + "SELECT seq, s_name, pred, n.o AS o_name, n.s AS other_seq FROM ring WHERE n.o <> o_name")
 def conflict_swapped_objects(spark, d):
     return conflicts.swapped_objects(kg.facts(spark, d))
 
 
-@query(None)
+@query(with_(FACTS) + f"SELECT seq, t[1:500] AS text FROM (SELECT seq, s_name, o_name, lead(text_) OVER (ORDER BY {draw_sql(42, 'seq')}, seq) AS t FROM facts WHERE s_name IS NOT NULL AND o_name IS NOT NULL) WHERE length(t) >= 50 AND NOT contains(t, s_name) AND NOT contains(t, o_name)")
 def conflict_false_sources(spark, d):
     return conflicts.false_sources(kg.facts(spark, d))
 

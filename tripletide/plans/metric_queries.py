@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import kg
 from ..functions import metrics as m
+from ..functions.draws import uniform_sql
 from ..runtime import materialize
 from .sql import FACTS, lit, with_
 
@@ -153,12 +154,19 @@ def metrics_kappa(spark, d):
     return m.kappa(decisions(spark, d).select(F.col("truth").alias("a"), F.col("verdict").alias("b")))
 
 
-@query(None)
+_POISSON = "CASE " + " ".join(f"WHEN u < {x!r} THEN {i}" for i, x in enumerate(m.POISSON)) + f" ELSE {len(m.POISSON)} END"
+_REPS = f"reps AS (SELECT r, sum(a::INT * w)::DOUBLE / sum(w) AS m FROM (SELECT r, a, {_POISSON} AS w FROM (SELECT a, r, {uniform_sql(42, 'seq', 'r')} AS u FROM paired, range(200) t(r))) GROUP BY r)"
+
+
+@query(with_(FACTS, DEC, PAIRED, _REPS) + "SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM reps")
 def metrics_bootstrap(spark, d):
     return m.bootstrap(paired(spark, d).select("id", F.col("right_a").alias("right")))
 
 
-@query(None)
+_SIGNS = f"own AS (SELECT avg(a::INT - b::INT) AS d FROM paired), signed AS (SELECT r, avg((a::INT - b::INT) * CASE WHEN {uniform_sql(42, 'seq', 'r')} < 0.5 THEN 1 ELSE -1 END) AS m FROM paired, range(200) t(r) GROUP BY r)"
+
+
+@query(with_(FACTS, DEC, PAIRED, _SIGNS) + "SELECT round(any_value(d), 6) AS difference, round((count(*) FILTER (abs(m) >= abs(d) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM signed, own")
 def metrics_permutation(spark, d):
     return m.permutation(paired(spark, d).select("id", F.col("right_a").cast("int").alias("a"), F.col("right_b").cast("int").alias("b")))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cascade_queries, corpus_queries, experiment_queries, graph_queries, metric_queries, rule_queries, store_queries, stream_queries, text_queries
+from . import cascade_queries, corpus_queries, experiment_queries, graph_queries, metric_queries, rule_queries, source_queries, store_queries, stream_queries, study_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (rule_queries, store_queries, text_queries, graph_queries, cascade_queries, corpus_queries, metric_queries, stream_queries, experiment_queries)
+MODULES = (rule_queries, store_queries, text_queries, graph_queries, cascade_queries, corpus_queries, metric_queries, stream_queries, experiment_queries, source_queries, study_queries)
 
 
 def queries() -> dict[str, Query]:

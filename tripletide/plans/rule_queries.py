@@ -231,11 +231,6 @@ SQL["temporal_year_range"] = r"""SELECT doc_id, a AS year_from, b AS year_to FRO
  WHERE a BETWEEN 1000 AND 2036 AND b BETWEEN 1000 AND 2036"""
 
 
-def _lives(edges):
-    """Edges whose object names a year: births and deaths are given the year of a document, event or treaty in the object's name."""
-    return edges
-
-
 @query
 def temporal_context(spark, d):
     """Birth and death years as the awards and events of a subject state them: the earliest relation in the data with years in its objects."""

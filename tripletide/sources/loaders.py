@@ -144,3 +144,27 @@ def log_decisions(lines: DataFrame) -> DataFrame:
     d = lines.withColumn("dataset", F.last(head, ignorenulls=True).over(w))
     verdict = F.regexp_extract("value", r"(ACCEPTED|REJECTED|NEEDS_REVIEW)", 1)
     return d.where(verdict != "").select("line", "dataset", F.nullif(F.regexp_extract("value", r"stage=(\w+)", 1), F.lit("")).alias("stage"), verdict.alias("verdict"), F.regexp_extract("value", r"ms=([\d.]+)", 1).try_cast("double").alias("ms"))
+
+
+def log_samples(decisions_: DataFrame, n: int = 3) -> DataFrame:
+    """Up to ``n`` decisions of a log for each (stage, verdict), in order of their line; rows past them are dropped before the shuffle."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stage", "verdict").orderBy("line")
+    return decisions_.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+RESULT = "dataset string, tp bigint, fp bigint, tn bigint, fn bigint, precision double, recall double, f1 double, accuracy double"
+
+
+def results(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(label, RESULT columns) of result files under their labels: a file holds one data set, or a list ``datasets`` of them."""
+    out = None
+    for label, path in paths.items():
+        r = spark.read.schema(f"{RESULT}, datasets array<struct<{', '.join(c.replace(' ', ':') for c in RESULT.split(', '))}>>").json(path, multiLine=True)
+        own = F.struct(*[c.split()[0] for c in RESULT.split(", ")])
+        x = r.select(F.lit(label).alias("label"), F.explode(F.coalesce("datasets", F.array(own))).alias("x")).select("label", "x.*")
+        out = x if out is None else out.unionByName(x)
+    if out is None:
+        raise ValueError("no result files")
+    return out
