@@ -113,6 +113,27 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert free.groupBy("id").count().where("count <> 3").count() == 0 and free.select("id").distinct().count() == len(ids)
 
 
+def test_neighbours_in_a_crowded_leaf(spark, monkeypatch):
+    """A leaf above SPLIT is split where it is met; few near pairs calibrate nothing and still the nearest are found."""
+    monkeypatch.setattr(neighbours, "SPLIT", 300)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 100)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 64))
+    x = (base[rng.integers(0, 60, 900)] + rng.normal(size=(900, 64)) * 0.3).astype(np.float32)
+    u = neighbours.unit(x)
+    at = np.arange(len(x))
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    met = np.zeros((len(x), len(x)), bool)
+    for q, d in neighbours._blocks(u, at, at, 5, 0.99):
+        met[np.ix_(q, d)] = True
+    assert met.mean() < 0.9 and np.take_along_axis(met, np.argsort(-s, axis=1)[:, :5], 1).mean() >= 0.97
+    ids = [f"e{i:05}" for i in at]
+    d = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in zip(ids, x)], "entity_id string, embedding array<float>")
+    want = brute(ids, x.astype(np.float64), 10, 0.999)
+    assert {(r["id_a"], r["id_b"]) for r in neighbours.found(d, min_cosine=0.999).collect()} == want
+
+
 def test_neighbours_with_a_third_of_exact_copies(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64)).astype(np.float32)

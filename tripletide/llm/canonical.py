@@ -37,8 +37,8 @@ def references(configs: DataFrame, catalog: DataFrame) -> DataFrame:
     ``cut`` marks forms with a shortened first word, which count for values that hold a full stop (types: any value, exactly).
     """
     e = entries(configs)
-    named = e.where("kind = 'relation'").join(F.broadcast(catalog), (F.col("entry") == F.col("relation_de")) | (F.col("entry") == F.col("relation_en")))
-    gloss = named.select("kind", "pos", F.explode(F.array("gloss_de", "gloss_en", "relation_de", "relation_en")).alias("entry"))
+    worded = catalog.select(F.explode(F.array("relation_de", "relation_en")).alias("entry"), F.array("gloss_de", "gloss_en", "relation_de", "relation_en").alias("also")).where("entry is not null")
+    gloss = e.where("kind = 'relation'").join(worded, "entry").select("kind", "pos", F.explode("also").alias("entry"))
     base = e.select("kind", "pos", "entry").union(gloss).where("entry is not null").distinct()
     words = F.filter(F.split(F.lower("entry"), r"[^\p{L}]+"), lambda w: w != "")
     words = F.transform(words, compact)

@@ -33,7 +33,7 @@ def small_star(e: DataFrame) -> DataFrame:
     return rest.union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(item, group): every item of a pair with two different items, and the least item of its component.
 
     Null items and pairs of an item with itself link nothing; repeated and reversed pairs count once; no pairs give no rows.
@@ -41,17 +41,12 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") > F.col("v"))).distinct()
     e = materialize(e, "cc")
     mark = _mark(e)
-    for _ in range(max_rounds):
-        if not mark[0]:
-            break
+    settled = not mark[0]
+    while not settled:  # each round lowers what some node points at, so it ends
         new = materialize(small_star(large_star(e)), "cc")
         new_mark = _mark(new)
         release(e)
-        e, same, mark = new, new_mark == mark, new_mark
-        if same:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        e, settled, mark = new, new_mark == mark, new_mark
     return e.select(F.col("u").alias("item"), F.col("v").alias("group")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 

@@ -344,15 +344,27 @@ class Traits:
         """(i, j): all plausible pairs of q[i] and rows[j]."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         bits, most = self.sides[1]["bits"], self.sides[1]["most"]
-        by_q, by_rows = (np.argsort(self.relation[x], kind="stable") for x in (q, rows))
-        for r in np.unique(self.relation[q]):
-            mine, there = (by[slice(*np.searchsorted(self.relation[x][by], [r, r + 1]))] for x, by in ((q, by_q), (rows, by_rows)))
+
+        def compare(mine: np.ndarray, there: np.ndarray) -> None:
             step = max(1, BLOCK // max(1, len(there)))
             for lo in range(0, len(mine) if len(there) else 0, step):
                 a, c = q[mine[lo : lo + step]], rows[there]
                 i, j = np.nonzero(np.bitwise_count(bits[a][:, None] ^ bits[c]) <= np.minimum(most[a][:, None], most[c]))
                 keep = self.plausible(a[i], c[j])
                 out.append((mine[lo + i[keep]], there[j[keep]]))
+
+        # What is not loose agrees in what stands beside the names, or in its first letter: only such rows are compared.
+        group = self.relation.astype(np.int64)
+        for x in self.sides:
+            group = group * 1_000_003 + np.where(x["flags"] >> 8 == ord("P"), x["first"], x["whole"])
+        loose = (self.sides[0]["flags"] | self.sides[1]["flags"]) >> 2 & 1 > 0
+        strict = [np.flatnonzero(~loose[x]) for x in (q, rows)]
+        by = [x[np.argsort(group[y[x]], kind="stable")] for x, y in zip(strict, (q, rows))]
+        codes = [group[y[x]] for x, y in zip(by, (q, rows))]
+        for g in np.intersect1d(*codes):
+            compare(*(x[slice(*np.searchsorted(z, [g, g + 1]))] for x, z in zip(by, codes)))
+        compare(np.flatnonzero(loose[q]), np.arange(len(rows)))
+        compare(strict[0], np.flatnonzero(loose[rows]))
         return tuple(np.concatenate(z) for z in zip(*out))
 
 

@@ -1,13 +1,13 @@
 """Most similar vectors for every vector: a hierarchical k-means tree, searched best bin first.
 
-A tree of unit centroids is fitted on a bounded sample (SAMPLE vectors) and sent to the executors; every vector is routed through it, none
+A tree of unit centroids is fitted on a bounded sample (SAMPLE vectors, for many leaves up to MOST_SAMPLE) and sent to the executors; every vector is routed through it, none
 only through the sample. A search keeps a priority queue of branches, always opens the one whose centroid is most similar, and
 collects leaves until it has as many as calibration asks for: for a sample of queries the exact neighbours are found by brute
 force over all vectors, and leaf visits are widened until the wanted part of them lies in a leaf that one side of
 the pair visits. Since every vector is a query, a pair met from either side counts for both.
 
 Leaves lie in buckets of neighbouring leaves; a query is sent once to each bucket that holds a leaf of its list. Leaves follow the density of the
-sample, so a dense region has many small ones; more than k + 1 exact copies of one vector are cut to k + 1 representatives in the index and
+sample, so a dense region has many small ones; a leaf that still holds more than SPLIT vectors gets a tree of its own where it is met, with visits calibrated on its own queries. More than k + 1 exact copies of one vector are cut to k + 1 representatives in the index and
 the other copies get the smallest ids of their class.
 """
 
@@ -24,7 +24,8 @@ from ..runtime import join_checked, materialize
 
 #: Bound of the sample that the tree is fitted on, rows aimed at per leaf, children of a node, leaves of a bucket, calibration queries.
 SAMPLE, LEAF_ROWS, BRANCH, BUCKET_LEAVES, PROBES = 65_536, 1024, 16, 16, 256
-MAX_LEAVES = 8192
+#: Sampled vectors per leaf where there are more leaves than SAMPLE serves, up to MOST_SAMPLE; vectors of a leaf above which it is split, queries that calibrate the split.
+PER_LEAF, MOST_SAMPLE, SPLIT, OWN_PROBES = 8, 524_288, 8192, 128
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -176,13 +177,15 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
         copies = keyed.where(spare).select("id", F.explode(F.slice("heads", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
         v = keyed.where(~spare).select("id", "v")
 
-    ids, sample = _sample(v, total, SAMPLE)
+    leaves = max(1, total // LEAF_ROWS)
+    ids, sample = _sample(v, total, max(SAMPLE, min(PER_LEAF * leaves, MOST_SAMPLE)))
     x = unit(_matrix(sample, dim))
-    leaves = min(MAX_LEAVES, max(1, total // LEAF_ROWS))
+    leaves = min(leaves, max(1, len(x) // PER_LEAF))
     tree = Tree(x, max(2, -(-len(x) // leaves)))
     probes = np.unique(np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int))
     visits = calibrate(v, tree, [ids[i] for i in probes], _matrix(sample, dim)[probes], k, min_cosine, recall) if tree.n_leaves > 1 else 1
-    shared = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves and their ancestors
+    narrow = np.int16 if tree.n_leaves < 1 << 15 else np.int32
+    shared = spark.sparkContext.broadcast(tree)  # at most MOST_SAMPLE / PER_LEAF leaves and their ancestors
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -200,8 +203,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             rows, at = np.concatenate(rows), np.concatenate(at)
             blob = raw.tobytes()
             vec = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * dim * 4).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            wide = way.shape[1] * 2  # leaves fit 16 bits
-            lists = pa.Array.from_buffers(pa.binary(), len(way), [None, pa.py_buffer((np.arange(len(way) + 1) * wide).astype(np.int32).tobytes()), pa.py_buffer(way.astype(np.int16).tobytes())])
+            wide = way.shape[1] * narrow().itemsize
+            lists = pa.Array.from_buffers(pa.binary(), len(way), [None, pa.py_buffer((np.arange(len(way) + 1) * wide).astype(np.int32).tobytes()), pa.py_buffer(way.astype(narrow).tobytes())])
             take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0).take(take), vec.take(take), lists.take(take)], names=["bucket", "id", "v", "way"])
 
@@ -210,15 +213,12 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
         names = np.array(t.column("id").to_pylist(), dtype=object)
         names, pick = np.unique(names, return_index=True)  # a repeated id counts once; ids are numbered in their order
         raw = _matrix(t.column("v").combine_chunks(), dim)[pick]
-        way = np.frombuffer(b"".join(t.column("way").to_pylist()), np.int16).reshape(t.num_rows, -1)[pick]
+        way = np.frombuffer(b"".join(t.column("way").to_pylist()), narrow).reshape(t.num_rows, -1)[pick]
         u = unit(raw)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for leaf in range(bucket * BUCKET_LEAVES, (bucket + 1) * BUCKET_LEAVES):
             data, asks = np.flatnonzero(way[:, 0] == leaf), np.flatnonzero((way == leaf).any(1))
-            if not len(data):
-                continue
-            for lo in range(0, len(asks), 1024):
-                q = asks[lo : lo + 1024]
+            for q, data in _blocks(u, asks, data, k, recall):
                 s = u[q] @ u[data].T
                 s[q[:, None] == data[None, :]] = -9
                 floor = -8.0 if min_cosine is None else min_cosine - 1e-5
@@ -256,6 +256,29 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     return best if copies is None else best.unionByName(copies)
 
 
+def _blocks(u: np.ndarray, asks: np.ndarray, data: np.ndarray, k: int, recall: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, vectors) of one leaf to be compared: all with all in blocks, in a leaf of more than SPLIT vectors by a tree of its own.
+
+    Its visits are widened until the wanted part of the nearest vectors that an exhaustive search of the leaf finds for OWN_PROBES of its queries is met.
+    """
+    parts = [(asks, data)] if len(data) else []
+    if len(data) > SPLIT:
+        own = Tree(u[data[:: max(1, len(data) // SAMPLE)]], max(2, LEAF_ROWS * min(len(data), SAMPLE) // len(data)))
+        home = own.search(u[data], 1)[:, 0]
+        some = asks[:: max(1, len(asks) // OWN_PROBES)][:OWN_PROBES]
+        s = u[some] @ u[data].T
+        s[some[:, None] == data[None, :]] = -9
+        want = home[np.argpartition(s, len(data) - k, axis=1)[:, -k:]]
+        visits = 1
+        while visits < own.n_leaves and (own.search(u[some], visits)[:, None, :] == want[:, :, None]).any(2).mean() < recall:
+            visits = min(own.n_leaves, visits * 2)
+        way = own.search(u[asks], visits)
+        parts = [(asks[(way == leaf).any(1)], data[home == leaf]) for leaf in range(own.n_leaves)]
+    for q, d in parts:
+        for lo in range(0, len(q) if len(d) else 0, 1024):
+            yield q[lo : lo + 1024], d
+
+
 def exact(v: DataFrame, names: list[str], q: np.ndarray, k: int, min_cosine: float | None) -> pa.Table:
     """(q, id, cosine, v): the k nearest of a bounded number of queries by comparing them with every vector, in blocks."""
     dim = q.shape[1]
@@ -280,8 +303,8 @@ def exact(v: DataFrame, names: list[str], q: np.ndarray, k: int, min_cosine: flo
 def calibrate(v: DataFrame, tree: Tree, names: list[str], q: np.ndarray, k: int, min_cosine: float | None, recall: float) -> int:
     """Leaf visits at which the wanted part of the probes' exact neighbours is met from one side or the other."""
     t = exact(v, names, q, k, min_cosine)
-    if not t.num_rows:
-        return min(4, tree.n_leaves)
+    if not t.num_rows:  # no probe has a neighbour as near as that: the nearest there are
+        t = exact(v, names, q, k, None)
     i = t.column("q").to_numpy()
     other = unit(_matrix(t.column("v").combine_chunks(), q.shape[1]))
     wide = min(tree.n_leaves, 64)
