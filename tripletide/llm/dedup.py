@@ -56,13 +56,13 @@ _code: dict[str, int] = {}
 def _hash(g: str) -> int:
     c = _code.get(g)
     if c is None:
-        if len(_code) > 500_000:
+        if len(_code) > 100_000:
             _code.clear()
         c = _code[g] = zlib.crc32(g.encode())
     return c
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def _features(kind: str, core: str, extra: str) -> list[int]:
     if kind == "X":
         w = core.split(" ")
@@ -293,7 +293,7 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _side(kind: str, core: str, extra: str) -> tuple[int, int, int, int, int]:
     """Of one name: code of the kind and what stands beside the core, of the kind and its first letter, pairs of neighbouring letters as 64 bits, how many of them may differ (an edit changes six bits at most, a swap of neighbours so many), flags."""
     text, bits = f"^{core}$", 0

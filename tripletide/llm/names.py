@@ -49,7 +49,7 @@ _HARD_C = re.compile("c(?!h)")
 _TWICE = re.compile(r"(.)\1+")
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def fold(word: str) -> str:
     """Lower case, umlauts and spellings of one sound alike, doubled letters single."""
     w = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
@@ -145,7 +145,7 @@ _GIVEN = _Words([(w, f) for f, nicks in GIVEN.items() for n in [*nicks.split(),
 _SHORT_ORG = {"sg", "ag", "kg", "tu"}
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _org(plain: str, folded: str) -> tuple[str | None, int]:
     """(sector, empty for legal forms, None for other words; edits)."""
     a = _ORG.find(plain, 2)
@@ -161,7 +161,7 @@ def _is_org(p: str, x: str) -> bool:
     return what is not None and (len(x) > 5 or not off and (len(x) > 2 or x in _SHORT_ORG))
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _given(plain: str, folded: str) -> tuple[str | None, bool]:
     """The given name that a word means as it stands, else by its sound; and whether it is spelt right."""
     a, b = _GIVEN.find(plain), _GIVEN.find(folded)
@@ -172,7 +172,7 @@ def _given(plain: str, folded: str) -> tuple[str | None, bool]:
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
-@lru_cache(200_000)
+@lru_cache(50_000)
 def _word(w: str) -> tuple[str, str]:
     """(plain, folded)."""
     return w.lower().translate(_PLAIN), fold(w)
@@ -258,7 +258,7 @@ def _hint(kind: str) -> str:
     return ""
 
 
-@lru_cache(100_000)
+@lru_cache(50_000)
 def read_any(name: str | None, kind: str | None) -> tuple[str, str, str] | None:
     """`read` for things of any type: places, events, documents and concepts give (X, folded text, numbers)."""
     if not name:
