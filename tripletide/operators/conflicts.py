@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, uniform
-from .generators import opposite
+from .generators import MARKERS, opposite
 from .history import following
 
 # Kinds with the action expected, how hard they are and what finds them.
@@ -40,32 +40,48 @@ def _map(table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col("pred"))
 
 
+#: What is said of when a fact held, and how a number is blurred.
+TIMES = (" (until 1990)", " (since 1991)")
+YEAR = r"\b(1\d{3}|20\d{2})\b"
+
+
 def generate(facts: DataFrame, seed: int = 42, share: float = 1.0) -> DataFrame:
-    """(seq, kind, action, s_name, pred, o_name, conf): for each chosen fact one conflicting one of every kind that fits it.
+    """(seq, kind, action, s_name, pred, o_name, conf): for each chosen fact the conflicting ones of every kind that fits it.
 
-    Facts without subject, relation or object give none; ``share`` chooses facts by their hash.
+    factual: the object of another fact of the relation and object type, the next in a hashed order (where there is none but its own, its opposite); temporal: two times at which both may hold;
+    granularity: the coarser relation; entity_variant: the subject's first name as initial, and after its last one; implicit: a relation that excludes this one; negation; modality: four degrees of
+    certainty; source_quality: two of the sources; schema: another name of the relation; numerical: a year as it is, as a decade and as about so much.
+    Facts without subject, relation or object give none; ``share`` chooses facts by a draw.
     """
-    f = facts.where("pred is not null and s_name is not null and o_name is not null").where(uniform(seed, "seq") < share)
-    source = F.get(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(r).alias("r")) for n, r in SOURCES]), F.floor(uniform(seed + 1, "seq") * len(SOURCES)).cast("int"))
-    year = F.regexp_extract("o_name", r"\b(1\d{3}|20\d{2})\b", 1)
+    f = facts.where("pred is not null and s_name is not null and o_name is not null").select("seq", "s_name", "pred", "o_name", F.struct("pred", "o_type").alias("_k"), F.struct(draw(seed + 3, "seq").alias("d"), "seq").alias("_o"))
+    f = following(f, "_k", "_o", {"other": "o_name"}, True, "conflicts").where(uniform(seed, "seq") < share)
+    first = F.floor(uniform(seed + 1, "seq") * len(SOURCES)).cast("int")
+    second = (first + 1 + F.floor(uniform(seed + 2, "seq") * (len(SOURCES) - 1)).cast("int")) % len(SOURCES)
+    rating = F.array(*[F.lit(r) for _, r in SOURCES])
+    year = F.regexp_extract("o_name", YEAR, 1)
+    blurred = lambda before, after: F.regexp_replace("o_name", F.lit(YEAR), F.concat(F.lit(before), F.substring(year, 1, 3), F.lit("0" + after)))
     words = F.split("s_name", " ")
+    several = F.size(words) > 1
 
-    def one(kind: str, when: Column, s: Column = F.col("s_name"), p: Column = F.col("pred"), o: Column = F.col("o_name"), c: Column = F.lit(0.8)) -> Column:
-        action = next(a for k, a, *_ in TAXONOMY if k == kind)
+    def one(kind: str, when: Column, s: Column = F.col("s_name"), p: Column = F.col("pred"), o: Column = F.col("o_name"), c: Column = F.lit(0.8), action: str | None = None) -> Column:
+        action = action or next(a for k, a, *_ in TAXONOMY if k == kind)
         return F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(action).alias("action"), s.alias("s_name"), p.alias("pred"), o.alias("o_name"), c.cast("double").alias("conf")))
 
     yes = F.lit(True)
     kinds = F.array_compact(F.array(
-        one("factual", yes, o=F.concat(F.lit("not-"), F.col("o_name"))),
-        one("temporal", yes, o=F.concat(F.col("o_name"), F.lit(" (until 1990)"))),
+        one("factual", yes, o=F.coalesce(F.nullif("other", "o_name"), F.concat(F.lit("not-"), F.col("o_name")))),
+        *[one("temporal", yes, o=F.concat(F.col("o_name"), F.lit(t))) for t in TIMES],
         one("granularity", _map(LADDER).isNotNull(), p=_map(LADDER)),
-        one("entity_variant", F.size(words) > 1, s=F.concat(F.substring("s_name", 1, 1), F.lit(". "), F.array_join(F.slice(words, F.lit(2), F.size(words) - 1), " "))),
+        one("entity_variant", several, s=F.concat(F.substring("s_name", 1, 1), F.lit(". "), F.array_join(F.slice(words, F.lit(2), F.size(words) - 1), " "))),
+        one("entity_variant", several, s=F.concat(F.element_at(words, -1), F.lit(", "), F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "))),
         one("implicit", _map(CONTRARY).isNotNull(), p=_map(CONTRARY)),
         one("negation", yes, p=F.concat(F.lit("NOT_"), F.col("pred"))),
-        one("modality", yes, o=F.concat(F.lit("possibly "), F.col("o_name")), c=F.lit(0.5)),
-        one("source_quality", yes, c=source["r"]),
+        *[one("modality", yes, o=F.concat(F.lit(f"{m} "), F.col("o_name")), c=F.lit(c)) for m, c in MARKERS],
+        *[one("source_quality", yes, c=F.get(rating, i)) for i in (first, second)],
         one("schema", yes, p=F.coalesce(_map(EQUIVALENT), F.concat(F.lit("schema:"), F.lower("pred")))),
-        one("numerical", year != "", o=F.concat(F.lit("about "), F.expr("regexp_replace(o_name, '\\\\b(1\\\\d{3}|20\\\\d{2})\\\\b', concat(substring(regexp_extract(o_name, '\\\\b(1\\\\d{3}|20\\\\d{2})\\\\b', 1), 1, 3), '0'))"))),
+        one("numerical", year != "", c=F.lit(0.95), action="accept"),
+        one("numerical", year != "", o=blurred("the ", "s"), c=F.lit(0.75)),
+        one("numerical", year != "", o=blurred("about ", ""), c=F.lit(0.75)),
     ))
     return f.select("seq", F.explode(kinds).alias("x")).select("seq", "x.*")
 

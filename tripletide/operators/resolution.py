@@ -5,39 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cosine, name_similarity_udf, weighted
+from ..functions.similarity import cologne_udf, dot, jaro_winkler, weighted
 from ..runtime import materialize
 
 DUPLICATE, SAME, LIKELY = 0.85, 0.95, 0.85
 
 
+#: Rarest words of a name by which it is looked up, and letters from which a word also meets others one edit apart.
+RAREST, LONG = 2, 5
+
+
+def members(entities: DataFrame) -> DataFrame:
+    """(entity_id, id): the record that stands for each valid named one: of equal lower-case names of one type the least entity_id."""
+    e = entities.where("entity_name is not null and entity_id is not null and invalidated_at is null").select("entity_id", F.lower(F.trim("entity_name")).alias("name"), "entity_type").distinct()
+    first = e.groupBy("name", "entity_type").agg(F.min("entity_id").alias("id"))
+    return e.join(first, (e["name"] == first["name"]) & e["entity_type"].eqNullSafe(first["entity_type"])).select("entity_id", "id")
+
+
 def candidates(entities: DataFrame) -> DataFrame:
     """(a, b): pairs of different names of one type that share a rare word form.
 
-    Names are compared once each, however many records carry them. A block is one form of a word: the word without one of its letters, with the
-    type, for words of five letters and more; two words that differ by one edit share a form.
+    Names are compared once each, however many records carry them (`members`). A name is looked up by its RAREST words, counted over all names of the type; a
+    name without a word of three letters by the whole of it. Words of LONG letters and more are looked up without one of their letters, too: two words that
+    differ by one edit share such a form. Frequent words, as of legal forms or given names, tie nothing together unless a name has no others.
+    """
+    n = entities.where("entity_name is not null and invalidated_at is null").groupBy(F.lower(F.trim("entity_name")).alias("name"), F.coalesce("entity_type", F.lit("")).alias("type")).agg(F.min("entity_id").alias("id"))
+    words = F.array_distinct(F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
+    w = n.select("id", "type", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array("name"))).alias("w"))
+    w = materialize(w, "er-words")
+    counted = materialize(w.groupBy("type", "w").agg(F.count("*").alias("n")), "er-counts")
+    # A name has few words: the list of one is short.
+    rare = w.join(counted, ["type", "w"]).groupBy("id", "type").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", (-F.length("w")).alias("l"), "w"))), 1, RAREST).alias("r"))
+    rare = rare.select("id", "type", F.explode(F.transform("r", lambda x: x["w"])).alias("w"))
+    cut = F.when(F.length("w") >= LONG, F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))).otherwise(F.array())
+    k = materialize(rare.select("id", "type", F.explode(F.array_distinct(F.concat(cut, F.array("w")))).alias("form")).distinct(), "er-forms")
+    return k.alias("x").join(k.alias("y"), ["form", "type"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    """(a, b, name_similarity, embedding_similarity) of (a, b, n_a, n_b, k_a, k_b, cosine, need), k being the names' sound: pairs whose names are as alike as ``need``.
+
+    Matching blocks cost most and are only sought where their upper bounds leave the question open.
     """
-    n = entities.where("entity_name is not null and invalidated_at is null").groupBy(F.lower(F.trim("entity_name")).alias("name"), "entity_type").agg(F.min("entity_id").alias("id"))
-    words = F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 5)
-    # Only the longest word: generic parts of names would tie thousands together.
-    word = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"]
-    cut = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))
-    k = n.withColumn("w", word).where("w is not null").select("id", "entity_type", F.explode(F.array_distinct(F.concat(cut, F.array("w")))).alias("form"))
-    k = materialize(k, "er-forms")
-    return k.alias("x").join(k.alias("y"), ["form", "entity_type"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    from difflib import SequenceMatcher
+
+    import pyarrow as pa
+
+    def run(batches):
+        for t in batches:
+            keep, sims = [], []
+            for i, (x, y, k, m, need) in enumerate(zip(*(t.column(c).to_pylist() for c in ("n_a", "n_b", "k_a", "k_b", "need")))):
+                more = 0.15 if k and k == m else 0.0
+                s = 1.0 if x == y else jaro_winkler(x, y)
+                if s < 1.0:
+                    blocks = SequenceMatcher(None, x, y)
+                    if blocks.real_quick_ratio() > s and (best := blocks.quick_ratio()) > s and best + more >= need:
+                        s = max(s, blocks.ratio())
+                s = min(1.0, s + more)
+                if s >= need:
+                    keep.append(i)
+                    sims.append(s)
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([t.column("a").take(at), t.column("b").take(at), pa.array(sims, pa.float64()), t.column("cosine").take(at)], names=["a", "b", "name_similarity", "embedding_similarity"])
+
+    return pairs.mapInArrow(run, "a string, b string, name_similarity double, embedding_similarity double")
 
 
 def resolve(entities: DataFrame, limit: float = DUPLICATE) -> DataFrame:
-    """(a, b, name_similarity, embedding_similarity, similarity, strategy): candidate pairs alike enough.
+    """(a, b, name_similarity, embedding_similarity, similarity, strategy): candidate pairs alike enough, of the records that stand for their names (`members`).
 
-    Alike: .6 name + .4 embedding of ``limit`` or more, or a cosine of .9; without both embeddings the name alone decides. strategy: ``keep`` from .95, ``merge`` from .85, else ``link``.
+    Alike: .6 name + .4 embedding of ``limit`` or more, or a cosine of .9; without both embeddings the name alone decides. A name's embedding is that of its first record
+    with one. strategy: ``keep`` from .95, ``merge`` from .85, else ``link``. The cosine is known first and says how alike the names must be, so few names are scored.
     """
-    e = entities.select("entity_id", "entity_name", "embedding")
-    side = lambda s: e.select(F.col("entity_id").alias(s), F.col("entity_name").alias(f"n_{s}"), F.col("embedding").alias(f"v_{s}"))
+    e = entities.where("entity_name is not null and invalidated_at is null").groupBy(F.lower(F.trim("entity_name")).alias("name"), "entity_type")
+    e = e.agg(F.min("entity_id").alias("id"), F.min_by("embedding", F.when(F.size("embedding") > 0, F.col("entity_id"))).alias("v"))
+    e = materialize(e.select("id", "name", "v", cologne_udf("name").alias("k"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")), "er-names")
+    side = lambda s: e.select(F.col("id").alias(s), *[F.col(c).alias(f"{n}_{s}") for c, n in (("name", "n"), ("v", "v"), ("k", "k"), ("norm", "norm"))])
     p = candidates(entities).join(side("a"), "a").join(side("b"), "b")
-    same_dim = F.size("v_a") == F.size("v_b")
-    emb = F.when(same_dim, cosine(F.col("v_a"), F.col("v_b")))
-    p = p.select("a", "b", name_similarity_udf("n_a", "n_b").alias("name_similarity"), emb.alias("embedding_similarity"))
+    cos = F.when(F.size("v_a") == F.size("v_b"), F.coalesce(F.try_divide(dot(F.col("v_a"), F.col("v_b")), F.col("norm_a") * F.col("norm_b")), F.when(F.col("v_a").isNotNull() & F.col("v_b").isNotNull(), 0.0)))
+    p = p.withColumn("cosine", cos).drop("v_a", "v_b", "norm_a", "norm_b")
+    need = F.when(F.col("cosine") >= 0.9, 0.0).when(F.col("cosine").isNull(), limit).otherwise((limit - 0.4 * F.col("cosine")) / 0.6)
+    # No name is as alike as that where one is so much shorter that even with all its letters met it can't be.
+    lo, hi = F.least(F.length("n_a"), F.length("n_b")), F.greatest(F.length("n_a"), F.length("n_b"))
+    jaro = (1 + lo / hi + 1) / 3
+    p = p.withColumn("need", need - 1e-9).where((F.greatest(2 * lo / (lo + hi), jaro + 0.4 * (1 - jaro)) + 0.15 >= F.col("need")) & (F.col("need") <= 1))
+    p = _named(p.select("a", "b", "n_a", "n_b", "k_a", "k_b", "cosine", "need"))
     sim = F.when(F.col("embedding_similarity").isNull(), F.col("name_similarity")).otherwise(weighted(F.col("name_similarity"), F.col("embedding_similarity")))
     p = p.withColumn("similarity", sim).where((F.col("similarity") >= limit) | (F.col("embedding_similarity") >= 0.9))
     strategy = F.when(F.col("similarity") >= SAME, "keep").when(F.col("similarity") >= LIKELY, "merge").otherwise("link")

@@ -34,21 +34,29 @@ def conflict_taxonomy(spark, d):
 _MAP = lambda t: "CASE pred " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in t.items()) + " END"
 _OK = "FROM facts WHERE pred IS NOT NULL AND s_name IS NOT NULL AND o_name IS NOT NULL"
 _Y = r"regexp_extract(o_name, '\b(1\d{3}|20\d{2})\b', 1)"
-GEN = f"""gen AS (SELECT seq, 'factual' AS kind, 'reject' AS action, s_name, pred, 'not-' || o_name AS o_name, 0.8::DOUBLE AS conf {_OK} UNION ALL SELECT seq, 'temporal', 'accept', s_name, pred, o_name || ' (until 1990)', 0.8 {_OK}
- UNION ALL SELECT seq, 'granularity', 'merge', s_name, {_MAP(conflicts.LADDER)}, o_name, 0.8 {_OK} AND {_MAP(conflicts.LADDER)} IS NOT NULL
- UNION ALL SELECT seq, 'entity_variant', 'merge', s_name[1] || '. ' || array_to_string(string_split(s_name, ' ')[2:], ' '), pred, o_name, 0.8 {_OK} AND len(string_split(s_name, ' ')) > 1
- UNION ALL SELECT seq, 'implicit', 'reject', s_name, {_MAP(conflicts.CONTRARY)}, o_name, 0.8 {_OK} AND {_MAP(conflicts.CONTRARY)} IS NOT NULL UNION ALL SELECT seq, 'negation', 'reject', s_name, 'NOT_' || pred, o_name, 0.8 {_OK}
- UNION ALL SELECT seq, 'modality', 'weight', s_name, pred, 'possibly ' || o_name, 0.5 {_OK} UNION ALL SELECT seq, 'schema', 'merge', s_name, coalesce({_MAP(conflicts.EQUIVALENT)}, 'schema:' || lower(pred)), o_name, 0.8 {_OK}
- UNION ALL SELECT seq, 'numerical', 'merge', s_name, pred, 'about ' || regexp_replace(o_name, '\\b(1\\d{{3}}|20\\d{{2}})\\b', {_Y}[1:3] || '0', 'g'), 0.8 {_OK} AND {_Y} <> '')"""
+_N = len(conflicts.SOURCES)
+_I = f"floor({uniform_sql(43, 'seq')} * {_N})::INT"
+_J = f"({_I} + 1 + floor({uniform_sql(44, 'seq')} * {_N - 1})::INT) % {_N}"
+_R = "[" + ", ".join(str(r) for _, r in conflicts.SOURCES) + "]"
+_BLUR = lambda before, after: f"regexp_replace(o_name, '\\b(1\\d{{3}}|20\\d{{2}})\\b', '{before}' || {_Y}[1:3] || '0{after}', 'g')"
+GEN = f"""al AS (SELECT *, coalesce(lead(o_name) OVER w, first(o_name) OVER w) AS other, string_split(s_name, ' ') AS w {_OK} WINDOW w AS (PARTITION BY pred, o_type ORDER BY {draw_sql(45, 'seq')}, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ gen AS (SELECT seq, 'factual' AS kind, 'reject' AS action, s_name, pred, coalesce(nullif(other, o_name), 'not-' || o_name) AS o_name, 0.8::DOUBLE AS conf FROM al
+ UNION ALL SELECT seq, 'temporal', 'accept', s_name, pred, o_name || t, 0.8 FROM al, (VALUES {', '.join(f'({lit(t)})' for t in conflicts.TIMES)}) v(t)
+ UNION ALL SELECT seq, 'granularity', 'merge', s_name, {_MAP(conflicts.LADDER)}, o_name, 0.8 FROM al WHERE {_MAP(conflicts.LADDER)} IS NOT NULL
+ UNION ALL SELECT seq, 'entity_variant', 'merge', s_name[1] || '. ' || array_to_string(w[2:], ' '), pred, o_name, 0.8 FROM al WHERE len(w) > 1 UNION ALL SELECT seq, 'entity_variant', 'merge', w[-1] || ', ' || array_to_string(w[:-2], ' '), pred, o_name, 0.8 FROM al WHERE len(w) > 1
+ UNION ALL SELECT seq, 'implicit', 'reject', s_name, {_MAP(conflicts.CONTRARY)}, o_name, 0.8 FROM al WHERE {_MAP(conflicts.CONTRARY)} IS NOT NULL UNION ALL SELECT seq, 'negation', 'reject', s_name, 'NOT_' || pred, o_name, 0.8 FROM al
+ UNION ALL SELECT seq, 'modality', 'weight', s_name, pred, m || ' ' || o_name, c FROM al, (VALUES {', '.join(f'({lit(m)}, {c}::DOUBLE)' for m, c in conflicts.MARKERS)}) v(m, c)
+ UNION ALL SELECT seq, 'source_quality', 'weight', s_name, pred, o_name, {_R}[{_I} + 1] FROM al UNION ALL SELECT seq, 'source_quality', 'weight', s_name, pred, o_name, {_R}[{_J} + 1] FROM al
+ UNION ALL SELECT seq, 'schema', 'merge', s_name, coalesce({_MAP(conflicts.EQUIVALENT)}, 'schema:' || lower(pred)), o_name, 0.8 FROM al
+ UNION ALL SELECT seq, 'numerical', 'accept', s_name, pred, o_name, 0.95 FROM al WHERE {_Y} <> '' UNION ALL SELECT seq, 'numerical', 'merge', s_name, pred, {_BLUR('the ', 's')}, 0.75 FROM al WHERE {_Y} <> '' UNION ALL SELECT seq, 'numerical', 'merge', s_name, pred, {_BLUR('about ', '')}, 0.75 FROM al WHERE {_Y} <> '')"""
 
 
 @query(with_(FACTS, GEN) + "SELECT * FROM gen")
 def conflict_generate(spark, d):
-    """All kinds but source_quality, whose sources are drawn by a hash that SQL elsewhere doesn't have."""
-    return conflicts.generate(kg.facts(spark, d)).where("kind <> 'source_quality'")
+    return conflicts.generate(kg.facts(spark, d))
 
 
-@query(with_(FACTS, GEN) + f"SELECT kind, action, count(*) AS n FROM gen GROUP BY ALL UNION ALL SELECT 'source_quality', 'weight', count(*) {_OK}")
+@query(with_(FACTS, GEN) + "SELECT kind, action, count(*) AS n FROM gen GROUP BY ALL")
 def conflict_statistics(spark, d):
     return conflicts.statistics(conflicts.generate(kg.facts(spark, d)))
 
