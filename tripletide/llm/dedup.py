@@ -15,6 +15,7 @@ by comparing relation, names and numbers, not vectors.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import random
 import uuid
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import blank, join_checked, materialize, tables_dir
 from .canonical import match
-from .names import GIVEN, THING_WORDS, edits, read_any, same
+from .names import GIVEN, THING_WORDS, edits, forget, read_any, same
 from .neighbours import Tree, unit
 
 #: Numbers per name in a vector.
@@ -53,6 +54,19 @@ MERGE_AT = 8
 _code: dict[str, int] = {}
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def _tidy() -> None:
+    """Give freed memory back: Python workers stay, and what one keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def _hash(g: str) -> int:
     c = _code.get(g)
     if c is None:
@@ -62,7 +76,7 @@ def _hash(g: str) -> int:
     return c
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def _features(kind: str, core: str, extra: str) -> list[int]:
     if kind == "X":
         w = core.split(" ")
@@ -271,6 +285,8 @@ def facts(triples: DataFrame, configs: DataFrame, catalog: DataFrame) -> DataFra
             rows = pa.array(at, pa.int32())
             cols = [pa.array([got[i][side][j] for i in at], pa.string()) for side in (0, 1) for j in range(3)]
             yield pa.RecordBatch.from_arrays([*[b.column(i).take(rows) for i in range(4)], *cols], names=["seq", "batch_id", "ok", "rel", "sk", "sc", "sg", "ok_", "oc", "og"])
+        forget()
+        _tidy()
 
     t = t.select("seq", F.coalesce(F.col("batch_id").cast("int"), F.lit(0)).alias("batch_id"), (~F.col("validation_status").eqNullSafe("rejected")).alias("ok"), F.col("rel").cast("int"), "subject_name", "subject_type", "object_name", "object_type")
     return t.mapInArrow(run, "seq bigint, batch_id int, ok boolean, rel int, sk string, sc string, sg string, ok_ string, oc string, og string")
@@ -293,7 +309,7 @@ def visible(batch: int) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def _side(kind: str, core: str, extra: str) -> tuple[int, int, int, int, int]:
     """Of one name: code of the kind and what stands beside the core, of the kind and its first letter, pairs of neighbouring letters as 64 bits, how many of them may differ (an edit changes six bits at most, a swap of neighbours so many), flags."""
     text, bits = f"^{core}$", 0
@@ -586,7 +602,10 @@ class Index:
 
         def shard(key: tuple, t: pa.Table) -> pa.Table:
             made = build(Nodes(t.drop_columns(["cell", "home"]).combine_chunks()), np.random.default_rng(_hash(key[0].as_py())), recall)
-            return _shard_rows(key[0].as_py(), 0, 0, made)
+            rows = _shard_rows(key[0].as_py(), 0, 0, made)
+            del made
+            _tidy()
+            return rows
 
         routed = self._routed(nodes, False).repartition(self._spread(), "cell")
         self.state["history"].append(self._write(routed.groupBy("cell").applyInArrow(shard, SHARDS), "history"))
@@ -616,6 +635,7 @@ class Index:
             t = t.sort_by("node").combine_chunks()
             own = t.column("known").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
             home = t.column("home").to_numpy(zero_copy_only=False).tobytes()
+            _tidy()
             return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "asked": pa.array([Nodes(t.select(list(COLUMNS))).dump()], pa.binary()), "own": pa.array([own], pa.binary()), "at_home": pa.array([home], pa.binary())})
 
         routed = self._routed(nodes, True).join(known.withColumnRenamed("first", "known"), "node", "left").select("cell", "home", *COLUMNS, "known")
@@ -630,6 +650,8 @@ class Index:
                     best = {r: x for r, x in enumerate(own.tolist()) if x == x}
                     meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, np.arange(len(q.keys)), best)
                     yield _found_rows(q, best, own)
+                    del there, q
+                    _tidy()
 
         def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -642,6 +664,8 @@ class Index:
                     for (lo, hi), made in left.items():
                         for x in _shard_rows(cell, lo, hi, made).combine_chunks().to_batches():
                             yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.int64())] * 2 + x.columns, names=["node", "first", *_SHARD_NAMES])
+                    del q, left
+                    _tidy()
 
         # A row is a shard: batches of many would be held at once.
         at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"

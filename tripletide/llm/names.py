@@ -348,3 +348,9 @@ def forms(kind: str, core: str, extra: str) -> tuple[list[str], list[str]]:
     sought = short if n < 8 else short | _all_ends(core)
     lead = leads(kind, extra)
     return [f"{x}|{y}" for x in lead[0] for y in sorted(own)], [f"{x}|{y}" for x in lead[1] for y in sorted(sought)]
+
+
+def forget() -> None:
+    """Empty the caches of words and names."""
+    for f in (fold, _org, _given, _word, _hint, read_any):
+        f.cache_clear()
