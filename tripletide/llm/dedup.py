@@ -544,6 +544,8 @@ class Index:
 
     def _read(self, label: str, name: str) -> DataFrame:
         out = self.spark.read.parquet(f"{self.path}/{name}")
+        if label == "shards":
+            out = out.where("cell is not null").select(*_SHARD_NAMES)
         out._tide_path = f"{self.path}/{name}"
         return out
 
@@ -590,11 +592,11 @@ class Index:
     def append(self, nodes: DataFrame) -> None:
         """Index the history: nodes (COLUMNS) with an accepted row, unique by KEY. Segments above CELL nodes are cut by trees fitted on a sample of at most 2 x SAMPLE of them."""
         size = nodes.groupBy(_segment().alias("segment")).agg(F.count("*").alias("n"))
-        large = materialize(size.where(F.col("n") > CELL), "p2-large")  # a segment is a relation and two kinds
-        total = large.agg(F.sum("n")).first()[0]
-        if total and not self.state["sample"]:
-            share = int(min(1.0, SAMPLE / total) * (1 << 30))
-            s = nodes.withColumn("segment", _segment()).where(F.pmod(F.col("node"), F.lit(1 << 30)) < share).join(F.broadcast(large), "segment")
+        large = {r["segment"]: r["n"] for r in size.where(F.col("n") > CELL).collect()}  # a segment is a relation and two kinds
+        if large and not self.state["sample"]:
+            share = int(min(1.0, SAMPLE / sum(large.values())) * (1 << 30))
+            n = F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("segment"))
+            s = nodes.withColumn("segment", _segment()).where(F.pmod(F.col("node"), F.lit(1 << 30)) < share).withColumn("n", n).where("n is not null")
             self.state["sample"] = self._write(s.select("segment", "n", "node", *KEY).limit(2 * SAMPLE), "sample")
             self._fit(self._read("sample", self.state["sample"]))
 
@@ -613,8 +615,8 @@ class Index:
         self._commit()
 
     def _spread(self) -> int:
-        """Tasks for cells: some for each of the session's, so that large and small ones even out."""
-        return 4 * max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        """Tasks for cells: two for each core or as many as shuffles have, each of which writes a file."""
+        return max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
     def add(self, nodes: DataFrame) -> DataFrame:
         """(node, first): for nodes (COLUMNS, unique by KEY) of new batches the least accepted seq of all nodes of the same fact, stored or among them.
@@ -681,17 +683,20 @@ class Index:
         for name in [*self.state["history"], *self.state["batches"]]:
             met = join_checked(self._read("shards", name), packed, "cell").mapInArrow(walk, "node bigint, first bigint")
             out.append(materialize(met, "p2-met"))
-        fresh = materialize(packed.mapInArrow(among, "node bigint, first bigint, " + SHARDS), "p2-among")
-        out.append(fresh.where("node is not null").select("node", "first"))
-        self.state["batches"].append(self._write(fresh.where("cell is not null").select(*_SHARD_NAMES), "batches"))
+        # One table holds what was found, rows with a node, and the shards that are left, rows with a cell.
+        name = self._write(packed.mapInArrow(among, "node bigint, first bigint, " + SHARDS), "batches")
+        out.append(self._read("found", name).where("node is not null").select("node", "first"))
+        self.state["batches"].append(name)
         self.state["keys"].append(self._write(nodes.where("first_ok is not null").select("node", "first_ok"), "keys"))
         self._commit()
-        if len(self.state["batches"]) > MERGE_AT:
-            self.compact()
         found_ = out[0]
         for x in out[1:]:
             found_ = found_.union(x)
-        return found_.groupBy("node").agg(F.min("first").alias("first"))
+        found_ = found_.groupBy("node").agg(F.min("first").alias("first"))
+        if len(self.state["batches"]) > MERGE_AT:
+            found_ = materialize(found_, "p2-found")  # compaction deletes tables that it is read from
+            self.compact()
+        return found_
 
     def compact(self) -> None:
         """Merge the stored shards of batches, cell by cell, into one table; the history's stay. The tables before are deleted when the manifest names the new one."""
