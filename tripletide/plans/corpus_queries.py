@@ -54,8 +54,14 @@ def _chunks(name):
     return f
 
 
+_BLANK = r"[\s\pZ\x0b\x1c-\x1f\x85]"
+_END = lambda s: f"CASE WHEN {s} + 1000 >= n THEN n WHEN strpos(reverse(text[{s} + 102:{s} + 1000]), ' ') > 0 THEN {s} + 1000 - strpos(reverse(text[{s} + 102:{s} + 1000]), ' ') ELSE {s} + 1000 END"
+_FIXED = f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE regexp_replace(text, '{_BLANK}+', '', 'g') <> ''), walk AS (SELECT doc_id, 0::BIGINT AS s, ({_END('0')})::BIGINT AS e FROM d
+ UNION ALL SELECT doc_id, s, ({_END('s')})::BIGINT FROM (SELECT d.doc_id, text, n, greatest(e - 200, s + 1) AS s FROM walk JOIN d USING (doc_id) WHERE e < n)),
+ p AS (SELECT doc_id, s, e, regexp_replace(text[s + 1:e], '^{_BLANK}+|{_BLANK}+$', '', 'g') AS chunk FROM walk JOIN d USING (doc_id))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, s AS start_char, e AS end_char, chunk FROM p WHERE chunk <> ''"""
 for _s in ("fixed", "sentence", "paragraph"):
-    query(None)(_chunks(_s))
+    query(_FIXED if _s == "fixed" else None)(_chunks(_s))
 
 
 @query(None)

@@ -12,6 +12,7 @@ from ..operators import cascade, conflicts
 from ..runtime import table
 from .metric_queries import DEC, decisions
 from .sql import FACTS, lit, with_
+from .text_queries import CLAIM, TOKENS, norm_sql
 
 QUERIES, SQL = {}, {}
 
@@ -95,7 +96,12 @@ def qa_answer(spark, d):
     return qa.answer(_triples(spark, d), QUESTION)
 
 
-@query(None)
+_ANSWERS = f"""pr AS (SELECT f.seq, f.pred, CASE WHEN z.n >= 4 AND len(z.rest) > 0 AND length(z.obj) >= 2 THEN z.obj END AS prediction, f.o_name AS gold FROM facts f JOIN z USING (seq) WHERE f.text_ IS NOT NULL),
+ n AS (SELECT seq, pred, prediction, {norm_sql('prediction')} AS a, {norm_sql('gold')} AS b FROM pr)"""
+
+
+@query(with_(FACTS, *CLAIM, _ANSWERS, TOKENS) + """SELECT pred, count(*) AS n, round(avg((prediction IS NOT NULL AND a IS NOT DISTINCT FROM b)::INT), 6) AS exact, round(avg(f1), 6) AS f1, round(avg((f1 > 0)::INT), 6) AS found, 1.0::DOUBLE AS latency
+ FROM (SELECT n.*, coalesce(2 * (c / na) * (c / nb) / ((c / na) + (c / nb)), 0) AS f1 FROM n LEFT JOIN tot USING (seq) LEFT JOIN com USING (seq)) GROUP BY pred""")
 def qa_summary(spark, d):
     f = kg.facts(spark, d).where("text is not null")
     a = f.select("pred", tx.claim_parts(F.col("text"))["object"].alias("prediction"), F.col("o_name").alias("gold"), F.lit(1.0).alias("ms"))

@@ -101,12 +101,12 @@ def text_normal_answer(spark, d):
     return e.select("entity_id", tx.normal_answer(F.col("description")).alias("normal"), tx.normal_answer(F.col("description"), False).alias("normal_en"))
 
 
-_TOK = """bag AS (SELECT seq, side, w, count(*) AS n FROM (SELECT seq, 'a' AS side, unnest(string_split(a, ' ')) AS w FROM n UNION ALL SELECT seq, 'b', unnest(string_split(b, ' ')) FROM n) WHERE w <> '' GROUP BY ALL),
+TOKENS = """bag AS (SELECT seq, side, w, count(*) AS n FROM (SELECT seq, 'a' AS side, unnest(string_split(a, ' ')) AS w FROM n UNION ALL SELECT seq, 'b', unnest(string_split(b, ' ')) FROM n) WHERE w <> '' GROUP BY ALL),
  tot AS (SELECT seq, sum(n) FILTER (side = 'a') AS na, sum(n) FILTER (side = 'b') AS nb FROM bag GROUP BY seq),
  com AS (SELECT x.seq, sum(least(x.n, y.n)) AS c FROM bag x JOIN bag y ON x.seq = y.seq AND x.w = y.w AND x.side = 'a' AND y.side = 'b' GROUP BY x.seq)"""
 
 
-@query(with_(FACTS, f"n AS (SELECT seq, {norm_sql('text_')} AS a, {norm_sql('concat_ws(chr(32), s_name, o_name)')} AS b FROM facts)", _TOK)
+@query(with_(FACTS, f"n AS (SELECT seq, {norm_sql('text_')} AS a, {norm_sql('concat_ws(chr(32), s_name, o_name)')} AS b FROM facts)", TOKENS)
     + """SELECT n.seq, a IS NOT DISTINCT FROM b AS same, round(coalesce(2 * (c / na) * (c / nb) / ((c / na) + (c / nb)), 0), 6) AS f1, round(coalesce(c / na, 0), 6) AS prec, round(coalesce(c / nb, 0), 6) AS rec
  FROM n LEFT JOIN tot USING (seq) LEFT JOIN com USING (seq)""")
 def text_token_f1(spark, d):
@@ -135,11 +135,16 @@ def text_sentences(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.when(F.col("text").isNotNull(), F.size(s)).alias("n_sentences"), F.length(F.array_join(s, "")).alias("n_letters"))
 
 
-@query(with_(FACTS, """w AS (SELECT seq, list_filter(regexp_split_to_array(coalesce(text_, ''), '[\\s\\pZ]+'), lambda x: x <> '') AS w FROM facts)""",
+CLAIM = (
+    """w AS (SELECT seq, list_filter(regexp_split_to_array(coalesce(text_, ''), '[\\s\\pZ]+'), lambda x: x <> '') AS w FROM facts)""",
     "h AS (SELECT seq, w, len(w) AS n, list_position(list_transform(w, lambda x: x[1] = lower(x[1]) AND lower(x) NOT IN ('the', 'a', 'an')), true) AS pos_ FROM w)",
     "r AS (SELECT seq, w, n, CASE WHEN coalesce(pos_, 0) = 0 THEN n WHEN pos_ = 1 THEN least(n, 3) ELSE pos_ - 1 END AS head FROM h)",
     f"q AS (SELECT seq, w, n, head, w[head + 1:] AS rest, coalesce(list_position(list_transform(w[head + 1:], lambda x: lower(x) IN {inlist(('is', 'was', 'are', 'were', 'has', 'had', 'have', 'became', 'becomes'))}), true), 0) AS verb FROM r)",
-    "z AS (SELECT *, regexp_replace(array_to_string(rest[(CASE WHEN verb > 0 THEN CASE WHEN verb >= len(rest) THEN greatest(len(rest) - 4, 0) ELSE verb END ELSE 0 END) + 1:], ' '), '[.,!?;:]+$', '') AS obj FROM q)")
+    "z AS (SELECT *, regexp_replace(array_to_string(rest[(CASE WHEN verb > 0 THEN CASE WHEN verb >= len(rest) THEN greatest(len(rest) - 4, 0) ELSE verb END ELSE 0 END) + 1:], ' '), '[.,!?;:]+$', '') AS obj FROM q)",
+)
+
+
+@query(with_(FACTS, *CLAIM)
     + "SELECT seq, array_to_string(w[1:head], ' ') AS subject, CASE WHEN verb > 0 THEN upper(rest[verb]) ELSE 'STATES' END AS predicate, obj AS object FROM z WHERE n >= 4 AND len(rest) > 0 AND length(obj) >= 2")
 def text_claim_parts(spark, d):
     return kg.facts(spark, d).select("seq", tx.claim_parts(F.col("text")).alias("c")).where("c is not null").select("seq", "c.*")
