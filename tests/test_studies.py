@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tripletide import config
 from tripletide.functions import draws, prompts
 from tripletide.functions import text as tx
-from tripletide.operators import baselines, conflicts, experiments, generators, history, provenance, resolution
-from tripletide.sources import loaders
+from tripletide.operators import baselines, conflicts, embeddings, experiments, generators, history, provenance, resolution, store
+from tripletide.sources import loaders, sinks
 
 
 def test_draws_are_even_and_repeatable(spark):
@@ -155,3 +156,32 @@ def test_results_of_both_shapes(spark, tmp_path):
     assert got == {("a", "x", 1), ("a", "y", 2), ("b", "z", 3)}
     with pytest.raises(ValueError):
         loaders.results(spark, {})
+
+
+def test_translations_learn_what_goes_together(spark, make_facts):
+    rows = [(i * 10 + j, f"p{i}{j}", "Person", "WOHNT_IN", f"city{i}", "Ort") for i in range(4) for j in range(8)]
+    nodes, relations, losses = embeddings.train(make_facts(*rows, (999, None, "Person", "X", "q", "Ort")), dim=16, rate=0.05, epochs=200)
+    assert sum(losses[-10:]) < 0.5 * sum(losses[:10]) and set(relations) == {"WOHNT_IN"}
+    right = [embeddings.plausibility((f"p{i}{j}", "WOHNT_IN", f"city{i}"), nodes, relations) for i in range(4) for j in range(8)]
+    wrong = [embeddings.plausibility((f"p{i}{j}", "WOHNT_IN", f"city{(i + 1) % 4}"), nodes, relations) for i in range(4) for j in range(8)]
+    assert sum(a > b for a, b in zip(right, wrong)) >= 30
+    assert embeddings.plausibility(("nobody", "WOHNT_IN", "city1"), nodes, relations) is None and embeddings.train(make_facts(*rows).limit(0)) == ({}, {}, [])
+
+
+def test_stores_open_empty_or_from_a_folder(spark, tmp_path):
+    e, r = store.open_store(spark)
+    assert e.count() == r.count() == 0 and store.open_store(spark, str(tmp_path / "none"))[0].columns == e.columns
+    full = spark.createDataFrame([("x", "X")], "entity_id string, entity_name string")
+    sinks.save_snapshot({"entities": full, "relations": r}, str(tmp_path / "s"))
+    assert store.open_store(spark, str(tmp_path / "s"))[0].count() == 1
+
+
+def test_config(tmp_path):
+    (tmp_path / "c.json").write_text('{"consistency": {"high": 0.9}, "graph": null, "other": {"x": 1}}')
+    c = config.load(str(tmp_path / "c.json"), {"TRIPLETIDE_CONSISTENCY_HIGH": "0.8", "TRIPLETIDE_LLM_MODEL": "small", "TRIPLETIDE_OTHER_X": "2"})
+    assert c.threshold("high", 0.5) == 0.8 and c.threshold("medium", 0.7) == 0.7 and c.llm == {"model": "small"} and c.graph == {}
+    with pytest.raises(ValueError):
+        config.load(str(tmp_path / "c.json"), {"TRIPLETIDE_CONSISTENCY_HIGH": "7"}).threshold("high", 0.5)
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("consistency:\n  high: 0.75\n")
+    assert config.load(str(tmp_path / "c.yaml"), {}).threshold("high", 0.5) == 0.75

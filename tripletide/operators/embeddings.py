@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..functions.similarity import cosine, dot
 
 
@@ -49,3 +51,41 @@ def to_centroid(vectors: DataFrame, dim: int = 64) -> DataFrame:
     """(vec_id, label, similarity): cosine of each vector with the centroid of its own label."""
     c = centroids(vectors, dim)
     return vectors.where(F.size("embedding") == dim).join(c, "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("centroid")), 6).alias("similarity"))
+
+
+def train(edges: DataFrame, dim: int = 50, rate: float = 0.01, margin: float = 1.0, epochs: int = 100, seed: int = 42, most: int = 100_000) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray], list[float]]:
+    """(vectors of nodes, of relations, mean loss of each epoch): translations trained by margin ranking against edges with another end.
+
+    A small model for tests and demonstrations, fitted on the driver: of (seq, s_id, pred, o_id) at most ``most`` edges, those with the least draws, are used, and nodes and
+    relations that these do not hold get no vector. Node vectors keep length 1. Edges without an end or relation are left out; no edges give empty models.
+    """
+    e = edges.where("s_id is not null and pred is not null and o_id is not null").select("seq", "s_id", "pred", "o_id").distinct()
+    rows = e.orderBy(draw(seed, "seq"), "seq").limit(most).collect()
+    if not rows:
+        return {}, {}, []
+    nodes, relations = sorted({x for r in rows for x in (r["s_id"], r["o_id"])}), sorted({r["pred"] for r in rows})
+    at, rel = {x: i for i, x in enumerate(nodes)}, {x: i for i, x in enumerate(relations)}
+    h, r, t = (np.array(x) for x in zip(*((at[x["s_id"]], rel[x["pred"]], at[x["o_id"]]) for x in rows)))
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    v, w, losses = unit(rng.normal(size=(len(nodes), dim))), unit(rng.normal(size=(len(relations), dim))), []
+    for _ in range(epochs):
+        other = rng.integers(0, len(nodes), len(h))
+        good, bad = v[h] + w[r] - v[t], v[h] + w[r] - v[other]
+        loss = margin + np.linalg.norm(good, axis=1) - np.linalg.norm(bad, axis=1)
+        on = (loss > 0) & (other != t)
+        losses.append(float(np.maximum(loss, 0).mean()))
+        g, b = rate * unit(good)[on], rate * unit(bad)[on]
+        for where, step in ((h[on], b - g), (t[on], g), (other[on], -b)):
+            np.add.at(v, where, step)
+        np.add.at(w, r[on], b - g)
+        v = unit(v)
+    return dict(zip(nodes, v)), dict(zip(relations, w)), losses
+
+
+def plausibility(edge: tuple[str, str, str], nodes: dict[str, np.ndarray], relations: dict[str, np.ndarray]) -> float | None:
+    """Of (subject, relation, object), from 0 to 1, by `train`'s vectors; None where one of them has none."""
+    s, p, o = edge
+    if s not in nodes or o not in nodes or p not in relations:
+        return None
+    return float(1 / (1 + np.linalg.norm(nodes[s] + relations[p] - nodes[o])))

@@ -5,9 +5,29 @@ Entities and relations are rows that are never removed: deletion sets ``invalida
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Columns of the store's two tables.
+ENTITIES = (
+    "entity_id string, entity_name string, entity_type string, description string, aliases array<string>, props map<string,string>, embedding array<float>, created_at timestamp_ntz, "
+    "invalidated_at timestamp_ntz, valid_from timestamp_ntz, valid_until timestamp_ntz, confidence double, validation_status string, source_document string, fingerprint string"
+)
+RELATIONS = "relation_id string, source_id string, target_id string, relation_type string, confidence double, created_at timestamp_ntz, invalidated_at timestamp_ntz, validation_status string, source_document_id string"
+
+
+def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of a store without content: what clearing one leaves."""
+    return spark.createDataFrame([], ENTITIES), spark.createDataFrame([], RELATIONS)
+
+
+def open_store(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of the snapshot in a folder; an empty store without a folder or where it holds none."""
+    from ..sources.sinks import load_snapshot
+
+    got = load_snapshot(spark, path, ["entities", "relations"]) if path else None
+    return (got["entities"], got["relations"]) if got else empty(spark)
+
 
 def valid(df: DataFrame) -> DataFrame:
     return df.where("invalidated_at is null")

@@ -79,6 +79,14 @@ def source_gold_triples(spark, d):
     return loaders.gold_triples(loaders.hotpot(spark, _hotpot(spark, d)))
 
 
+_GOLD = f"{_PAIR.format(1, 'RELATED_TO', chr(116) + ' || ' + repr(' 2'), 0.85)} UNION ALL {_PAIR.format(2, 'RELATED_TO', chr(116) + ' || ' + repr(' 9'), 0.85)} UNION ALL {_PAIR.format(1, 'HAS_ANSWER', 'answer', 0.9)} WHERE length(answer) > 0"
+
+
+@query(f"WITH {_HOT}, g AS ({_GOLD}) SELECT *, 'hotpotqa_' || id AS source_document_id FROM g UNION ALL SELECT *, NULL FROM g")
+def source_sourced_triples(spark, d):
+    return loaders.sourced_triples(loaders.hotpot(spark, _hotpot(spark, d)))
+
+
 @query(f"WITH {_HOT} SELECT id, t || ' 1' AS subject, 'RELATED_TO' AS predicate, t || ' ' || k AS object FROM h, (VALUES (3), (4)) v(k)")
 def source_violating_triples(spark, d):
     return loaders.violating_triples(loaders.hotpot(spark, _hotpot(spark, d)))

@@ -107,6 +107,12 @@ def gold_triples(q: DataFrame) -> DataFrame:
     return q.select("id", F.explode(F.concat(rel, F.coalesce(ans, empty))).alias("x")).select("id", "x.*")
 
 
+def sourced_triples(q: DataFrame) -> DataFrame:
+    """(id, subject, predicate, object, confidence, source_document_id): `gold_triples` twice, with the example as their source and without one."""
+    g = gold_triples(q)
+    return g.withColumn("source_document_id", F.concat(F.lit("hotpotqa_"), "id")).unionByName(g.withColumn("source_document_id", F.lit(None).cast("string")))
+
+
 def violating_triples(q: DataFrame) -> DataFrame:
     """(id, subject, predicate, object): the first gold title with the first two titles that are not gold."""
     bad = F.slice(F.array_except("titles", "gold_titles"), 1, 2)
