@@ -185,3 +185,23 @@ def test_config(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("consistency:\n  high: 0.75\n")
     assert config.load(str(tmp_path / "c.yaml"), {}).threshold("high", 0.5) == 0.75
+
+
+def test_documents_are_ingested(spark, make_facts):
+    e = make_facts((1, "a", "Person", "KENNT", "b", "Person"), batch=0)
+    docs = spark.createDataFrame([(1, "Marie Curie was born in Warsaw. Marie Curie was born in Warsaw."), (2, None), (3, "")], "doc_id bigint, text string")
+    yes = lambda b, _: b.select("seq", F.lit("accepted").alias("status"))
+    v, graph = experiments.ingest_documents(docs, e, yes)
+    assert v.count() == v.select("seq").distinct().count() and graph.count() == 1 + v.count()
+    assert experiments.ingest_documents(docs.limit(0), e, yes)[1].count() == 1
+
+
+def test_many_questions_at_once(spark):
+    from tripletide.functions import qa
+
+    t = spark.createDataFrame([(1, "Ada", "LEITET", "Werk", None, "accepted"), (2, "Bo", "LEITET", "Haus", "x" * 200, "accepted"), (3, "Cy", "LEITET", "Werk", None, "rejected"), (1, "Ada", "LEITET", "Werk", None, "accepted")], "seq bigint, subject_name string, predicate string, object_name string, source_text string, validation_status string")
+    q = spark.createDataFrame([(1, "leitet Haus?"), (2, "nothing"), (3, None), (4, "LEITET werk")], "id int, question string")
+    got = {r["id"]: (r["answer"].split(" [")[0], r["n_facts"]) for r in qa.answers(q, t).collect()}
+    # By whole words "haus?" is none, so the earlier of two equal facts comes first; an answer needs two of the question's words in its line.
+    assert got == {1: ("Bo LEITET Haus", 2), 2: ("", 0), 3: ("", 0), 4: ("Ada LEITET Werk", 2)}
+    assert {(r["variant"], r["id"]): r["n_facts"] for r in qa.end_to_end(q, t).collect()}["without", 4] == 3

@@ -33,6 +33,36 @@ def answer(triples: DataFrame, question: str, k: int = 20) -> DataFrame:
     return g.select(F.coalesce("m.a", F.lit("")).alias("answer"), F.round(F.least(F.lit(0.9), 0.5 + F.coalesce("n", F.lit(0)) / 2000), 6).alias("confidence"), "n_facts")
 
 
+def answers(questions: DataFrame, triples: DataFrame, k: int = 20) -> DataFrame:
+    """(id, answer, confidence, n_facts) of many questions (id, question) at once: for each what `answer` gives for one; without a fact the answer is empty and the confidence .5.
+
+    Questions and accepted facts meet by their words; the best ``k`` facts of a question are kept before their texts are joined. Null questions are answered by nothing.
+    """
+    from ..operators.store import first_per
+
+    q = questions.select("id", F.coalesce(F.lower("question"), F.lit("")).alias("question"))
+    words = lambda c: F.filter(F.array_distinct(F.split(c, r"\s+")), lambda w: w != "")
+    t = triples.where("validation_status = 'accepted'").dropDuplicates(["seq"])
+    said = t.select("seq", F.explode(words(F.lower(F.concat_ws(" ", "subject_name", "predicate", "object_name")))).alias("w"))
+    hits = q.select("id", F.explode(words(F.col("question"))).alias("w")).join(said, "w").groupBy("id", "seq").agg(F.count("*").alias("score"))
+    hits = first_per(hits, ["id"], [F.col("score").desc(), F.col("seq")], k)
+    fact = F.concat_ws(" ", "subject_name", "predicate", "object_name")
+    line = F.concat(F.lit("- "), fact, F.coalesce(F.concat(F.lit(" ["), snippet(F.col("source_text")), F.lit("]")), F.lit("")))
+    j = hits.join(t.select("seq", line.alias("line")), "seq").join(q.withColumn("asked", words(F.replace("question", F.lit("?"), F.lit(" ")))), "id")
+    found = F.size(F.filter("asked", lambda w: F.lower("line").contains(w)))
+    text = F.trim(F.regexp_replace("line", r"^[^-]*-", ""))
+    best = F.min(F.when(found >= 2, F.struct((-F.col("score")).alias("s"), "seq", text.alias("a"))))
+    g = j.groupBy("id").agg(best.alias("m"), F.sum(F.length("line")).alias("n"), F.count("*").alias("n_facts"))
+    g = q.select("id").join(g, "id", "left")
+    return g.select("id", F.coalesce("m.a", F.lit("")).alias("answer"), F.round(F.least(F.lit(0.9), 0.5 + F.coalesce("n", F.lit(0)) / 2000), 6).alias("confidence"), F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+
+
+def end_to_end(questions: DataFrame, triples: DataFrame, k: int = 20) -> DataFrame:
+    """(variant, id, answer, confidence, n_facts): `answers` from all facts (without) and from accepted ones alone (with consistency)."""
+    one = lambda name, t: answers(questions, t, k).select(F.lit(name).alias("variant"), "*")
+    return one("without", triples.withColumn("validation_status", F.lit("accepted"))).unionByName(one("with", triples))
+
+
 def summary(answers: DataFrame, by: list[str] = []) -> DataFrame:
     """(by..., n, exact, f1, found, latency) of (prediction, gold, ms); a missing prediction counts as wrong."""
     s = token_f1(F.col("prediction"), F.col("gold"))["f1"]

@@ -113,6 +113,26 @@ def ingest(found: DataFrame, edges: DataFrame, decide: Decide) -> tuple[DataFram
     return v, edges.unionByName(found.join(v.where("status = 'accepted'").select("seq"), "seq", "left_semi").select(*edges.columns))
 
 
+def extracted(docs: DataFrame, strategy: str = "sentence") -> DataFrame:
+    """Facts in the columns that checks take, from documents (doc_id, text): chunked, extracted by patterns, ends keyed by fingerprint; ``seq`` is a hash of document and fact."""
+    from .. import kg
+    from ..functions import chunking, extraction
+
+    c = materialize(chunking.chunk(docs.select("doc_id", "text"), strategy), "ingest-chunks")
+    r = materialize(extraction.relations(c), "ingest-relations")
+    f = extraction.build(r, extraction.entities(c, r))
+    s, o = kg.fingerprint(F.col("subject"), F.col("s_type")), kg.fingerprint(F.col("object"), F.col("o_type"))
+    return f.select(
+        F.xxhash64("doc_id", "subject", "predicate", "object").alias("seq"), F.lit(1).alias("batch_id"), F.col("subject").alias("s_name"), "s_type", s.alias("s_id"), F.col("predicate").alias("pred"), F.col("object").alias("o_name"), "o_type", o.alias("o_id"),
+        F.col("confidence").alias("conf"), F.col("doc_id").cast("string").alias("doc"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("status"),
+    ).dropDuplicates(["seq"])
+
+
+def ingest_documents(docs: DataFrame, edges: DataFrame, decide: Decide) -> tuple[DataFrame, DataFrame]:
+    """`ingest` of what the documents say; files come as documents through `loaders.documents`."""
+    return ingest(materialize(extracted(docs), "ingest-facts"), edges, decide)
+
+
 def reasoning(a: Column, b: Column, name: Column, embedding: Column, same_type: Column, limit: float = 0.85) -> Column:
     """What was compared and decided for two records, as one line."""
     pct = lambda x: F.format_string("%.2f%%", x * 100)

@@ -96,6 +96,21 @@ def qa_answer(spark, d):
     return qa.answer(_triples(spark, d), QUESTION)
 
 
+_ASKED = r"""q AS (SELECT pred AS id, lower(pred || ' ' || min(o_name) || '?') AS question FROM facts WHERE pred IS NOT NULL AND o_name IS NOT NULL GROUP BY pred), qw AS (SELECT id, unnest(list_filter(list_distinct(regexp_split_to_array(question, '\s+')), lambda x: x <> '')) AS w FROM q),
+ t AS (SELECT DISTINCT seq, subject_name, predicate, object_name, source_text, validation_status FROM triples), tw AS (SELECT seq, validation_status, unnest(list_filter(list_distinct(regexp_split_to_array(lower(concat_ws(' ', subject_name, predicate, object_name)), '\s+')), lambda x: x <> '')) AS w FROM t)"""
+_ONE = r"""{v}h AS (SELECT id, seq, count(*) AS score FROM qw JOIN tw USING (w) WHERE {ok} GROUP BY id, seq QUALIFY row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, seq) <= 20),
+ {v}l AS (SELECT id, seq, score, '- ' || concat_ws(' ', subject_name, predicate, object_name) || coalesce(' [' || CASE WHEN length(source_text) > 100 THEN source_text[1:100] || '...' ELSE source_text END || ']', '') AS line, question FROM {v}h JOIN t USING (seq) JOIN q USING (id)),
+ {v} AS (SELECT '{v}' AS variant, q.id, coalesce(arg_min(trim(regexp_replace(line, '^[^-]*-', ''), ' '), (-score, seq)) FILTER (len(list_filter(list_distinct(regexp_split_to_array(replace(l.question, '?', ' '), '\s+')), lambda x: x <> '' AND contains(lower(line), x))) >= 2), '') AS answer,
+ round(least(0.9, 0.5 + coalesce(sum(length(line)), 0) / 2000), 6) AS confidence, count(line) AS n_facts FROM q LEFT JOIN {v}l l ON l.id = q.id GROUP BY q.id)"""
+
+
+@query(with_(FACTS, _ASKED, _ONE.format(v="without_", ok="true"), _ONE.format(v="with_", ok="validation_status = 'accepted'")) + "SELECT replace(variant, '_', '') AS variant, id, answer, confidence, n_facts FROM (SELECT * FROM without_ UNION ALL SELECT * FROM with_)")
+def qa_end_to_end(spark, d):
+    """A question for each relation, with its first object by name."""
+    f = kg.facts(spark, d).where("pred is not null and o_name is not null")
+    return qa.end_to_end(f.groupBy(F.col("pred").alias("id")).agg(F.concat(F.first("pred"), F.lit(" "), F.min("o_name"), F.lit("?")).alias("question")), _triples(spark, d))
+
+
 _ANSWERS = f"""pr AS (SELECT f.seq, f.pred, CASE WHEN z.n >= 4 AND len(z.rest) > 0 AND length(z.obj) >= 2 THEN z.obj END AS prediction, f.o_name AS gold FROM facts f JOIN z USING (seq) WHERE f.text_ IS NOT NULL),
  n AS (SELECT seq, pred, prediction, {norm_sql('prediction')} AS a, {norm_sql('gold')} AS b FROM pr)"""
 

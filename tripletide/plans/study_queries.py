@@ -237,6 +237,12 @@ def pipeline_ingest(spark, d):
     return ex.ingest(b, e, _decide)[1].select("seq", "s_id", "pred", "o_id")
 
 
+@query(None)
+def pipeline_documents(spark, d):
+    """Documents to verdicts: chunked, extracted, checked against the graph."""
+    return ex.ingest_documents(table(spark, d, "documents", "doc_id", "text"), parts(spark, d)[1], _decide)[0]
+
+
 @query("""SELECT x.entity_id AS a, y.entity_id AS b, concat_ws(' | ', '''' || x.entity_name || ''' and ''' || y.entity_name || '''', 'names 90.00%', 'vectors 80.00%', 'both 86.00%', 'limit 85.00%', CASE WHEN x.entity_type = y.entity_type THEN 'duplicate, to be merged' ELSE 'no duplicate: types differ' END) AS reasoning
  FROM entities x JOIN entities y ON x.fingerprint = y.fingerprint AND x.entity_id < y.entity_id""")
 def resolution_reasoning(spark, d):
@@ -265,6 +271,30 @@ def prompt_verify(spark, d):
     return parts(spark, d)[0].select("seq", prompts.verify(F.col("s_name"), F.col("pred"), F.col("o_name"), F.col("text")).alias("prompt"))
 
 
+@query(with_(FACTS) + """SELECT seq, 'What is to be done? Answer {"action": "accept", "reject", "merge" or "human_review", "confidence": 0 to 1}.' || chr(10) || 'New fact: (' || s_name || ', ' || pred || ', ' || o_name || ')' || chr(10) || 'Conflict: cardinality' || chr(10) || 'Known:' || chr(10) || coalesce(text_, 'nothing') AS prompt FROM batch""")
+def prompt_arbitrate(spark, d):
+    return parts(spark, d)[0].select("seq", prompts.arbitrate(F.col("s_name"), F.col("pred"), F.col("o_name"), F.lit("cardinality"), F.col("text")).alias("prompt"))
+
+
+_SHOT = [("Ada Bonn leads the works.", [("Ada Bonn", "LEITET", "works")])]
+_HEAD = "List the facts that the text states, as a JSON list of objects with subject, predicate, object and confidence. Relations: LEITET, KENNT. Types: Person, Ort."
+_EXAMPLE = 'Text: Ada Bonn leads the works.\nFacts: [{"subject": "Ada Bonn", "predicate": "LEITET", "object": "works"}]'
+
+
+@query(f"SELECT doc_id, {lit(_HEAD)} || chr(10) || {' || chr(10) || '.join(map(lit, _EXAMPLE.split(chr(10))))} || chr(10) || chr(10) || 'Text: ' || text AS prompt FROM documents WHERE text IS NOT NULL")
+def prompt_extract(spark, d):
+    """Extraction with a worked example."""
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", prompts.extract(F.col("text"), ["LEITET", "KENNT"], ["Person", "Ort"], prompts.examples(_SHOT)).alias("prompt"))
+
+
+@query(with_(FACTS) + "SELECT seq, s_name AS subject, pred AS predicate, o_name AS object, 0.5::DOUBLE AS confidence FROM batch WHERE seq % 2 = 0")
+def prompt_extracted(spark, d):
+    """Answers with a list of one fact, or with none that can be read."""
+    fact = F.to_json(F.array(F.struct(F.col("s_name").alias("subject"), F.col("pred").alias("predicate"), F.col("o_name").alias("object"), F.lit(0.5).alias("confidence"))))
+    said = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("Here: "), fact)).otherwise("none, sorry")
+    return parts(spark, d)[0].select("seq", F.explode(prompts.extracted(said)).alias("x")).select("seq", "x.*")
+
+
 _ANSWER = "CASE seq % 4 WHEN 0 THEN 'Sure: {\"is_true\": true, \"confidence\": 0.9}' WHEN 1 THEN '{\"is_true\": false}' WHEN 2 THEN '{\"is_true\": null, \"confidence\": 0.2}' ELSE 'no idea' END"
 
 
