@@ -184,7 +184,6 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     tree = Tree(x, max(2, -(-len(x) // leaves)))
     probes = np.unique(np.linspace(0, len(x) - 1, min(PROBES, len(x))).astype(int))
     visits = calibrate(v, tree, [ids[i] for i in probes], _matrix(sample, dim)[probes], k, min_cosine, recall) if tree.n_leaves > 1 else 1
-    narrow = np.int16 if tree.n_leaves < 1 << 15 else np.int32
     shared = spark.sparkContext.broadcast(tree)  # at most MOST_SAMPLE / PER_LEAF leaves and their ancestors
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,21 +202,21 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             rows, at = np.concatenate(rows), np.concatenate(at)
             blob = raw.tobytes()
             vec = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((np.arange(len(raw) + 1) * dim * 4).astype(np.int32).tobytes()), pa.py_buffer(blob)])
-            wide = way.shape[1] * narrow().itemsize
-            lists = pa.Array.from_buffers(pa.binary(), len(way), [None, pa.py_buffer((np.arange(len(way) + 1) * wide).astype(np.int32).tobytes()), pa.py_buffer(way.astype(narrow).tobytes())])
+            # Of a row's leaves only those of the bucket go along: its own, if it lies there, and those it visits, a bit each.
+            there, leaf = bucket[rows] == at[:, None], way[rows] % BUCKET_LEAVES
+            home, asks = np.where(there[:, 0], leaf[:, 0], -1), np.where(there, 1 << leaf, 0).sum(1)
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0).take(take), vec.take(take), lists.take(take)], names=["bucket", "id", "v", "way"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column(0).take(take), vec.take(take), pa.array(home.astype(np.int16)), pa.array(asks.astype(np.int32))], names=["bucket", "id", "v", "home", "asks"])
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
         names = np.array(t.column("id").to_pylist(), dtype=object)
         names, pick = np.unique(names, return_index=True)  # a repeated id counts once; ids are numbered in their order
         raw = _matrix(t.column("v").combine_chunks(), dim)[pick]
-        way = np.frombuffer(b"".join(t.column("way").to_pylist()), narrow).reshape(t.num_rows, -1)[pick]
+        home, visited = t.column("home").to_numpy()[pick], t.column("asks").to_numpy()[pick]
         u = unit(raw)
         got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for leaf in range(bucket * BUCKET_LEAVES, (bucket + 1) * BUCKET_LEAVES):
-            data, asks = np.flatnonzero(way[:, 0] == leaf), np.flatnonzero((way == leaf).any(1))
+        for leaf in range(BUCKET_LEAVES):
+            data, asks = np.flatnonzero(home == leaf), np.flatnonzero(visited >> leaf & 1)
             for q, data in _blocks(u, asks, data, k, recall):
                 s = u[q] @ u[data].T
                 s[q[:, None] == data[None, :]] = -9
@@ -249,7 +248,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             c = np.zeros(0)
         return pa.table({"id": pa.array(names[a].tolist(), pa.string()), "other": pa.array(names[b].tolist(), pa.string()), "cosine": pa.array(c)})
 
-    routed = v.mapInArrow(route, "bucket int, id string, v binary, way binary")
+    routed = v.mapInArrow(route, "bucket int, id string, v binary, home smallint, asks int")
     met = routed.groupBy("bucket").applyInArrow(meet, out_schema).repartition("id")  # one shuffle for what follows
     order = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other")
     best = met.dropDuplicates(["id", "other"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
