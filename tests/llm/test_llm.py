@@ -494,3 +494,53 @@ def test_same_as_sql(spark, small, name):
     from tests.test_oracle import compare
 
     compare(spark, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_blocks_lose_no_pair():
+    """What `same` accepts lies in a block that is asked: initials, given names that are no known ones, several sectors."""
+    extras = {"P": ["", "a", "anna", "antonia", "antonja", "bntonia", "ulrike", "ulrika"], "O": ["", "werke", "verein", "verein+werke"], "X": ["", "7", "27"]}
+    sides = [(k, "munebral", e) for k in extras for e in extras[k]]
+    keys = [(*a, 1, *b) for a in sides for b in sides]
+    cut = {f"1|{a}|{b}": 5 for a in extras for b in extras}
+    own = {k: dedup.Cells({}, 0.98, {}, cut, []).blocks(k, True)[0] for k in keys}
+    cells = dedup.Cells({}, 0.98, {}, cut, sorted(set(own.values())))
+    for f in keys:
+        asked = cells.blocks(f, True)
+        assert asked[0] == own[f] and len(set(asked)) == len(asked)
+        assert {own[g] for g in keys if names.same(f[:3], g[:3]) and names.same(f[4:], g[4:])} <= set(asked)
+    assert cells.blocks(("P", "munebral", "anna", 2, "X", "b", ""), True) == ["2|P|X"]
+
+
+def test_index_holds_few_at_once(spark, monkeypatch):
+    """However many nodes and queries share a cell, a task holds a part of either; what comes out is as by brute force."""
+    for name, most in (("CELL", 150), ("SHARD", 60), ("ASKED", 40)):
+        monkeypatch.setattr(dedup, name, most, raising=False)
+    written, write = {}, dedup.materialize
+
+    def keep(df, label="t", **options):
+        written[label] = write(df, label, **options)
+        return written[label]
+
+    monkeypatch.setattr(dedup, "materialize", keep)
+    rng = random.Random(3)
+    base = [("P", a, rng.choice(["anna", "anna", "anna", "ulrike", "u"]), 1, "X", b, "") for a, b in zip(words_for(250, rng), words_for(250, rng))]
+    bent = [(*f[:5], (lambda w, p: w[:p] + "x" + w[p + 1 :])(f[5], rng.randrange(len(f[5]))), "") for f in base for _ in range(2)]
+    facts_ = list(dict.fromkeys(base + bent))
+    rng.shuffle(facts_)
+    when = sorted(rng.choice([0, 0, 1, 2, 3]) for _ in facts_)
+    rows = [(i, i, when[i], when[i], *f) for i, f in enumerate(facts_)]
+    index = dedup.Index(spark)
+    index.append(spark.createDataFrame([r for r in rows if not r[3]], FACTS))
+    got = {r["node"]: r["first"] for r in index.add(spark.createDataFrame([r for r in rows if r[3]], FACTS)).collect()}
+    ok = lambda f, g: f[3] == g[3] and names.same(f[:3], g[:3]) and names.same(f[4:], g[4:])
+    want = {r[0]: min(o[1] for o in rows if o[3] <= r[3] and ok(r[4:], o[4:])) for r in rows if r[3]}
+    assert set(got) == set(want) and sum(got[i] == x for i, x in want.items()) >= 0.98 * len(want)
+    held = lambda df, column: [len(dedup.Nodes.load(r[column]).keys) for r in df.collect()]
+    assert max(held(written["p2-asked"], "asked")) <= 40
+    for name in index.state["history"] + index.state["batches"]:
+        assert max(held(index._read("shards", name), "data")) <= 60
+    merged = dedup.Index(spark, index.path)
+    assert merged.cells.there == index.cells.there
+    assert {r["node"]: r["first"] for r in merged.add(spark.createDataFrame([(10_000, 10_000, 9, 9, *base[0])], FACTS)).collect()}[10_000] < 10_000
+    merged.compact()
+    assert max(held(merged._read("shards", merged.state["batches"][0]), "data")) <= 60

@@ -2,7 +2,9 @@
 
 Rows that state one fact in one canonical writing (`names.read_any` for both things, the catalogue's number for the relation) are one
 node, with the earliest accepted row behind it. Nodes that can mean one fact agree in the relation and in the kinds of both things: these make
-a segment, and a segment of more than CELL nodes is cut into cells by a coarse tree (as in `neighbours`), of which a query visits as many as calibration asks for.
+a segment. A segment of more than CELL nodes is cut into blocks by what stands beside the cores (given names, sectors, numbers), which `same` compares too, so a query asks only the blocks where it can mean
+something and loses none. A block of more than CELL nodes is cut into cells by a coarse tree (as in `neighbours`), of which a query visits as many as calibration asks for.
+However many nodes or queries a cell has, a task holds SHARD of its nodes and ASKED of its queries at once.
 A node's vector hashes the letters' triples of both names.
 
 An `Index` keeps, in the shared folder, the shards of each cell: at most SHARD nodes and their small-world graph, in which every node is linked to its nearest ones,
@@ -21,6 +23,7 @@ import random
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +53,10 @@ MOST, TUNED = 8, 256
 SAMPLE, PROBES = 262_144, 1500
 #: Stored tables of batches' shards from which `add` compacts.
 MERGE_AT = 8
+#: Queries of a cell that are held at once; parts, for each side, that a segment is cut into at most; facts that are routed at once.
+ASKED, PARTS, ROUTED = 16_384, 32, 2048
+#: Rows with a whole shard or its queries are large: the writer looks at the size after each, a reader takes one row group of them.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 _code: dict[str, int] = {}
 
@@ -91,6 +98,13 @@ def _features(kind: str, core: str, extra: str) -> list[int]:
 
 def vectors(facts: list[tuple]) -> np.ndarray:
     """Unit vectors of facts (s kind, s core, s given, relation, o kind, o core, o given); the relation is no part of them."""
+    out = np.zeros((len(facts), DIM), np.float32)
+    for lo in range(0, len(facts), 4096):  # what lies between is many times as large
+        out[lo : lo + 4096] = _vectors(facts[lo : lo + 4096])
+    return out
+
+
+def _vectors(facts: list[tuple]) -> np.ndarray:
     out = np.zeros((len(facts), DIM), np.float32)
     for part in (0, 4):
         rows, codes = [], []
@@ -435,8 +449,8 @@ def build(nodes: Nodes, rng: np.random.Generator, recall: float) -> list[tuple[N
     return out
 
 
-def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, best: dict[int, float]) -> None:
-    """Lower ``best[row]``, the least accepted seq known of a query's fact, for ``rows`` of ``q`` by what the shards hold."""
+def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, best: dict[int, float], later: bool = True) -> None:
+    """Lower ``best[row]``, the least accepted seq known of a query's fact, for ``rows`` of ``q`` by what the shards hold; without ``later`` not by nodes of batches after the query's."""
 
     def means(f: tuple, g: tuple) -> bool:
         return same(f[:3], g[:3]) and same(f[4:], g[4:])
@@ -449,6 +463,8 @@ def meet(shards: list[tuple[Nodes, Graph]], q: Nodes, rows: np.ndarray, best: di
         i, j = graph.meet(q.v[rows], graph.beam or len(graph.x), whole)
         known = np.array([best.get(r, np.inf) for r in rows.tolist()])
         early = there.ok[j] < known[i]  # a later match changes nothing
+        if not later:
+            early &= there.first[j] <= q.last[rows[i]]
         i, j = i[early], j[early]
         hit = np.flatnonzero(both.plausible(i, n + j))
         hit = hit[np.argsort(there.ok[j[hit]], kind="stable")]  # the first match of a row is its earliest
@@ -478,24 +494,64 @@ def meet_batches(q: Nodes, home: np.ndarray, recall: float, rng: np.random.Gener
     return best, {(named[lo], named[hi]): x for (lo, hi), x in shards.items()}
 
 
+@lru_cache(20_000)
+def _parts(kind: str, extra: str, n: int) -> tuple[str, tuple[str, ...]]:
+    """Of one name, by what stands beside its core: its part, of ``n`` for names that go by equality, and all parts with names that `same` may accept, its own among them."""
+    whole, first, _, _, flags = _side(kind, "", extra)
+    every, initials = tuple(str(i) for i in range(n)), f"i{first % n}"
+    if flags >> 2 & 1:  # loose
+        return "~", ("~", initials, *every)
+    if flags & 1:
+        return initials, ("~", initials, *every)
+    own = str(whole % n)
+    return own, ("~", initials, own)
+
+
 class Cells:
-    """The trees of the segments with more than CELL nodes, and how far from its own cell a query looks."""
+    """How segments of more than CELL nodes are cut: ``cut``, into how many parts on each side, ``there``, the blocks with nodes that are held; of blocks with more than CELL nodes the trees, and how far from its own cell a query looks."""
 
-    def __init__(self, trees: dict[str, Tree], recall: float, samples: dict[str, list[tuple]]):
+    def __init__(self, trees: dict[str, Tree], recall: float, samples: dict[str, list[tuple]], cut: dict[str, int], there: list[str]):
         self.trees, self.most, self.margin = trees, 1, 0.0
+        self.cut, self.there = cut, frozenset(there)
         rng = random.Random(3)
-        for segment, tree in sorted(trees.items()):
+        for block, tree in sorted(trees.items()):
             # Probes: sampled facts, misspelt as far as `same` allows; their match lies in the cell of what they were.
-            keys = samples[segment]
+            keys = samples[block]
             keys = keys[:: max(1, len(keys) * len(trees) // PROBES)]
             most, margin = _widen(tree, vectors([_misspelt(k, rng) for k in keys]), np.arange(len(keys)), tree.search(vectors(keys), 1)[:, 0], recall)
             self.most, self.margin = max(self.most, most), max(self.margin, margin)
 
-    def route(self, segment: str, keys: list[tuple], asks: bool) -> np.ndarray:
+    def blocks(self, key: tuple, asks: bool) -> list[str]:
+        """Blocks of a fact, its own first; ``asks``: others that hold what it may mean."""
+        segment = f"{key[3]}|{key[0]}|{key[4]}"
+        n = self.cut.get(segment)
+        if not n:
+            return [segment]
+        (s, s_all), (o, o_all) = _parts(key[0], key[2], n), _parts(key[4], key[6], n)
+        own = f"{segment}|{s}.{o}"
+        return [own, *sorted({f"{segment}|{x}.{y}" for x in s_all for y in o_all} & self.there - {own})] if asks else [own]
+
+    def route(self, block: str, keys: list[tuple], asks: bool) -> np.ndarray:
         """Leaves of each fact, its own first; -1 pads. ``asks``: as far as matches are to be looked for."""
-        tree, v = self.trees[segment], vectors(keys)
+        tree, v = self.trees[block], vectors(keys)
         return _cells(tree, v, min(self.most, tree.n_leaves), self.margin) if asks else tree.search(v, 1)
 
+    def routed(self, keys: list[tuple], asks: bool) -> tuple[list[int], list[str], list[bool]]:
+        """(row, cell, home): the cell of each fact, and with ``asks`` others where it is to be looked for."""
+        by: dict[tuple[str, bool], list[int]] = {}
+        for i, k in enumerate(keys):
+            for j, block in enumerate(self.blocks(k, asks)):
+                by.setdefault((block, j == 0), []).append(i)
+        row, cell, home = [], [], []
+        for (block, own), at in by.items():
+            if block not in self.trees:
+                row, cell, home = row + at, cell + [block] * len(at), home + [own] * len(at)
+                continue
+            way = self.route(block, [keys[i] for i in at], asks)
+            i, j = np.nonzero(way >= 0)
+            row, cell, home = row + np.array(at)[i].tolist(), cell + [f"{block}|{z}" for z in way[i, j].tolist()], home + [own and x for x in (j == 0).tolist()]
+        return row, cell, home
+
 
 def _misspelt(key: tuple, rng: random.Random) -> tuple:
     """A fact with as many letters of its names changed as are allowed, in at least one of them."""
@@ -524,14 +580,13 @@ class Index:
         self.spark, self.recall = spark, recall
         self.path = path or f"{tables_dir(spark)}/p2-index-{uuid.uuid4().hex}"
         self.cells: Cells | None = None
-        self.state: dict = {"version": 0, "history": [], "batches": [], "keys": [], "sample": None}
+        self.state: dict = {"version": 0, "history": [], "batches": [], "keys": [], "sample": None, "cut": {}, "blocks": []}
         fs = self._fs()
         at = fs[0].globStatus(fs[1](f"{self.path}/manifest-*"))
         if at:
             newest = max((x.getPath().getName() for x in at), key=lambda n: int(n.split("-")[1]))
-            self.state = json.loads(spark.read.text(f"{self.path}/{newest}").first()[0])
-            if self.state["sample"]:
-                self._fit(self._read("sample", self.state["sample"]))
+            self.state |= json.loads(spark.read.text(f"{self.path}/{newest}").first()[0])
+            self._fit()
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -539,7 +594,7 @@ class Index:
 
     def _write(self, df: DataFrame, label: str) -> str:
         name = f"{label}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.options(**LARGE_ROWS if label in ("history", "batches") else {}).parquet(f"{self.path}/{name}")
         return name
 
     def _read(self, label: str, name: str) -> DataFrame:
@@ -553,67 +608,87 @@ class Index:
         self.state["version"] += 1
         self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.text(f"{self.path}/manifest-{self.state['version']}")
 
-    def _fit(self, sample: DataFrame) -> None:
-        """Trees from the stored sample (at most 2 x SAMPLE facts)."""
+    def _fit(self) -> None:
+        """Cells, with trees from the stored sample (at most 2 x SAMPLE facts)."""
         by: dict[str, list[tuple]] = {}
-        rows = sample.toArrow().sort_by("node")
-        for segment, n, key in zip(rows.column("segment").to_pylist(), rows.column("n").to_pylist(), _keys(rows)):
-            by.setdefault(segment, []).append((n, key))
+        if self.state["sample"]:
+            rows = self._read("sample", self.state["sample"]).toArrow().sort_by("node")
+            for segment, n, key in zip(rows.column("segment").to_pylist(), rows.column("n").to_pylist(), _keys(rows)):
+                by.setdefault(segment, []).append((n, key))
         keys = {x: [k for _, k in z] for x, z in by.items()}
         trees = {x: Tree(vectors(keys[x]), max(2, -(-len(z) * CELL // z[0][0]))) for x, z in by.items()}
-        self.cells = Cells(trees, self.recall, keys) if trees else None
+        self.cells = Cells(trees, self.recall, keys, self.state["cut"], self.state["blocks"]) if trees or self.state["cut"] else None
 
     def _routed(self, nodes: DataFrame, asks: bool) -> DataFrame:
-        """Nodes with (cell, home); those of cut segments go to their leaf, as queries also to others."""
+        """Nodes with (cell, home); those of cut segments go to their block, and its leaf, as queries also to others."""
         x = nodes.select(_segment().alias("cell"), F.lit(True).alias("home"), *COLUMNS)
         if self.cells is None:
             return x
-        # The trees of at most 2 x SAMPLE facts, cut to CELL: bounded.
+        # The trees of at most 2 x SAMPLE facts, cut to CELL, and the names of blocks: bounded.
         shared = self.spark.sparkContext.broadcast(self.cells)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
-            for b in batches:
-                segment = np.array(b.column("cell").to_pylist(), object)
-                row, cell, home = [], [], []
-                for s in set(segment.tolist()):
-                    at = np.flatnonzero(segment == s)
-                    if s not in c.trees:
-                        row, cell, home = row + at.tolist(), cell + [s] * len(at), home + [True] * len(at)
-                        continue
-                    way = c.route(s, [tuple(k) for k in zip(*(b.column(x).take(pa.array(at)).to_pylist() for x in KEY))], asks)
-                    i, j = np.nonzero(way >= 0)
-                    row, cell, home = row + at[i].tolist(), cell + [f"{s}|{z}" for z in way[i, j].tolist()], home + (j == 0).tolist()
-                rest = b.select(list(COLUMNS)).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(home, pa.bool_()), *rest.columns], names=["cell", "home", *COLUMNS])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, ROUTED):
+                    b = whole.slice(lo, ROUTED)
+                    row, cell, home = c.routed(_keys(b), asks)
+                    rest = b.select(list(COLUMNS)).take(pa.array(row, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.string()), pa.array(home, pa.bool_()), *rest.columns], names=["cell", "home", *COLUMNS])
 
         return x.mapInArrow(run, "cell string, home boolean, " + NODE)
 
+    def _blocks(self, nodes: DataFrame) -> dict[str, int]:
+        """Nodes by block of the segments that are cut: at most (2 x PARTS + 1) ** 2 of each."""
+        shared = self.spark.sparkContext.broadcast(self.cells)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value.blocks(k, False)[0] for k in _keys(b)], pa.string())], names=["block"])
+
+        cut = nodes.where(_segment().isin(list(self.state["cut"]))).select(*KEY).mapInArrow(run, "block string")
+        return {r["block"]: r["n"] for r in cut.groupBy("block").agg(F.count("*").alias("n")).collect()}
+
     def append(self, nodes: DataFrame) -> None:
-        """Index the history: nodes (COLUMNS) with an accepted row, unique by KEY. Segments above CELL nodes are cut by trees fitted on a sample of at most 2 x SAMPLE of them."""
+        """Index the history: nodes (COLUMNS) with an accepted row, unique by KEY. Segments above CELL nodes are cut into blocks, blocks above CELL nodes by trees fitted on a sample of at most 2 x SAMPLE of them."""
         size = nodes.groupBy(_segment().alias("segment")).agg(F.count("*").alias("n"))
-        large = {r["segment"]: r["n"] for r in size.where(F.col("n") > CELL).collect()}  # a segment is a relation and two kinds
-        if large and not self.state["sample"]:
-            share = int(min(1.0, SAMPLE / sum(large.values())) * (1 << 30))
-            n = F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("segment"))
-            s = nodes.withColumn("segment", _segment()).where(F.pmod(F.col("node"), F.lit(1 << 30)) < share).withColumn("n", n).where("n is not null")
-            self.state["sample"] = self._write(s.select("segment", "n", "node", *KEY).limit(2 * SAMPLE), "sample")
-            self._fit(self._read("sample", self.state["sample"]))
+        cut = {r["segment"]: min(PARTS, -(-r["n"] // CELL)) for r in size.where(F.col("n") > CELL).collect()}  # a segment is a relation and two kinds
+        if cut and not self.state["cut"] and not self.state["sample"]:
+            nodes = materialize(nodes.select(*COLUMNS), "p2-history")
+            self.state["cut"] = cut
+            self._fit()
+            blocks = self._blocks(nodes)
+            self.state["blocks"] = sorted(blocks)
+            large = {x: n for x, n in blocks.items() if n > CELL}
+            if large:
+                share = int(min(1.0, SAMPLE / sum(large.values())) * (1 << 30))
+                n = F.element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("cell"))
+                s = self._routed(nodes.where(F.pmod(F.col("node"), F.lit(1 << 30)) < share), False).withColumn("n", n).where("n is not null")
+                self.state["sample"] = self._write(s.select(F.col("cell").alias("segment"), "n", "node", *KEY).limit(2 * SAMPLE), "sample")
+            self._fit()
+        elif self.state["cut"]:
+            self._more(nodes)
 
         recall = self.recall
 
-        def shard(key: tuple, t: pa.Table) -> pa.Table:
-            made = build(Nodes(t.drop_columns(["cell", "home"]).combine_chunks()), np.random.default_rng(_hash(key[0].as_py())), recall)
-            rows = _shard_rows(key[0].as_py(), 0, 0, made)
-            del made
-            _tidy()
-            return rows
+        def shard(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = key[0].as_py()
+            rng = np.random.default_rng(_hash(cell))
+            for t, _ in _pieces(batches, SHARD):
+                yield from _shard_rows(cell, 0, 0, build(Nodes(t.select(list(COLUMNS)).combine_chunks()), rng, recall)).to_batches()
+                del t
+                _tidy()
 
-        routed = self._routed(nodes, False).repartition(self._spread(), "cell")
+        routed = self._routed(nodes, False).repartition(self._spread(), "cell").sortWithinPartitions("cell", "first_ok", "node")
         self.state["history"].append(self._write(routed.groupBy("cell").applyInArrow(shard, SHARDS), "history"))
         self.state["keys"].append(self._write(nodes.select("node", "first_ok"), "keys"))
         self._commit()
 
+    def _more(self, nodes: DataFrame) -> None:
+        """Note the blocks of further nodes."""
+        self.state["blocks"] = sorted({*self.state["blocks"], *self._blocks(nodes.where("first_ok is not null"))})
+        self.cells.there = frozenset(self.state["blocks"])
+
     def _spread(self) -> int:
         """Tasks for cells: two for each core or as many as shuffles have, each of which writes a file."""
         return max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
@@ -632,29 +707,40 @@ class Index:
             exact = k if exact is None else exact.union(k)
         old = nodes.select("node", F.col("first_ok").alias("first")).where("first is not null")
         known = materialize((old if exact is None else old.union(exact)).groupBy("node").agg(F.min("first").alias("first")), "p2-known")
-
-        def pack(key: tuple, t: pa.Table) -> pa.Table:
-            t = t.sort_by("node").combine_chunks()
-            own = t.column("known").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
-            home = t.column("home").to_numpy(zero_copy_only=False).tobytes()
-            _tidy()
-            return pa.table({"cell": pa.array([key[0].as_py()], pa.string()), "asked": pa.array([Nodes(t.select(list(COLUMNS))).dump()], pa.binary()), "own": pa.array([own], pa.binary()), "at_home": pa.array([home], pa.binary())})
-
+        if self.state["cut"]:
+            self._more(nodes)
+
+        def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, alone in _pieces(batches, ASKED):
+                t = t.combine_chunks()
+                own = t.column("known").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                home = t.column("home").to_numpy(zero_copy_only=False).tobytes()
+                data = [[key[0].as_py()], [alone], [Nodes(t.select(list(COLUMNS))).dump()], [own], [home]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(data, _PACKED_TYPES)], names=_PACKED_NAMES)
+                del t, data
+                _tidy()
+
+        # Those at home first, by batch: shards of few batches, and none where others only ask.
         routed = self._routed(nodes, True).join(known.withColumnRenamed("first", "known"), "node", "left").select("cell", "home", *COLUMNS, "known")
-        packed = materialize(routed.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(pack, "cell string, asked binary, own binary, at_home binary"), "p2-asked")
+        routed = routed.repartition(self._spread(), "cell").sortWithinPartitions("cell", F.desc("home"), "last_batch", "node")
+        packed = materialize(routed.groupBy("cell").applyInArrow(pack, PACKED), "p2-asked", **LARGE_ROWS)
         asked = lambda b, i: (Nodes.load(b.column("asked")[i].as_py()), np.frombuffer(b.column("own")[i].as_py(), np.float64), np.frombuffer(b.column("at_home")[i].as_py(), bool))
 
-        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def walk(batches: Iterator[pa.RecordBatch], later: bool = True) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     q, own, home = asked(b, i)
                     there = Nodes.load(b.column("data")[i].as_py())
                     best = {r: x for r, x in enumerate(own.tolist()) if x == x}
-                    meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, np.arange(len(q.keys)), best)
+                    rows = np.arange(len(q.keys)) if later else np.flatnonzero(q.last >= b.column("lo")[i].as_py())
+                    meet([(there, Graph(there.v, None, b.column("links")[i].as_py()))], q, rows, best, later)
                     yield _found_rows(q, best, own)
                     del there, q
                     _tidy()
 
+        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from walk(batches, False)
+
         def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
@@ -669,16 +755,24 @@ class Index:
                     del q, left
                     _tidy()
 
-        # A row is a shard: batches of many would be held at once.
-        at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(at_once)
-        self.spark.conf.set(at_once, "1")
+        with self._one_by_one():
+            return self._meet(packed, known, nodes, walk, among, across)
+
+    @contextmanager
+    def _one_by_one(self) -> Iterator[None]:
+        """A row is a shard: neither batches nor a join's buffer are to hold many at once."""
+        conf = self.spark.conf
+        few = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.sortMergeJoinExec.buffer.in.memory.threshold": "4"}
+        before = {k: conf.get(k) for k in few}
         try:
-            return self._meet(packed, known, nodes, walk, among)
+            for k, x in few.items():
+                conf.set(k, x)
+            yield
         finally:
-            self.spark.conf.set(at_once, before)
+            for k, x in before.items():
+                conf.set(k, x)
 
-    def _meet(self, packed: DataFrame, known: DataFrame, nodes: DataFrame, walk: Callable, among: Callable) -> DataFrame:
+    def _meet(self, packed: DataFrame, known: DataFrame, nodes: DataFrame, walk: Callable, among: Callable, across: Callable) -> DataFrame:
         out = [known]
         for name in [*self.state["history"], *self.state["batches"]]:
             met = join_checked(self._read("shards", name), packed, "cell").mapInArrow(walk, "node bigint, first bigint")
@@ -686,6 +780,11 @@ class Index:
         # One table holds what was found, rows with a node, and the shards that are left, rows with a cell.
         name = self._write(packed.mapInArrow(among, "node bigint, first bigint, " + SHARDS), "batches")
         out.append(self._read("found", name).where("node is not null").select("node", "first"))
+        # Queries of one cell that were not held at once: each part against what the others left.
+        split = packed.where("not alone")
+        if not split.isEmpty():
+            met = self._read("shards", name).join(split, "cell").mapInArrow(across, "node bigint, first bigint")
+            out.append(materialize(met, "p2-across"))
         self.state["batches"].append(name)
         self.state["keys"].append(self._write(nodes.where("first_ok is not null").select("node", "first_ok"), "keys"))
         self._commit()
@@ -707,18 +806,33 @@ class Index:
         for name in before[1:]:
             rows = rows.union(self._read("shards", name))
 
-        def merge(key: tuple, t: pa.Table) -> pa.Table:
-            parts = [Nodes.load(x) for x in t.column("data").to_pylist()]
-            every = pa.concat_tables([p.t for p in parts])
-            v = np.vstack([p.v for p in parts])
-            # A node that came in several batches stays once, with its earliest row.
-            order = np.lexsort((every.column("first_ok").to_numpy(), every.column("node").to_numpy()))
-            node = every.column("node").to_numpy()[order]
-            keep = order[np.r_[True, node[1:] != node[:-1]]]
-            made = build(Nodes(every.take(pa.array(keep)).combine_chunks(), v[keep], np.concatenate([p.traits for p in parts])[keep]), np.random.default_rng(_hash(key[0].as_py()) + 2), recall)
-            return _shard_rows(key[0].as_py(), min(t.column("lo").to_pylist()), max(t.column("hi").to_pylist()), made)
-
-        self.state["batches"] = [self._write(rows.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(merge, SHARDS), "batches")]
+        def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell = key[0].as_py()
+            rng = np.random.default_rng(_hash(cell) + 2)
+
+            def made(parts: list[Nodes], lo: int, hi: int) -> list[pa.RecordBatch]:
+                every = pa.concat_tables([p.t for p in parts])
+                v = np.vstack([p.v for p in parts])
+                # A node that came in several batches stays once, with its earliest row.
+                order = np.lexsort((every.column("first_ok").to_numpy(), every.column("node").to_numpy()))
+                node = every.column("node").to_numpy()[order]
+                keep = order[np.r_[True, node[1:] != node[:-1]]]
+                return _shard_rows(cell, lo, hi, build(Nodes(every.take(pa.array(keep)).combine_chunks(), v[keep], np.concatenate([p.traits for p in parts])[keep]), rng, recall)).to_batches()
+
+            parts, los, his = [], [], []
+            for b in batches:
+                for lo, hi, data in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "data"))):
+                    part = Nodes.load(data)
+                    if parts and sum(len(p.keys) for p in parts) + len(part.keys) > SHARD:
+                        yield from made(parts, min(los), max(his))
+                        parts, los, his = [], [], []
+                        _tidy()
+                    parts, los, his = [*parts, part], [*los, lo], [*his, hi]
+            if parts:
+                yield from made(parts, min(los), max(his))
+
+        with self._one_by_one():
+            self.state["batches"] = [self._write(rows.repartition(self._spread(), "cell").groupBy("cell").applyInArrow(merge, SHARDS), "batches")]
         self._commit()
         fs, path = self._fs()
         for name in before:
@@ -730,6 +844,27 @@ _SHARD_NAMES = ["cell", "lo", "hi", "data", "links"]
 _SHARD_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
+PACKED = "cell string, alone boolean, asked binary, own binary, at_home binary"
+_PACKED_NAMES = ["cell", "alone", "asked", "own", "at_home"]
+_PACKED_TYPES = [pa.string(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(rows, alone): the rows of one group in tables of at most ``most``, none without rows; alone: it is the only one."""
+    held, n, alone = [], 0, True
+    for b in batches:
+        while b.num_rows:
+            if n == most:
+                alone = False
+                yield pa.Table.from_batches(held), alone
+                held, n = [], 0
+            held.append(b.slice(0, most - n))
+            b = b.slice(held[-1].num_rows)
+            n += held[-1].num_rows
+    if held:
+        yield pa.Table.from_batches(held), alone
+
+
 def _shard_rows(cell: str, lo: int, hi: int, made: list[tuple[Nodes, Graph]]) -> pa.Table:
     cols = [[cell] * len(made), [lo] * len(made), [hi] * len(made), [n.dump() for n, _ in made], [g.dump() for _, g in made]]
     return pa.table([pa.array(c, t) for c, t in zip(cols, _SHARD_TYPES)], names=_SHARD_NAMES)

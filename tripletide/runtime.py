@@ -59,12 +59,12 @@ def clean(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str = "t", **options: str) -> DataFrame:
+    """Write ``df`` as a table into the shared folder, with the writer's ``options``, and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._tide_path = path
     return out
