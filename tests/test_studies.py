@@ -205,3 +205,23 @@ def test_many_questions_at_once(spark):
     # By whole words "haus?" is none, so the earlier of two equal facts comes first; an answer needs two of the question's words in its line.
     assert got == {1: ("Bo LEITET Haus", 2), 2: ("", 0), 3: ("", 0), 4: ("Ada LEITET Werk", 2)}
     assert {(r["variant"], r["id"]): r["n_facts"] for r in qa.end_to_end(q, t).collect()}["without", 4] == 3
+
+
+def test_resolution_meets_in_tiles(spark, monkeypatch):
+    """As many pairs from small tiles as pair by pair; what a frequent word brings together is not written."""
+    import random
+
+    from tripletide.functions import similarity as sim
+
+    rnd = random.Random(3)
+    stems = ["Gravi", "Gravit", "Relat", "Relativ", "Farben", "Zahlen", "Rekla", "Rekal"]
+    rows = [(f"{i:03}", f"{rnd.choice(stems)}{rnd.choice('aeiou')}{rnd.choice('bdgkl')}-{rnd.choice(['Theorie', 'Theorei', 'Ansatz'])}", "Konzept", [None, [], [1.0, rnd.random()], [rnd.random(), 1.0], [0.0, 0.0], [1.0]][rnd.randrange(6)]) for i in range(160)]
+    e = spark.createDataFrame([(i, n, t, v, None) for i, n, t, v in rows], "entity_id string, entity_name string, entity_type string, embedding array<float>, invalidated_at timestamp_ntz")
+    whole = sorted(map(tuple, resolution.resolve(e).collect()), key=str)
+    monkeypatch.setattr(resolution, "TILE", 20)
+    monkeypatch.setattr(resolution, "ROWS", 7)
+    assert whole and sorted(map(tuple, resolution.resolve(e).collect()), key=str) == whole
+    name = {i: n for i, n, _, _ in rows}
+    assert all(abs(sim.name_similarity(name[r[0]], name[r[1]]) - r[2]) < 1e-6 for r in whole)
+    x, y = zip(*[(rnd.choice(rows)[1].lower(), rnd.choice(rows)[1].lower()) for _ in range(300)], ("", "a"), ("ab", "ba"), ("x" * 300, "y" + "x" * 290))
+    assert list(sim.jaro_winklers(x, y)) == [sim.jaro_winkler(a, b) for a, b in zip(x, y)]

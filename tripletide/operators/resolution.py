@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import cologne_udf, dot, jaro_winkler, weighted
-from ..runtime import materialize
+from ..functions.similarity import cologne_udf, weighted
+from ..runtime import join_checked, materialize, release
 
 DUPLICATE, SAME, LIKELY = 0.85, 0.95, 0.85
 
 
 #: Rarest words of a name by which it is looked up, and letters from which a word also meets others one edit apart.
 RAREST, LONG = 2, 5
+#: Members of a block, and of these rows, that are compared at once; what rounding may take from a bound.
+TILE, ROWS, SLACK = 4096, 512, 1e-4
 
 
 def members(entities: DataFrame) -> DataFrame:
@@ -22,53 +24,125 @@ def members(entities: DataFrame) -> DataFrame:
     return e.join(first, (e["name"] == first["name"]) & e["entity_type"].eqNullSafe(first["entity_type"])).select("entity_id", "id")
 
 
-def candidates(entities: DataFrame) -> DataFrame:
-    """(a, b): pairs of different names of one type that share a rare word form.
+def _links(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, type, w), the RAREST words of each name, and (type, w, into, y): the blocks that the names of a word go to.
 
-    Names are compared once each, however many records carry them (`members`). A name is looked up by its RAREST words, counted over all names of the type; a
-    name without a word of three letters by the whole of it. Words of LONG letters and more are looked up without one of their letters, too: two words that
-    differ by one edit share such a form. Frequent words, as of legal forms or given names, tie nothing together unless a name has no others.
+    Names of one word meet in its block (``y`` false). Two words that share a form meet in the block of the one with more names, to which those of the other go as well (``y`` true).
     """
     n = entities.where("entity_name is not null and invalidated_at is null").groupBy(F.lower(F.trim("entity_name")).alias("name"), F.coalesce("entity_type", F.lit("")).alias("type")).agg(F.min("entity_id").alias("id"))
     words = F.array_distinct(F.filter(F.split("name", r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
-    w = n.select("id", "type", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array("name"))).alias("w"))
+    w = n.where("id is not null").select("id", "type", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array("name"))).alias("w"))
     w = materialize(w, "er-words")
     counted = materialize(w.groupBy("type", "w").agg(F.count("*").alias("n")), "er-counts")
     # A name has few words: the list of one is short.
     rare = w.join(counted, ["type", "w"]).groupBy("id", "type").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", (-F.length("w")).alias("l"), "w"))), 1, RAREST).alias("r"))
-    rare = rare.select("id", "type", F.explode(F.transform("r", lambda x: x["w"])).alias("w"))
+    rare = materialize(rare.select("id", "type", F.explode(F.transform("r", lambda x: x["w"])).alias("w")).distinct(), "er-rare")
+    release(w)
+    release(counted)
+    own = materialize(rare.groupBy("type", "w").agg(F.count("*").alias("n")), "er-own")
     cut = F.when(F.length("w") >= LONG, F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.concat(F.substring(F.col("w"), F.lit(1), i - 1), F.substring(F.col("w"), i + 1, F.length("w"))))).otherwise(F.array())
-    k = materialize(rare.select("id", "type", F.explode(F.array_distinct(F.concat(cut, F.array("w")))).alias("form")).distinct(), "er-forms")
-    return k.alias("x").join(k.alias("y"), ["form", "type"]).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    f = own.select("type", F.struct("n", "w").alias("x"), F.explode(F.array_distinct(F.concat(cut, F.array("w")))).alias("form"))
+    met = f.join(f.withColumnRenamed("x", "z"), ["type", "form"]).where("x < z").select("type", F.col("x.w").alias("w"), F.col("z.w").alias("into")).distinct()
+    met = materialize(met, "er-links")
+    alone = own.join(met.select("type", F.col("into").alias("w")).distinct().withColumn("led", F.lit(True)), ["type", "w"], "left").where("n > 1 or led").select("type", "w", F.col("w").alias("into"), F.lit(False).alias("y"))
+    return rare, alone.unionByName(met.withColumn("y", F.lit(True)))
 
 
-def _named(pairs: DataFrame) -> DataFrame:
-    """(a, b, name_similarity, embedding_similarity) of (a, b, n_a, n_b, k_a, k_b, cosine, need), k being the names' sound: pairs whose names are as alike as ``need``.
+def candidates(entities: DataFrame, named: DataFrame, limit: float) -> DataFrame:
+    """(a, b, name_similarity, embedding_similarity): pairs of different names of one type that share a rare word form, where the names are as alike as they need be.
 
-    Matching blocks cost most and are only sought where their upper bounds leave the question open.
+    ``named`` has (id, name, v, k) of the names. Names are compared once each, however many records carry them (`members`). A name is looked up by its RAREST words, counted over
+    all names of the type; a name without a word of three letters by the whole of it. Words of LONG letters and more are looked up without one of their letters, too: two words that
+    differ by one edit share such a form. A block is as many tasks as pairs of its tiles; in a tile all pairs are looked at and those that `_may` does not rule out
+    are scored, so pairs that only a frequent word brings together are never written.
+    """
+    rare, into = _links(entities)
+    m = materialize(rare.join(into, ["type", "w"]).select("id", "type", "into", "y"), "er-members")
+    sizes = materialize(m.groupBy("type", "into").agg(F.ceil(F.count("*") / TILE).cast("int").alias("t")).where("t > 1"), "er-sizes")
+    i, j = F.pmod(F.xxhash64("id"), F.coalesce("t", F.lit(1))).cast("int"), F.explode(F.sequence(F.lit(0), F.coalesce("t", F.lit(1)) - 1))
+    m = join_checked(m, sizes, ["type", "into"], "left").withColumn("i", i).withColumn("j", j)
+    unit = F.xxhash64("type", "into", F.least("i", "j"), F.greatest("i", "j"))
+    m = m.select("id", "y", F.concat_ws("\0", "type", "into", F.least("i", "j"), F.greatest("i", "j")).alias("unit"), F.when(F.col("i") > F.col("j"), 1).otherwise(0).alias("half"), unit.alias("h"))
+    m = m.join(named, "id").select("id", "y", "unit", "half", "name", "v", "k", F.pmod("h", F.lit(max(64, named.count() // 1024))).alias("part"))
+    return m.groupBy("part").applyInArrow(lambda t: _met(t, limit), "a string, b string, name_similarity double, embedding_similarity double").distinct()
+
+
+def _met(t, limit: float):
+    """(a, b, name_similarity, embedding_similarity), a before b, of a table of block members, unit by unit: pairs of names as alike as their cosine asks for.
+
+    Sums run in the order of the vectors, as Spark's do. Matching blocks cost most and are only sought where their upper bounds leave the question open.
     """
     from difflib import SequenceMatcher
 
+    import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        for t in batches:
-            keep, sims = [], []
-            for i, (x, y, k, m, need) in enumerate(zip(*(t.column(c).to_pylist() for c in ("n_a", "n_b", "k_a", "k_b", "need")))):
-                more = 0.15 if k and k == m else 0.0
-                s = 1.0 if x == y else jaro_winkler(x, y)
-                if s < 1.0:
-                    blocks = SequenceMatcher(None, x, y)
-                    if blocks.real_quick_ratio() > s and (best := blocks.quick_ratio()) > s and best + more >= need:
-                        s = max(s, blocks.ratio())
-                s = min(1.0, s + more)
-                if s >= need:
-                    keep.append(i)
-                    sims.append(s)
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([t.column("a").take(at), t.column("b").take(at), pa.array(sims, pa.float64()), t.column("cosine").take(at)], names=["a", "b", "name_similarity", "embedding_similarity"])
-
-    return pairs.mapInArrow(run, "a string, b string, name_similarity double, embedding_similarity double")
+    from ..functions.similarity import jaro_winklers, letters, matrix
+
+    unit = t["unit"].combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.argsort(unit, kind="stable")
+    t, unit = t.take(pa.array(order)), unit[order]
+    ids, side, half = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "y", "half"))
+    rank = np.unique(ids.astype(str), return_inverse=True)[1]
+    side = side.astype(bool)
+    v, size = matrix(t["v"])
+    along = lambda x, y: sum((x[:, d] * y[:, d] for d in range(x.shape[1])), np.zeros(len(x)))
+    with np.errstate(all="ignore"):
+        norm = np.sqrt(along(v, v))
+        unit_v = np.where(norm[:, None] == 0, 0, v / norm[:, None]).astype(np.float32)
+    names = t["name"].to_pylist()
+    counts, length, start = letters(names)
+    k = np.unique(np.array([x or "" for x in t["k"].to_pylist()]), return_inverse=True)[1]
+    sounds = np.array([bool(x) for x in t["k"].to_pylist()])
+    out = []
+    ends = np.flatnonzero(np.diff(unit, append=-1)) + 1
+    for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+        for at in range(lo, hi, ROWS):
+            x, y = np.s_[at : min(at + ROWS, hi)], np.s_[lo:hi]
+            with np.errstate(all="ignore"):
+                cos = unit_v[x] @ unit_v[y].T
+            # Without two vectors of one size the name alone decides; nan, which Spark holds to be above all numbers, rules nothing out.
+            need = np.where((size[x, None] == size[None, y]) & (size[x, None] >= 0), np.where(cos < 0.9 - SLACK, (limit - 0.4 * cos) / 0.6, 0), limit) - SLACK
+            # Of two tiles pairs lie across; of y and y, in no tile.
+            fits = (need <= 1) & (rank[x, None] < rank[None, y]) if not half[lo:hi].any() else (need <= 1) & (half[x, None] < half[None, y])
+            i, j = np.nonzero(fits & ~(side[x, None] & side[None, y]))
+            need, i, j = need[i, j], i + at, j + lo
+            i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+            short, long = np.minimum(length[i], length[j]), np.maximum(length[i], length[j])
+            more = np.where((k[i] == k[j]) & sounds[i], 0.15, 0.0)
+            ok = np.flatnonzero((_may(short, short, long, 4) + more >= need) & (rank[i] != rank[j]))
+            for c in range(0, len(ok), 1 << 16):
+                o = ok[c : c + (1 << 16)]
+                p, q = i[o], j[o]
+                same = np.cumprod((start[p] == start[q]) & (start[p] >= 0), axis=1).sum(axis=1)
+                met = np.minimum(counts[p], counts[q]).sum(axis=1)
+                left = _may(met, short[o], long[o], same) + more[o] >= need[o]
+                o, p, q, met = o[left], p[left], q[left], met[left]
+                both = (size[p] == size[q]) & (size[p] >= 0)
+                with np.errstate(all="ignore"):
+                    exact = along(v[p], v[q]) / (norm[p] * norm[q])
+                exact = np.where(both, np.where(norm[p] * norm[q] == 0, 0.0, exact), 0.0)
+                wanted = np.where(both, np.where((exact >= 0.9) | np.isnan(exact), 0.0, (limit - 0.4 * exact) / 0.6), limit) - 1e-9
+                s, extra = jaro_winklers([names[n] for n in p], [names[n] for n in q]), more[o]
+                most = 2 * met / np.maximum(length[p] + length[q], 1) + 1e-9
+                for n in np.flatnonzero((s < 1) & (most > s) & (most + extra >= wanted)):
+                    blocks = SequenceMatcher(None, names[p[n]], names[q[n]])
+                    if blocks.real_quick_ratio() > s[n] and (best := blocks.quick_ratio()) > s[n] and best + extra[n] >= wanted[n]:
+                        s[n] = max(s[n], blocks.ratio())
+                s = np.minimum(1.0, s + extra)
+                kept = (s >= wanted) & (wanted <= 1)
+                out.append((ids[p[kept]], ids[q[kept]], s[kept], exact[kept], ~both[kept]))
+    a, b, s, exact, bare = (np.concatenate(x) for x in zip(*out)) if out else (np.array([], t) for t in (object, object, float, float, bool))
+    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "name_similarity": pa.array(s, pa.float64()), "embedding_similarity": pa.array(exact, pa.float64(), mask=bare)})
+
+
+def _may(met, short, long, same):
+    """Most that the names' similarity can be, without their sound, where ``met`` letters at most meet and ``same`` first ones do: the bounds of Jaro-Winkler and of matching blocks."""
+    import numpy as np
+
+    met, short, long = (np.asarray(x, float) for x in (met, short, long))
+    jaro = (met / np.maximum(short, 1) + met / np.maximum(long, 1) + 1) / 3
+    return np.maximum(2 * met / np.maximum(short + long, 1), jaro + 0.1 * same * (1 - jaro))
 
 
 def resolve(entities: DataFrame, limit: float = DUPLICATE) -> DataFrame:
@@ -79,17 +153,8 @@ def resolve(entities: DataFrame, limit: float = DUPLICATE) -> DataFrame:
     """
     e = entities.where("entity_name is not null and invalidated_at is null").groupBy(F.lower(F.trim("entity_name")).alias("name"), "entity_type")
     e = e.agg(F.min("entity_id").alias("id"), F.min_by("embedding", F.when(F.size("embedding") > 0, F.col("entity_id"))).alias("v"))
-    e = materialize(e.select("id", "name", "v", cologne_udf("name").alias("k"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("norm")), "er-names")
-    side = lambda s: e.select(F.col("id").alias(s), *[F.col(c).alias(f"{n}_{s}") for c, n in (("name", "n"), ("v", "v"), ("k", "k"), ("norm", "norm"))])
-    p = candidates(entities).join(side("a"), "a").join(side("b"), "b")
-    cos = F.when(F.size("v_a") == F.size("v_b"), F.coalesce(F.try_divide(dot(F.col("v_a"), F.col("v_b")), F.col("norm_a") * F.col("norm_b")), F.when(F.col("v_a").isNotNull() & F.col("v_b").isNotNull(), 0.0)))
-    p = p.withColumn("cosine", cos).drop("v_a", "v_b", "norm_a", "norm_b")
-    need = F.when(F.col("cosine") >= 0.9, 0.0).when(F.col("cosine").isNull(), limit).otherwise((limit - 0.4 * F.col("cosine")) / 0.6)
-    # No name is as alike as that where one is so much shorter that even with all its letters met it can't be.
-    lo, hi = F.least(F.length("n_a"), F.length("n_b")), F.greatest(F.length("n_a"), F.length("n_b"))
-    jaro = (1 + lo / hi + 1) / 3
-    p = p.withColumn("need", need - 1e-9).where((F.greatest(2 * lo / (lo + hi), jaro + 0.4 * (1 - jaro)) + 0.15 >= F.col("need")) & (F.col("need") <= 1))
-    p = _named(p.select("a", "b", "n_a", "n_b", "k_a", "k_b", "cosine", "need"))
+    e = materialize(e.select("id", "name", "v", cologne_udf("name").alias("k")), "er-names")
+    p = candidates(entities, e, limit)
     sim = F.when(F.col("embedding_similarity").isNull(), F.col("name_similarity")).otherwise(weighted(F.col("name_similarity"), F.col("embedding_similarity")))
     p = p.withColumn("similarity", sim).where((F.col("similarity") >= limit) | (F.col("embedding_similarity") >= 0.9))
     strategy = F.when(F.col("similarity") >= SAME, "keep").when(F.col("similarity") >= LIKELY, "merge").otherwise("link")
