@@ -225,3 +225,26 @@ def test_resolution_meets_in_tiles(spark, monkeypatch):
     assert all(abs(sim.name_similarity(name[r[0]], name[r[1]]) - r[2]) < 1e-6 for r in whole)
     x, y = zip(*[(rnd.choice(rows)[1].lower(), rnd.choice(rows)[1].lower()) for _ in range(300)], ("", "a"), ("ab", "ba"), ("x" * 300, "y" + "x" * 290))
     assert list(sim.jaro_winklers(x, y)) == [sim.jaro_winkler(a, b) for a, b in zip(x, y)]
+
+
+def test_similar_facts_of_a_hot_subject(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    v = np.round(rnd.normal(size=(120, 5)), 3)
+    v[7], v[40] = 0, v[91]
+    kind = "seq bigint, s_id string, pred string, o_id string, embedding array<float>"
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}", "P", f"o{i % 9}", v[i].tolist()) for i in range(120)] + [(200, "hot", None, None, [1.0]), (201, None, None, None, [1.0] * 5)]
+    b, e = spark.createDataFrame(rows[:80] + rows[120:], kind), spark.createDataFrame(rows[80:120], kind)
+    monkeypatch.setattr(baselines, "TILE", 8)
+    got = {r["seq"]: (r["accepted"], r["confidence"]) for r in baselines.similar_facts(b, e).collect()}
+
+    def cos(x, y):
+        x, y = (np.array(z, np.float32).astype(float) for z in (x, y))
+        n = np.linalg.norm(x) * np.linalg.norm(y) if x.shape == y.shape else 0
+        return x @ y / n if n else 0.0
+
+    for i, s, p, o, x in rows[:80] + rows[120:]:
+        c = max([0.0, *(cos(x, w) for _, t, q, u, w in rows[80:120] if s == t or (p, o) == (q, u))])
+        assert got[i] == (c < 0.85, pytest.approx(1 - c if c >= 0.85 else max(0.7, 1 - c), abs=2e-6))
+    assert got[40] == (False, 0.0) and got[201] == (True, 1.0)

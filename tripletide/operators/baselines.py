@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw, uniform
 from ..functions.draws import PRIME
+from ..runtime import materialize
 from .resolution import combine
 
 ACCEPT, LLM_LEAST, DUPLICATE, MISSING_SOURCE = 0.7, 0.6, 0.85, 0.5
+#: Facts of a key, and of these rows, that are compared at once.
+TILE, ROWS = 16384, 256
 
 
 def at_random(batch: DataFrame, rate: float = 0.5, mean: float = 0.5, deviation: float = 0.1, seed: int = 42) -> DataFrame:
@@ -48,17 +51,60 @@ def similar_facts(batch: DataFrame, edges: DataFrame, embedding: str = "embeddin
     """(seq, accepted, confidence): rejected where a known edge of the same subject or of the same object and relation has a cosine of ``limit`` or more.
 
     Both carry a vector of their text. Edges are looked at by subject and by (relation, object), not all of them: two facts that share neither are no repeats of each other.
+    All pairs of a key are compared, as products of matrices of at most TILE new facts and TILE edges, so that a subject of a tenth of all facts is many tasks.
     """
-    from ..functions.similarity import cosine
-
-    b, e = batch.select("seq", "s_id", "pred", "o_id", F.col(embedding).alias("v")), edges.select("s_id", "pred", "o_id", F.col(embedding).alias("w"))
-    by_s = b.join(e.select("s_id", "w"), "s_id").select("seq", cosine(F.col("v"), F.col("w")).alias("c"))
-    by_o = b.join(e.select("pred", "o_id", "w"), ["pred", "o_id"]).select("seq", cosine(F.col("v"), F.col("w")).alias("c"))
-    best = by_s.union(by_o).groupBy("seq").agg(F.max("c").alias("c"))
+    keys = F.array_compact(F.array(F.concat(F.lit("s "), "s_id"), F.concat(F.lit("o "), "pred", F.lit("\0"), "o_id")))
+    keyed = lambda x, v, *more: x.where(F.size(v) > 0).select(F.explode(keys).alias("key"), F.col(v).alias("v"), *more)
+    b = materialize(batch.select("seq", "s_id", "pred", "o_id", F.col(embedding).alias("v")), "sf-batch")
+    e = materialize(edges.select("s_id", "pred", "o_id", F.col(embedding).alias("v")), "sf-edges")
+    n = lambda x, c: keyed(x, "v").groupBy("key").agg(F.count("*").alias(c))
+    # Keys of both sides; a key with many facts is as many tasks as pairs of its tiles.
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int").alias(c)
+    met = materialize(n(b, "nb").join(n(e, "ne"), "key").select("key", tiles("nb"), tiles("ne")), "sf-keys")
+    parts = max(16, b.count() // 4096)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    tile = lambda x, c: F.pmod(F.xxhash64(x), F.col(c)).cast("int")
+    x = keyed(b, "v", "seq").join(met, "key").withColumn("i", tile("seq", "nb")).withColumn("j", every("ne"))
+    y = keyed(e, "v").withColumn("seq", F.lit(None).cast("bigint")).join(met, "key").withColumn("j", tile("v", "ne")).withColumn("i", every("nb"))
+    both = x.select("key", "i", "j", "v", "seq").unionByName(y.select("key", "i", "j", "v", "seq"))
+    both = both.select(F.concat_ws("\0", "key", "i", "j").alias("unit"), "v", "seq", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part"))
+    best = both.groupBy("part").applyInArrow(_nearest, "seq bigint, c double").groupBy("seq").agg(F.max("c").alias("c"))
     c = F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0))
     return b.select("seq").join(best, "seq", "left").select("seq", (c < limit).alias("accepted"), F.round(F.when(c >= limit, 1 - c).otherwise(F.greatest(F.lit(0.7), 1 - c)), 6).alias("confidence"))
 
 
+def _nearest(t):
+    """(seq, c) of (unit, v, seq), seq null for known edges: each new fact's largest cosine with the edges of its unit that have vectors of its size; 0 where a norm is 0."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.similarity import matrix
+
+    unit = t["unit"].combine_chunks().dictionary_encode().indices.to_numpy()
+    known = t["seq"].is_null().to_numpy()
+    v, size = matrix(t["v"])
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        v = np.where(norm == 0, 0, v / norm)
+    order = np.lexsort((known, size, unit))
+    group = unit[order] * (int(size.max(initial=0)) + 1) + size[order]
+    known, v = known[order], v[order]
+    seq = t["seq"].fill_null(0).to_numpy()[order]
+    best = np.full(len(seq), np.nan)
+    ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+    none = np.ones(len(seq), bool)
+    for lo, hi in zip(np.r_[0, ends[:-1]], ends):
+        mid = hi - int(known[lo:hi].sum())
+        if lo < mid < hi:
+            w = np.ascontiguousarray(v[mid:hi].T)
+            none[lo:mid] = False
+            for at in range(lo, mid, ROWS):
+                to = min(at + ROWS, mid)
+                with np.errstate(all="ignore"):
+                    best[at:to] = np.max([(v[at:to] @ w[:, c : c + TILE]).max(axis=1) for c in range(0, w.shape[1], TILE)], axis=0)
+    return pa.table({"seq": pa.array(seq[~none], pa.int64()), "c": pa.array(best[~none], pa.float64())})
+
+
 def judged(opinions: DataFrame, least: float = LLM_LEAST) -> DataFrame:
     """A judge alone, (seq, outcome, confidence): its PASS of ``least`` or more accepts."""
     return opinions.select("seq", ((F.col("outcome") == "PASS") & (F.col("confidence") >= least)).alias("accepted"), "confidence")
