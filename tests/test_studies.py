@@ -248,3 +248,15 @@ def test_similar_facts_of_a_hot_subject(spark, monkeypatch):
         c = max([0.0, *(cos(x, w) for _, t, q, u, w in rows[80:120] if s == t or (p, o) == (q, u))])
         assert got[i] == (c < 0.85, pytest.approx(1 - c if c >= 0.85 else max(0.7, 1 - c), abs=2e-6))
     assert got[40] == (False, 0.0) and got[201] == (True, 1.0)
+
+
+def test_answers_of_frequent_words(spark, small, monkeypatch):
+    """The same rows as SQL where nearly all words count as frequent and facts are many parts."""
+    from tripletide.functions import qa
+    from tripletide.plans import experiment_queries as q
+
+    from .test_oracle import compare
+
+    monkeypatch.setattr(qa, "RARE", 2)
+    monkeypatch.setattr(qa, "PART", 200)
+    compare(spark, q.qa_end_to_end, q.SQL["qa_end_to_end"])
