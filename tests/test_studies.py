@@ -260,3 +260,12 @@ def test_answers_of_frequent_words(spark, small, monkeypatch):
     monkeypatch.setattr(qa, "RARE", 2)
     monkeypatch.setattr(qa, "PART", 200)
     compare(spark, q.qa_end_to_end, q.SQL["qa_end_to_end"])
+
+
+def test_top_candidates_of_tiles(spark, monkeypatch):
+    rows = [(f"{i:02}", f"Gravi{c}{d}-Theorie", "Konzept") for i, (c, d) in enumerate((c, d) for c in "aeiou" for d in "bdgk")]
+    e = spark.createDataFrame([(*r, None, None) for r in rows], "entity_id string, entity_name string, entity_type string, embedding array<float>, invalidated_at timestamp_ntz")
+    monkeypatch.setattr(resolution, "TILE", 6)
+    top = resolution.top_candidates(resolution.resolve(e)).collect()
+    assert {r["entity_id"] for r in top} == {r[0] for r in rows} and len(top) == 3 * len(rows)
+    assert all(r["entity_id"] != r["candidate"] and 1 <= r["rank"] <= 3 for r in top)
